@@ -8,8 +8,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, packing, sharding, token_counts
+from loomgraph.llm import bpe, packing, sharding, simhash, token_counts
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -50,10 +51,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document."""
+    found = simhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
