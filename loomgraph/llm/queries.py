@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, packing, sharding, simhash, token_counts
+from loomgraph.llm import bpe, packing, sharding, simhash, token_counts, topk
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -51,6 +51,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best candidates of every embedding whose vec_id is divisible by 50."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     found = simhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op7_topk": op7_topk,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
