@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, packing, sharding, simhash, token_counts, topk
+from loomgraph.llm import bpe, common, packing, sharding, simhash, token_counts, topk, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -51,6 +51,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the normalised archives."""
+    folder = common.fresh_dir(spark, "warc")
+    done = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.read(done.repartition(max(1, done.count())), with_payload=False)
+    return found.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best candidates of every embedding whose vec_id is divisible by 50."""
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
@@ -67,6 +77,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op7_topk": op7_topk,
     "op9_simhash": op9_simhash,
 }
