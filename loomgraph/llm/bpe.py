@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from loomgraph.llm import common
 
 #: Encoded pieces kept by a worker: two generations of so many.
-KEPT = 300_000
+KEPT = 600_000
 #: Control characters that Python's split() takes for white space and the tokenizer's pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Letters whose normal form and lower case are alike in every Unicode version; other texts go through the library's normaliser.
@@ -213,19 +213,24 @@ class TrieBpe:
         for p in pieces.difference(found):
             if (kept := old.get(p)) is not None:
                 found[p] = kept
+            elif p.isalpha():
+                whole.append(p)
             elif p in special:
                 found[p] = array("I", [special[p]]).tobytes()
-            elif p.isascii() and p.isalpha():
-                whole.append(p)
             else:
-                mixed[p] = [w if w.isascii() else w.encode().decode("latin-1") for w in words(p)]
+                mixed[p] = [p[:-1], p[-1]] if p[:-1].isalpha() and p[-1] in ",.!?;:" else words(p)
         needed = set(whole)
-        needed.update(*mixed.values())
-        ids = self.encode_words(needed)
-        for p in whole:
-            found[p] = ids[p]
+        for ws in mixed.values():
+            needed.update(ws)
+        needed.difference_update(found)
+        for w in [w for w in needed if w in old]:
+            found[w] = old[w]
+            needed.discard(w)
+        byte_letters_of = {w if w.isascii() else w.encode().decode("latin-1"): w for w in needed}
+        for letters, packed in self.encode_words(byte_letters_of).items():
+            found[byte_letters_of[letters]] = packed
         for p, ws in mixed.items():
-            found[p] = b"".join([ids[w] for w in ws])
+            found[p] = b"".join([found[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
