@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import ship
+
 #: Rows and bytes of an Arrow batch; a batch holds at most the rows, and ends soon after the bytes.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 #: A side is broadcast only when its counted rows times their width stay under this.
@@ -65,6 +67,7 @@ def text_of(name: str) -> Column:
 def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with bounded batches; function takes and gives iterators of record batches."""
     bound_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, common, packing, sharding, simhash, token_counts, topk, warc
+from loomgraph.llm import bpe, common, packing, sharding, simhash, token_counts, topk, toxicity, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -72,6 +72,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
@@ -80,5 +88,6 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_topk": op7_topk,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common
+from loomgraph.session import ship
 
 #: Vectors of a shard, queries of a block, distinct vectors of a leaf.
 SHARD_ROWS, BLOCK_ROWS, LEAF = 16384, 2048, 64
@@ -106,6 +107,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str =
     as they fit.
     """
     spark = rows.sparkSession
+    ship(spark)
     own = common.cut(quantised(rows, id_col, vector_col, scale).withColumn("dim", F.size("v")), "quantised")
     queries = common.cut(own.where(is_query).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "questions")
     n, m = own.count(), queries.count()
