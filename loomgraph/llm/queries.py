@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, common, packing, sharding, simhash, token_counts, topk, toxicity, warc
+from loomgraph.llm import bpe, common, packing, quality, sharding, simhash, token_counts, topk, toxicity, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -66,6 +66,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, model, perplexity, threshold and kept of every document."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs, labels).withColumnRenamed("id", "doc_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     found = simhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -87,6 +93,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op7_topk": op7_topk,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
