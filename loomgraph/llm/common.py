@@ -87,3 +87,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = BATCH_BY
             size += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table that has one row a key, when a key may hold a large part of rows.
+
+    Keys with over a thousandth of the rows, so a thousand at most, are joined by broadcast; the others by
+    a shuffle, in which none is large.
+    """
+    n = rows.count()
+    hot = cut(rows.groupBy(*keys).count().where(F.col("count") * 1000 > n).select(*keys).join(table, keys), "hot")
+    if not hot.take(1):
+        return rows.join(table, keys)
+    few = F.broadcast(hot)
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(table, keys))

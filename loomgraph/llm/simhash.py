@@ -34,6 +34,10 @@ RADIUS, SEED = 3, 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Members of a variant that are compared at once.
 BLOCK_ROWS = 2048
+#: For similar(): keys to a text and their bits, words of a shingle, and bits of 256 that may differ.
+TABLES, KEY_BITS, SHINGLE, APART = 6, 40, 5, 48
+#: Fixed value: the odd multiplier of a common 64-bit mixer.
+MIX = 0xBF58476D1CE4E5B9
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -85,10 +89,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of the members of one variant, compared block by block."""
-    fps = np.unique(fps).view(np.uint64)
-    root = np.arange(len(fps))
+def _forest(nodes: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest of the members of one variant, compared block by block; bits: a row of 64-bit words for each member."""
+    nodes, first = np.unique(nodes, return_index=True)
+    bits = bits[first].view(np.uint64)
+    root = np.arange(len(nodes))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -96,44 +101,62 @@ def _forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
             i = root[i]
         return i
 
-    for i in range(0, len(fps), BLOCK_ROWS):
-        for j in range(i, len(fps), BLOCK_ROWS):
-            near = np.bitwise_count(fps[i : i + BLOCK_ROWS, None] ^ fps[None, j : j + BLOCK_ROWS]) <= RADIUS
-            for a, b in zip(*np.nonzero(near)):
+    for i in range(0, len(nodes), BLOCK_ROWS):
+        for j in range(i, len(nodes), BLOCK_ROWS):
+            apart = np.zeros((min(BLOCK_ROWS, len(nodes) - i), min(BLOCK_ROWS, len(nodes) - j)), dtype=np.int16)
+            for k in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[i : i + BLOCK_ROWS, None, k] ^ bits[None, j : j + BLOCK_ROWS, k])
+            for a, b in zip(*np.nonzero(apart <= radius)):
                 a, b = i + int(a), j + int(b)
                 if a < b and (x := find(a)) != (y := find(b)):
                     root[y] = x
-                    yield int(fps[a].view(np.int64)), int(fps[b].view(np.int64))
+                    yield int(nodes[a]), int(nodes[b])
 
 
-def _crowded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among the members of each variant; rows come sorted by key."""
+def _crowded(radius: int):
+    """For rows (key, node, bits array) that come sorted by key: the links among the members of each key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        found = [x for members in np.split(fp, np.flatnonzero(np.diff(key)) + 1) for x in _forest(members)]
+    def linked(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(np.diff(key)) + 1
+        found = [x for members, words in zip(np.split(node, at), np.split(bits, at)) for x in _forest(members, words, radius)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
 
-    key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
-    for batch in batches:
-        key, fp = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
-        whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if whole:
-            yield links(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-    if len(key):
-        yield links(key, fp)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+            whole = int(np.searchsorted(held[0], held[0][-1]))
+            if whole:
+                yield linked(*(x[:whole] for x in held))
+                held = tuple(x[whole:] for x in held)
+        if held is not None:
+            yield linked(*held)
+
+    return run
+
+
+def _meetings(nodes: DataFrame, variants: Column) -> tuple[DataFrame, DataFrame]:
+    """From rows with column node: (a, b) of the variants that two nodes share, and (key, node) of those that more share.
+
+    Both read one shuffle of the variants; only a variant's minimum, maximum and count are kept of it.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = nodes.select("node", F.explode(variants).alias("key")).repartition(n, "key")
+    seen = met.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a <> b")
+    many = met.join(seen.where("n > 2").select("key").hint("shuffle_hash"), "key", "left_semi").select("key", "node")
+    return seen.where("n = 2").select("a", "b"), many
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links that join all fingerprints within RADIUS of each other; fps: distinct fingerprints in column fp."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key")).repartition(n, "key")
-    seen = met.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("a <> b")
+    two, many = _meetings(fps.select(F.col("fp").alias("node")), _variants(F.col("node")))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    pairs = seen.where("n = 2").where(near).select("a", "b").distinct()
-    many = met.join(seen.where("n > 2").select("key").hint("shuffle_hash"), "key", "left_semi").select("key", "fp").sortWithinPartitions("key")
-    return pairs.unionByName(many.mapInArrow(_crowded, "a long, b long").distinct())
+    crowded = many.select("key", "node", F.array("node").alias("bits")).sortWithinPartitions("key")
+    return two.where(near).distinct().unionByName(common.map_rows(crowded, _crowded(RADIUS), "a long, b long").distinct())
 
 
 def classes(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,15 +168,77 @@ def classes(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: s
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     joined = named.join(least, "root").select("fp", "component")
     found = copies.join(joined, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return own.join(found, "fp").select("id", "fp", "component")
+    return common.join_hot(own, found, ["fp"]).select("id", "fp", "component")
+
+
+def _spread(hashes: list[int], words: int) -> np.ndarray:
+    """Majority bits of hashes, 64 for each word, from as many mixes of every hash."""
+    h, out = np.array(hashes, dtype=np.uint64), []
+    for k in range(words):
+        x = (h + np.uint64(k * MIX & (1 << 64) - 1)) * np.uint64(MIX)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(MIX)
+        x ^= x >> np.uint64(32)
+        bits = np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(2 * bits > len(h))
+    return np.concatenate(out)
 
 
-def survivors(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the row whose id names it, and of rows that repeat that id any one.  Rows without an id stay.
+def signature(text: bytes) -> tuple[int, list[int], list[int]]:
+    """A hash of the word sequence, TABLES keys of KEY_BITS bits from the distinct words, and 256 bits from the distinct shingles of SHINGLE words."""
+    parts = text.lower().split()
+    joined = b" ".join(parts)
+    own = xxhash.xxh64_intdigest(joined, SEED)
+    if not parts:
+        return _signed(own), [0] * TABLES, [0] * 4
+    digest = xxhash.xxh64_intdigest
+    ends, at = [], -1
+    for n in map(len, parts):
+        at += n + 1
+        ends.append(at)
+    starts = [0, *(e + 1 for e in ends[: max(0, len(parts) - SHINGLE)])]
+    shingles = {digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(SHINGLE, len(parts)) - 1 :])}
+    words = _spread([digest(w, SEED) for w in set(parts)], -(-TABLES * KEY_BITS // 64))[: TABLES * KEY_BITS]
+    keys = words.reshape(TABLES, KEY_BITS) @ (1 << np.arange(KEY_BITS, dtype=np.int64))
+    return _signed(own), keys.tolist(), np.packbits(_spread(list(shingles), 4), bitorder="little").view("<i8").tolist()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) of texts with SHINGLE-word shingles alike to 0.8 or more; ids are integers.
+
+    The same search on longer signatures.  Keys come from distinct words, of which an edit changes few, and
+    variants of each key are emitted within half of radius 2; what meets is verified on 256 bits of the distinct
+    shingles, where a similarity of 0.8 makes 39 bits differ on average and APART at most pass.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [signature(t or b"") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (1, 2))], ["id", "h", "keys", "bits"])
+
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
+    own = common.cut(common.map_rows(rows, run, "id long, h long, keys array<long>, bits array<long>"), "signatures")
+    nodes = common.cut(own.groupBy("h", "bits", "keys").agg(F.min("id").alias("node")).where(F.exists("bits", lambda b: b != 0)), "texts")
+    flips = F.lit([0, *(1 << b for b in range(KEY_BITS))])
+    two, many = _meetings(nodes, F.concat(*(F.transform(flips, _flipper(k, F.col("keys")[k])) for k in range(TABLES))))
+    bits = nodes.select("node", "bits")
+    pairs = two.distinct().join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
+    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, 4)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowded = many.join(bits, "node").select("key", "node", "bits").repartition(n, "key").sortWithinPartitions("key")
+    found = pairs.where(apart <= APART).select("a", "b").unionByName(common.map_rows(crowded, _crowded(APART), "a long, b long").distinct())
+    roots = common.cut(components(found), "roots").select("node", F.col("root").alias("component"))
+    named = nodes.join(roots, "node", "left").select("h", "bits", F.coalesce("component", "node").alias("component"))
+    empty = own.where(~F.exists("bits", lambda b: b != 0)).groupBy("h", "bits").agg(F.min("id").alias("component"))
+    return common.join_hot(own.select("id", "h", "bits"), named.unionByName(empty), ["h", "bits"]).select("id", "component")
+
+
+def survivors(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each component of found (id, component): the row whose id names it, and of rows that repeat that id any one.  Rows without an id stay.
 
     Only the ids that go are joined to the texts; where they are few by count they are broadcast.
     """
-    found = common.cut(classes(docs, words, id_col, text_col), "classes")
+    found = common.cut(found.select("id", "component"), "classes")
     gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("__id")).distinct()
     kept = docs.join(common.maybe_broadcast(gone, 16), docs[id_col] == F.col("__id"), "left_anti")
     repeated = found.where(F.col("id") == F.col("component")).groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))

@@ -48,7 +48,8 @@ def test_classes_are_brute_force_s(spark):
     assert [got[i].fp & (1 << 64) - 1 for i in range(len(texts))] == fps
     want = brute_components(fps)
     assert [got[i].component for i in range(len(texts))] == want
-    kept = sorted(r.doc_id for r in simhash.survivors(docs.union(docs.where("doc_id < 30"))).collect())
+    twice = docs.union(docs.where("doc_id < 30"))
+    kept = sorted(r.doc_id for r in simhash.survivors(simhash.classes(twice), twice).collect())
     assert kept == sorted(set(want))
 
 
@@ -83,3 +84,34 @@ def test_components_of_a_path_a_star_and_nothing(spark):
     assert roots == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert simhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_edited_copies_are_similar(spark):
+    random = np.random.default_rng(9)
+    vocabulary = [f"w{i:04d}" for i in range(3000)]
+    texts, origin = [None, "", "one", "One", "two words"], [0, 0, 2, 2, 4]
+    for k in range(60):
+        words = random.choice(vocabulary, int(random.integers(120, 600))).tolist()
+        first = len(texts)
+        texts.append(" ".join(words))
+        origin.append(first)
+        for _ in range(int(random.integers(0, 4))):
+            edited = list(words)
+            for at in random.integers(0, len(words), max(1, len(words) // 70)):
+                edited[int(at)] = "changed"
+            texts.append(" ".join(edited))
+            origin.append(first)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, bits string").repartition(4)
+    got = {r.id: r.component for r in simhash.similar(docs).collect()}
+    assert len(got) == len(texts)
+    wrong = [i for i in range(len(texts)) if got[i] != origin[i]]
+    alike = [i for i in range(len(texts)) if origin[i] != i and jaccard(texts[i] or "", texts[origin[i]] or "") >= 0.8]
+    assert len(alike) > 60 and len(set(wrong) & set(alike)) <= len(alike) // 50  # bits are a sample: all but a few of a hundred
+    kept = sorted(r.doc_id for r in simhash.survivors(simhash.similar(docs), docs).collect())
+    assert kept == sorted(set(got.values()))
+    assert simhash.similar(docs.limit(0)).count() == 0
