@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, common, packing, quality, sharding, simhash, token_counts, topk, toxicity, warc
+from loomgraph.llm import bpe, common, neighbours, packing, quality, sharding, simhash, token_counts, topk, toxicity, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -61,6 +61,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every embedding."""
+    found = neighbours.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best candidates of every embedding whose vec_id is divisible by 50."""
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
@@ -92,6 +98,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
+    "op6_neighbours": op6_neighbours,
     "op7_topk": op7_topk,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
