@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
     context.addPyFile(path)
     context._loomgraph_shipped = True
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = f"file://{tempfile.gettempdir()}/loomgraph-shared"
+        spark.conf.set("spark.checkpoint.dir", root)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
