@@ -21,6 +21,11 @@ from loomgraph.operators.graph import Graph
 LN2 = math.log(2)
 
 
+def columns(*names: str) -> tuple[Column, ...]:
+    """Columns by name; made within functions, as a session must be there."""
+    return tuple(F.col(n) for n in names)
+
+
 class Blocks:
     """What objectives need of a graph and a partition; every table is defined once."""
 
@@ -73,22 +78,21 @@ def total(parts: list[DataFrame]) -> DataFrame:
     return rows.agg(F.sum("v").alias("objective"))
 
 
-e, nr, ns, kr, ks, n = (F.col(c) for c in ("e", "nr", "ns", "kr", "ks", "n"))
-N, B, E = F.col("N"), F.col("B"), F.col("E")
-
-
 def skn(b: Blocks) -> DataFrame:
     """Block model log-likelihood without degree correction."""
+    e, nr, ns = columns("e", "nr", "ns")
     return total([b.of_pairs(e * F.log(e / (nr * ns)))])
 
 
 def dckn(b: Blocks) -> DataFrame:
     """Degree-corrected log-likelihood."""
+    e, kr, ks = columns("e", "kr", "ks")
     return total([b.of_pairs(e * F.log(e / (kr * ks)))])
 
 
 def sps(b: Blocks, fixed: float = 0.0) -> DataFrame:
     """Sparse microcanonical entropy, sign flipped."""
+    e, n = columns("e", "n")
     half = 1.0 if b.graph.directed else 0.5
     degree = F.col("k_out") + F.col("k_in") if b.graph.directed else F.col("k_out")
     return total([b.of_totals(F.lit(-fixed)), b.of_blocks(-degree * F.log(n)), b.of_pairs(half * xlogx(e))])
@@ -96,15 +100,18 @@ def sps(b: Blocks, fixed: float = 0.0) -> DataFrame:
 
 def spd(b: Blocks) -> DataFrame:
     """Dense microcanonical entropy, sign flipped."""
+    e, nr, ns = columns("e", "nr", "ns")
     return total([b.of_pairs(-(1.0 if b.graph.directed else 0.5) * e * binary_entropy(e / (nr * ns)))])
 
 
 def dcp(b: Blocks, fixed: float = 0.0) -> DataFrame:
     """Degree-corrected microcanonical entropy, sign flipped."""
+    e, kr, ks = columns("e", "kr", "ks")
     return total([b.of_totals(F.lit(-fixed)), b.of_pairs((1.0 if b.graph.directed else 0.5) * e * F.log(e / (kr * ks)))])
 
 
 def _iclex(b: Blocks, prior: float) -> DataFrame:
+    B, N, n = columns("B", "N", "n")
     def beta(hits: Column, room: Column) -> Column:
         return lgamma(hits + prior) + lgamma(room - hits + prior) - lgamma(room + 2 * prior) - 2 * math.lgamma(prior)
 
@@ -126,6 +133,7 @@ def iclexu(b: Blocks) -> DataFrame:
 
 
 def _group_sizes(b: Blocks) -> list[DataFrame]:
+    B, N, n = columns("B", "N", "n")
     p = F.col("p")
 
     def pair(e: Column, x: Column, y: Column) -> Column:
@@ -144,12 +152,14 @@ def snr(b: Blocks) -> DataFrame:
 
 def dcnr(b: Blocks) -> DataFrame:
     """Likelihood with a prior on group sizes, degree-corrected."""
+    n = F.col("n")
     k = F.col("k_out") + F.col("k_in") if b.graph.directed else F.col("k_out")
     return total([*_group_sizes(b), b.of_blocks(k * F.log(n) + lgamma(n) - lgamma(n + k))])
 
 
 def _edge_arrangements(b: Blocks) -> list[DataFrame]:
     """ln of the edges' permutations within block pairs."""
+    e = F.col("e")
     if b.graph.directed:
         return [b.of_pairs(lgamma(e + 1))]
     return [b.of_pairs(lgamma(e + 1), F.col("r") < F.col("s")), b.of_pairs(LN2 * e / 2 + lgamma(e / 2 + 1), F.col("r") == F.col("s"))]
@@ -170,12 +180,14 @@ def _degrees(b: Blocks) -> DataFrame:
 
 def edge_and_partition_prior(b: Blocks) -> list[DataFrame]:
     """ln P(edge counts) + ln P(partition)."""
+    B, E, N, n = columns("B", "E", "N", "n")
     room = B * B if b.graph.directed else B * (B + 1) / 2
     return [b.of_totals(-log_binom(room + E - 1, E)), b.of_blocks(lgamma(n + 1)), b.of_totals(-lgamma(N + 1) - log_binom(N - 1, B - 1) - F.log(N))]
 
 
 def non_corrected(b: Blocks) -> list[DataFrame]:
     """ln P(graph | edge counts, partition)."""
+    n = F.col("n")
     k = F.col("k_out") + F.col("k_in") if b.graph.directed else F.col("k_out")
     return [*_edge_arrangements(b), b.of_blocks(-k * F.log(n)), _adjacency(b)]
 
@@ -188,12 +200,14 @@ def corrected(b: Blocks) -> list[DataFrame]:
 
 def uniform_degrees(b: Blocks) -> list[DataFrame]:
     """ln P(degrees) under a uniform prior."""
+    n = F.col("n")
     one = lambda k: log_binom(n + k - 1, k)
     return [b.of_blocks(-(one(F.col("k_in")) + one(F.col("k_out"))) if b.graph.directed else -one(F.col("k_out")))]
 
 
 def hyperprior_degrees(b: Blocks) -> list[DataFrame]:
     """ln P(degrees) under a uniform prior on degree distributions."""
+    n = F.col("n")
     if b.graph.directed:
         counts = P.joint_degree_distribution(b.graph, b.part)
         q = log_partitions_column(F.col("k_in"), n) + log_partitions_column(F.col("k_out"), n)
@@ -224,6 +238,7 @@ OBJECTIVES: dict[str, Callable[[Blocks], DataFrame]] = {f.__name__: f for f in (
 
 def hierarchy_prior(graph: Graph, levels: list[DataFrame]) -> list[DataFrame]:
     """ln of the priors of all levels; levels[l] is a partition of the blocks of levels[l - 1], levels[0] of the nodes."""
+    B, E, N, n = columns("B", "E", "N", "n")
     parts, at, below = [], graph, None
     for level in levels:
         own = Blocks(at, level)

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.special import lgamma, log_binom, mdl_entropy
 from loomgraph.operators import partition as P
-from loomgraph.operators.objectives import Blocks, total
-
-N, B, E, n = F.col("N"), F.col("B"), F.col("E"), F.col("n")
+from loomgraph.operators.objectives import Blocks, columns, total
 
 
 def _free(b: Blocks):
+    B = F.col("B")
     return B * B if b.graph.directed else B * (B + 1) / 2
 
 
 def aic(b: Blocks, corrected: bool = False) -> DataFrame:
+    B = F.col("B")
     return total([b.of_totals(_free(b) + (2 * B if corrected else B))])
 
 
 def bic(b: Blocks, sparse: bool = False) -> DataFrame:
+    N = F.col("N")
     return total([b.of_totals(0.5 * _free(b) * (3 if sparse else 2) * F.log(N))])
 
 
@@ -29,6 +30,7 @@ def bic_sparse(b: Blocks) -> DataFrame:
 
 
 def icl(b: Blocks, corrected: bool = False) -> DataFrame:
+    B, N = columns("B", "N")
     if corrected:
         raise NotImplementedError("there is no such score for degree-corrected models")
     pairs = B * B / 2 * F.log(N * N) if b.graph.directed else B * (B + 1) / 4 * F.log(N * (N - 1) / 2)
@@ -36,14 +38,17 @@ def icl(b: Blocks, corrected: bool = False) -> DataFrame:
 
 
 def mdl_traditional(b: Blocks) -> DataFrame:
+    B, E = columns("B", "E")
     return total([b.of_totals(E * F.log(B) + _free(b) * F.log(E))])
 
 
 def mdl_first(b: Blocks) -> DataFrame:
+    B, E, N = columns("B", "E", "N")
     return total([b.of_totals(E * mdl_entropy(_free(b) / E) + N * F.log(B))])
 
 
 def mdl(b: Blocks, corrected: bool = False) -> DataFrame:
+    B, E, N, n = columns("B", "E", "N", "n")
     parts = [b.of_totals(log_binom(B + N - 1, N) + log_binom(_free(b) + E - 1, E)), b.of_blocks(-lgamma(n + 1))]
     if corrected:
         if b.graph.directed:

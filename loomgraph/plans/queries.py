@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import factor, metrics, objectives, selection
+from loomgraph.operators import factor, metrics, objectives, search, selection
 from loomgraph.operators import partition as P
 from loomgraph.sources import adapters
 
@@ -285,5 +285,23 @@ SELECT node, v, round(w, 6) AS w FROM rk WHERE rn = 1""",
         )
 
 
-for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor):
+def _register_searches() -> None:
+    """Order-dependent searches: no SQL; a row per node of the best of two trials."""
+    for method in ("ma", "mha_1k", "mhac_1k", "mhab_1k", "kl_g", "kl_g_nn", "kl_em", "kl", "kl_nn", "pah", "spectral", "spectral_norm", "frost", "svca"):
+        def run(spark, sf_dir, method=method):
+            graph, _ = adapters.GRAPHS["nation_und"](spark, sf_dir)
+            edges = graph.edges.select(F.lit("nation").alias("graph_id"), "src", "dst", "weight")
+            runs = search.search(edges, search.grid_of(spark, [method], ["dckn"], [5], 2), False, seed=1)
+            return search.best_trials(runs).select("method", "trial", "node", "block", F.round("value", 4).alias("value"), "status")
+
+        _add(f"search_{method}_nation_und", run, None)
+
+    def em_once(spark, sf_dir):
+        graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        return search.em_step(graph, part)
+
+    _add("em_step_nation_und", em_once, None)
+
+
+for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches):
     _register()
