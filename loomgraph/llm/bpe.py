@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from loomgraph.llm import common
 
 #: Encoded pieces kept by a worker: two generations of so many.
-KEPT = 600_000
+KEPT = 450_000
 #: Control characters that Python's split() takes for white space and the tokenizer's pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Letters whose normal form and lower case are alike in every Unicode version; other texts go through the library's normaliser.
@@ -262,6 +262,9 @@ def coder(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
+common.HELD["bpe"] = coder.cache_clear
+
+
 def encoded(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """For batches of (key, text): each with the packed ids of its texts."""
     own = coder(path)
@@ -283,7 +286,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch, packed in encoded(tokenizer_path, batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), _as_lists(packed)], ["id", "ids"])
 
-    return common.map_rows(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return common.map_rows(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>", "bpe").withColumnRenamed("id", id_col)
 
 
 def decode(encodings: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -294,7 +297,7 @@ def decode(encodings: DataFrame, tokenizer_path: str, id_col: str = "doc_id", id
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(np.array(x or [], dtype=np.int64)).decode() for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
-    return common.map_rows(encodings.select(encodings[id_col].alias("id"), encodings[ids_col].alias("ids")), run, f"id {encodings.schema[id_col].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return common.map_rows(encodings.select(encodings[id_col].alias("id"), encodings[ids_col].alias("ids")), run, f"id {encodings.schema[id_col].dataType.simpleString()}, text string", "bpe").withColumnRenamed("id", id_col)
 
 
 def encode_and(docs: DataFrame, tokenizer_path: str, derive: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,4 +307,4 @@ def encode_and(docs: DataFrame, tokenizer_path: str, derive: Callable, schema: s
         for batch, packed in encoded(tokenizer_path, batches):
             yield from derive(coder(tokenizer_path), batch, packed)
 
-    return common.map_rows(docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("text")), run, schema)
+    return common.map_rows(docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("text")), run, schema, "bpe")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship
+from loomgraph.session import shared_root, ship
 
 #: Rows and bytes of an Arrow batch; a batch holds at most the rows, and ends soon after the bytes.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
@@ -18,16 +20,6 @@ BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/loomgraph-shared"
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -64,11 +56,31 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with bounded batches; function takes and gives iterators of record batches."""
+#: What operators keep in a Python worker between tasks: name, and how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def release(but: str | None) -> None:
+    """Let go of what other operators keep in this worker, and give the memory back."""
+    others = [clear for name, clear in HELD.items() if name != but]
+    for clear in others:
+        clear()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_rows(df: DataFrame, function, schema, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with bounded batches; function takes and gives iterators of record batches.  keeps: its name in HELD."""
     bound_batches(df.sparkSession)
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -78,6 +78,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+common.HELD["token_counts"] = counter.cache_clear
+
+
 def count(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text; over_limit: more than limit tokens."""
 
@@ -92,4 +95,4 @@ def count(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str =
             )
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return common.map_rows(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return common.map_rows(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean", "token_counts").withColumnRenamed("id", id_col)
