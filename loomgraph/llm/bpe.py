@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from loomgraph.llm import common
 
 #: Encoded pieces kept by a worker: two generations of so many.
-KEPT = 450_000
+KEPT = 500_000
 #: Control characters that Python's split() takes for white space and the tokenizer's pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Letters whose normal form and lower case are alike in every Unicode version; other texts go through the library's normaliser.
@@ -84,8 +84,8 @@ class TrieBpe:
             if x in vocab and y in vocab and x + y in vocab:
                 self.made.setdefault(vocab[x + y], (rank, vocab[x], vocab[y]))
                 self.joined[vocab[x], vocab[y]] = rank
-        self.ids = max(vocab.values()) + 1
-        self.apart: dict[int, bool] = {}
+        #: By first token: whether it and a second one stay apart, as far as asked.
+        self.apart: list[dict[int, bool] | None] = [None] * (max(vocab.values()) + 1)
         for table in (self.inner, self.final):  # tokens that their own bytes don't encode to never end a prefix
             for raw in [b for b, i in table.items() if len(b) > 1 and self._merge(b, table is self.final) != [i]]:
                 del table[raw]
@@ -111,12 +111,11 @@ class TrieBpe:
 
     def _stay_apart(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of tokens a and b together gives a and b again: no merge across their border comes before the merges that made them."""
-        key = a * self.ids + b
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) > 1_000_000:
-                self.apart.clear()
-            known = self.apart[key] = self._crosses(a, b) is False
+        door = self.apart[a]
+        if door is None:
+            door = self.apart[a] = {}
+        if (known := door.get(b)) is None:
+            known = door[b] = not self._crosses(a, b)
         return known
 
     def _crosses(self, a: int, b: int) -> bool:
@@ -136,8 +135,9 @@ class TrieBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of distinct words, given as one letter per byte, by the trie walk."""
-        inner, final, apart, stay, ids_n = self.inner, self.final, self.apart, self._stay_apart, self.ids
-        inner_sizes, final_sizes = self.inner_sizes, self.final_sizes
+        token_of, last_of, apart, stay = self.inner.get, self.final.get, self.apart, self._stay_apart
+        sizes_of, last_sizes_of = self.inner_sizes.get, self.final_sizes.get
+        doors: list[dict[int, bool] | None] = [None]  # of each prefix, what is known of tokens after its last
         states: list[int] = [-1]  # last token of each prefix of the word before
         lengths: list[int] = [0]
         before, out = "", {}
@@ -152,36 +152,48 @@ class TrieBpe:
             if shared >= len(states):
                 shared = len(states) - 1
             del states[shared + 1 :], lengths[shared + 1 :]
+            del doors[shared + 1 :]
             for d in range(shared + 1, n):
-                for size in inner_sizes[word[d - 3 : d]] if d > 2 and word[d - 3 : d] in inner_sizes else SHORT:
+                for size in sizes_of(word[d - 3 : d], SHORT) if d > 2 else SHORT:
                     start = d - size
                     if start < 0:
                         continue
-                    t = inner.get(word[start:d])
+                    t = token_of(word[start:d])
                     if t is None:
                         continue
                     if start:
-                        p = states[start]
-                        if (ok := apart.get(p * ids_n + t)) is None:
-                            ok = stay(p, t)
+                        if (ok := doors[start].get(t)) is None:
+                            ok = stay(states[start], t)
                         if not ok:
                             continue
                     states.append(t)
                     lengths.append(size)
+                    if (door := apart[t]) is None:
+                        door = apart[t] = {}
+                    doors.append(door)
                     break
-            for size in final_sizes[word[n - 3 :]] if n > 2 and word[n - 3 :] in final_sizes else SHORT:
+            for size in last_sizes_of(word[n - 3 :], SHORT) if n > 2 else SHORT:
                 start = n - size
                 if start < 0:
                     continue
-                t = final.get(word[start:])
-                if t is not None and (start == 0 or stay(states[start], t)):
-                    ids, at = [t], start
+                t = last_of(word[start:])
+                if t is None:
+                    continue
+                if start:
+                    if (ok := doors[start].get(t)) is None:
+                        ok = stay(states[start], t)
+                    if not ok:
+                        continue
+                    ids = [t, states[start]]
+                    at = start - lengths[start]
                     while at:
                         ids.append(states[at])
                         at -= lengths[at]
                     ids.reverse()
                     out[word] = array("I", ids).tobytes()
-                    break
+                else:
+                    out[word] = array("I", (t,)).tobytes()
+                break
             before = word
         return out
 
