@@ -40,13 +40,14 @@ def bernoulli(nodes: DataFrame, p: np.ndarray, seed: int, directed: bool = False
     a = chunks.select(F.col("chunk").alias("i"))
     b = chunks.select(F.col("chunk").alias("j"))
     cells = a.join(b, F.lit(True) if directed else F.col("i") <= F.col("j"))
-    left = own.join(cells, own.chunk == cells.i).select("i", "j", "node", "block", "weight")
-    right = own.join(cells, own.chunk == cells.j).select(F.col("i").alias("i2"), F.col("j").alias("j2"), "node", "block", "weight")
+    left = cells.withColumn("chunk", F.col("i")).join(own, "chunk").select("i", "j", "node", "block", "weight")
+    right = cells.withColumn("chunk", F.col("j")).join(own, "chunk").select(*(F.col(c).alias(f"{c}2") for c in ("i", "j", "node", "block", "weight")))
 
     def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         i, j = (int(k) for k in key)
         if not len(x) or not len(y):
             return pd.DataFrame({"src": [], "dst": [], "weight": []})
+        y = y.rename(columns=lambda c: c.removesuffix("2"))
         x, y = x.sort_values("node"), y.sort_values("node")
         random = np.random.default_rng([seed, i, j])
         chance = np.minimum(1.0, p[np.ix_(x["block"], y["block"])] * np.outer(x["weight"], y["weight"]))

@@ -12,7 +12,7 @@ from loomgraph.operators.graph import Graph
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, file) of text files."""
-    return spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"))
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"), F.col("_metadata.file_path").alias("file"))
 
 
 def lfr_network(spark: SparkSession, path: str, base: int = 0) -> DataFrame:
@@ -44,13 +44,13 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
 
 def labels_by_line(spark: SparkSession, path: str) -> DataFrame:
     """(node, block) of one integer a line; the node is the line's number from 0 in a single file."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("node", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("node", "line"))
     return rows.where("trim(line) <> ''").select(F.col("node").cast("long"), F.trim("line").cast("int").alias("block"))
 
 
 def pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes(node, label, pos), edges(src, dst, weight, directed)) of a .net file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select("at", F.trim("line").alias("line")).where("line <> '' and not line like '\\%%'")
     tag = F.when(F.col("line").startswith("*"), F.lower(F.regexp_extract("line", r"^\*(\w+)", 1)))
     tagged = lines.withColumn("section", F.last(tag, True).over(Window.orderBy("at"))).where(~F.col("line").startswith("*"))
@@ -90,7 +90,7 @@ def parse_gml(text: str) -> tuple[bool, list[dict], list[dict]]:
 
 def gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes(node, label, value), edges(src, dst, weight), directed) of one GML file."""
-    text = spark.read.option("wholetext", True).text(path).first().value
+    text = spark.read.text(path, wholetext=True).first().value
     directed, nodes, edges = parse_gml(text)
     table = spark.createDataFrame([(int(n["id"]), n.get("label"), n.get("value")) for n in nodes], "node long, label string, value string")
     return table, spark.createDataFrame([(int(e["source"]), int(e["target"]), float(e.get("value", e.get("weight", 1)))) for e in edges], "src long, dst long, weight double"), directed
