@@ -142,12 +142,14 @@ def _crowded(radius: int):
 def _meetings(nodes: DataFrame, variants: Column) -> tuple[DataFrame, DataFrame]:
     """From rows with column node: (a, b) of the variants that two nodes share, and (key, node) of those that more share.
 
-    Both read one shuffle of the variants; only a variant's minimum, maximum and count are kept of it.
+    Both read one shuffle of the variants; only a variant's minimum, maximum, count and a mix of its nodes are kept
+    of it.  Variants that the same nodes share would compare the same pairs: one of them stays.
     """
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = nodes.select("node", F.explode(variants).alias("key")).repartition(n, "key")
-    seen = met.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a <> b")
-    many = met.join(seen.where("n > 2").select("key").hint("shuffle_hash"), "key", "left_semi").select("key", "node")
+    seen = met.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix")).where("a <> b")
+    kept = seen.where("n > 2").groupBy("a", "b", "n", "mix").agg(F.min("key").alias("key")).select("key")
+    many = met.join(kept.hint("shuffle_hash"), "key", "left_semi").select("key", "node")
     return seen.where("n = 2").select("a", "b"), many
 
 
