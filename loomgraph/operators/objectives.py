@@ -35,7 +35,7 @@ class Blocks:
         self.stats = P.block_stats(graph, part, self.edges)
         a = self.stats.select(F.col("block").alias("r"), F.col("n").alias("nr"), F.col("k_out").alias("kr"))
         b = self.stats.select(F.col("block").alias("s"), F.col("n").alias("ns"), F.col("k_in").alias("ks"))
-        self.pairs = self.edges.join(F.broadcast(a), "r").join(F.broadcast(b), "s")
+        self.pairs = self.edges.join(a, "r").join(b, "s")  # Spark broadcasts the sizes where they are small
         self.totals = self.stats.agg(F.sum("n").alias("N"), F.count("*").cast("double").alias("B")).crossJoin(graph.edges.agg(F.sum("weight").alias("E")))
 
     def of_pairs(self, term: Column, where: Column | None = None) -> DataFrame:
@@ -264,7 +264,7 @@ def node_deltas(graph: Graph, part: DataFrame, objective: str = "dckn") -> DataF
 
     A move from r to t changes only rows and columns r and t of the block matrix.  With the node's edges to each
     block known, the change is a sum over the blocks joined to r or t, so it is a join of the node's context
-    with those rows.
+    with those rows.  Rows grow with nodes times blocks squared: for partitions into a few hundred blocks.
     """
     if graph.directed or objective not in ("skn", "dckn"):
         raise ValueError("deltas as tables are for skn and dckn of undirected graphs")
@@ -280,8 +280,8 @@ def node_deltas(graph: Graph, part: DataFrame, objective: str = "dckn") -> DataF
     # per move: e_ru, e_tu, w_u for every third block u
     all_u = moves.join(F.broadcast(blocks.select(F.col("block").alias("u"))), F.lit(True))
     full = (
-        all_u.join(F.broadcast(ends.select(F.col("x").alias("r"), "u", F.col("e").alias("e_r"))), ["r", "u"], "left")
-        .join(F.broadcast(ends.select(F.col("x").alias("t"), "u", F.col("e").alias("e_t"))), ["t", "u"], "left")
+        all_u.join(ends.select(F.col("x").alias("r"), "u", F.col("e").alias("e_r")), ["r", "u"], "left")
+        .join(ends.select(F.col("x").alias("t"), "u", F.col("e").alias("e_t")), ["t", "u"], "left")
         .join(kit.select("node", F.col("block").alias("u"), "w"), ["node", "u"], "left")
         .na.fill(0.0, ["e_r", "e_t", "w"])
     )
