@@ -34,8 +34,11 @@ RADIUS, SEED = 3, 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Members of a variant that are compared at once.
 BLOCK_ROWS = 2048
-#: For similar(): keys to a text and their bits, words of a shingle, and bits of 256 that may differ.
-TABLES, KEY_BITS, SHINGLE, APART = 6, 40, 5, 48
+#: For similar(): words of a shingle, and bits of 256 that may differ.
+SHINGLE, APART = 5, 48
+#: Texts that show which shingles are common (these and a share of all), how often such a shingle is seen, and how many
+#: are kept.  They decide the order of shingles only: links are the same for every order.
+SHOWN, SHARE, SEEN, COMMON = 8192, 1 / 64, 3, 1 << 17
 #: Fixed value: the odd multiplier of a common 64-bit mixer.
 MIX = 0xBF58476D1CE4E5B9
 
@@ -173,9 +176,9 @@ def classes(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: s
     return common.join_hot(own, found, ["fp"]).select("id", "fp", "component")
 
 
-def _spread(hashes: list[int], words: int) -> np.ndarray:
+def _spread(h: np.ndarray, words: int) -> np.ndarray:
     """Majority bits of hashes, 64 for each word, from as many mixes of every hash."""
-    h, out = np.array(hashes, dtype=np.uint64), []
+    out = []
     for k in range(words):
         x = (h + np.uint64(k * MIX & (1 << 64) - 1)) * np.uint64(MIX)
         x ^= x >> np.uint64(29)
@@ -186,43 +189,75 @@ def _spread(hashes: list[int], words: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signature(text: bytes) -> tuple[int, list[int], list[int]]:
-    """A hash of the word sequence, TABLES keys of KEY_BITS bits from the distinct words, and 256 bits from the distinct shingles of SHINGLE words."""
+def shingled(text: bytes) -> tuple[int, np.ndarray]:
+    """A hash of the word sequence, and the sorted hashes of the distinct shingles of SHINGLE words."""
     parts = text.lower().split()
     joined = b" ".join(parts)
-    own = xxhash.xxh64_intdigest(joined, SEED)
-    if not parts:
-        return _signed(own), [0] * TABLES, [0] * 4
     digest = xxhash.xxh64_intdigest
+    own = _signed(digest(joined, SEED))
+    if not parts:
+        return own, np.empty(0, np.uint64)
     ends, at = [], -1
     for n in map(len, parts):
         at += n + 1
         ends.append(at)
     starts = [0, *(e + 1 for e in ends[: max(0, len(parts) - SHINGLE)])]
-    shingles = {digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(SHINGLE, len(parts)) - 1 :])}
-    words = _spread([digest(w, SEED) for w in set(parts)], -(-TABLES * KEY_BITS // 64))[: TABLES * KEY_BITS]
-    keys = words.reshape(TABLES, KEY_BITS) @ (1 << np.arange(KEY_BITS, dtype=np.int64))
-    return _signed(own), keys.tolist(), np.packbits(_spread(list(shingles), 4), bitorder="little").view("<i8").tolist()
+    return own, np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(SHINGLE, len(parts)) - 1 :])], dtype=np.uint64))
+
+
+def prefix(shingles: np.ndarray, common_ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The shingles that come first in one order of all shingles, rare before common: so many that a set alike to 0.8 or more must have one of them first too.
+
+    Two sets of sizes n and m that are alike to 0.8 share ceil(0.8 n) and ceil(0.8 m) shingles at least.  The first
+    shared one in the order has as many shared ones behind it, so it is among the first n - ceil(0.8 n) + 1 of n.
+    """
+    times = np.zeros(len(shingles), dtype=np.int64)
+    if len(common_ones):
+        at = np.minimum(np.searchsorted(common_ones, shingles), len(common_ones) - 1)
+        times = np.where(common_ones[at] == shingles, seen[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, times))[: n - (4 * n + 4) // 5 + 1]] if n else shingles
+
+
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are common among some of the texts, and how often they were seen; texts: (id, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingled(text or b"")[1].view(np.int64))], ["s"])
+
+    share = min(1.0, max(SHARE, SHOWN / max(1, texts.count())))
+    counted = common.map_rows(texts.sample(share, 5), run, "s long").groupBy("s").count().where(F.col("count") >= SEEN)
+    rows = counted.orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    shingles = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], np.array([r[1] for r in rows], dtype=np.int64)[order]
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of texts with SHINGLE-word shingles alike to 0.8 or more; ids are integers.
 
-    The same search on longer signatures.  Keys come from distinct words, of which an edit changes few, and
-    variants of each key are emitted within half of radius 2; what meets is verified on 256 bits of the distinct
-    shingles, where a similarity of 0.8 makes 39 bits differ on average and APART at most pass.
+    Texts that are so alike share a shingle of their prefixes, so the shuffle brings every such pair together;
+    what meets is verified on 256 bits of the distinct shingles, where a similarity of 0.8 makes 39 bits differ on
+    average and APART at most pass.
     """
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
+    order = _common_shingles(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [signature(t or b"") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (1, 2))], ["id", "h", "keys", "bits"])
+            own, keys, bits = [], [], []
+            for text in batch.column(1).to_pylist():
+                h, shingles = shingled(text or b"")
+                own.append(h)
+                keys.append(prefix(shingles, *order).view(np.int64))
+                bits.append(np.packbits(_spread(shingles, 4), bitorder="little").view("<i8").tolist() if len(shingles) else [0] * 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, bits))], ["id", "h", "keys", "bits"])
 
-    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
     own = common.cut(common.map_rows(rows, run, "id long, h long, keys array<long>, bits array<long>"), "signatures")
     nodes = common.cut(own.groupBy("h", "bits", "keys").agg(F.min("id").alias("node")).where(F.exists("bits", lambda b: b != 0)), "texts")
-    flips = F.lit([0, *(1 << b for b in range(KEY_BITS))])
-    two, many = _meetings(nodes, F.concat(*(F.transform(flips, _flipper(k, F.col("keys")[k])) for k in range(TABLES))))
+    two, many = _meetings(nodes, F.col("keys"))
     bits = nodes.select("node", "bits")
     pairs = two.distinct().join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, 4)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))

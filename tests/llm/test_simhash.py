@@ -115,3 +115,32 @@ def test_edited_copies_are_similar(spark):
     kept = sorted(r.doc_id for r in simhash.survivors(simhash.similar(docs), docs).collect())
     assert kept == sorted(set(got.values()))
     assert simhash.similar(docs.limit(0)).count() == 0
+
+
+def block_edits(random, vocabulary):
+    """Word lists with a block replaced, appended or cut off, at similarities on both sides of 0.8: (words, edited)."""
+    for n in (12, 60, 200, 411):
+        for size in sorted({1, 2, *(int(n * x) for x in (0.04, 0.06, 0.085, 0.1, 0.15, 0.2, 0.24, 0.26, 0.3))} - {0}):
+            words = random.choice(vocabulary, n).tolist()
+            new, at = random.choice(vocabulary, size).tolist(), int(random.integers(0, n - size))
+            yield words, words[:at] + new + words[at + size :]
+            yield words, words + new
+            yield words, words[: n - size]
+
+
+def test_every_alike_pair_shares_a_key(spark):
+    random = np.random.default_rng(12)
+    vocabulary = [f"w{i:04d}" for i in range(3000)]
+    pairs = [(" ".join(a), " ".join(b)) for a, b in block_edits(random, vocabulary)]
+    some = [t for p in pairs[::3] for t in p]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(some * 2)], "id long, text string").selectExpr("id", "cast(text as binary) text")
+    common_ones, seen = simhash._common_shingles(docs)
+    assert len(common_ones) and (np.diff(common_ones.astype(object)) > 0).all() and seen.min() >= simhash.SEEN
+    for order in ((common_ones, seen), (common_ones[:0], seen[:0])):
+        alike = 0
+        for a, b in pairs:
+            if jaccard(a, b) >= 0.8:
+                alike += 1
+                keys = [simhash.prefix(simhash.shingled(t.encode())[1], *order) for t in (a, b)]
+                assert len(np.intersect1d(*keys))
+        assert 50 < alike < len(pairs)
