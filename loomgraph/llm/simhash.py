@@ -34,8 +34,11 @@ RADIUS, SEED = 3, 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Members of a variant that are compared at once.
 BLOCK_ROWS = 2048
-#: For similar(): words of a shingle, and bits of 256 that may differ.
-SHINGLE, APART = 5, 48
+#: For similar(): words of a shingle, and bits of 256 that may differ before the shingles are compared: in two texts alike
+#: to 0.8 about 39 differ, 48 at worst in very short ones, and over 96 with a chance below 1e-11.
+SHINGLE, LOOSE = 5, 96
+#: Texts and bytes of text that are compared in one task.
+GROUP_ROWS, GROUP_BYTES = 4096, 16 << 20
 #: Texts that show which shingles are common (these and a share of all), how often such a shingle is seen, and how many
 #: are kept.  They decide the order of shingles only: links are the same for every order.
 SHOWN, SHARE, SEEN, COMMON = 8192, 1 / 64, 3, 1 << 17
@@ -116,13 +119,28 @@ def _forest(nodes: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[
                     yield int(nodes[a]), int(nodes[b])
 
 
-def _crowded(radius: int):
+def _loose_forest(nodes: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """As _forest(), for members most of which link: a search from member to member that drops whoever it reached."""
+    nodes, first = np.unique(nodes, return_index=True)
+    bits = bits[first].view(np.uint64)
+    left, queue = np.arange(len(nodes)), []
+    while len(left):
+        if not queue:
+            queue, left = [left[0]], left[1:]
+        x = queue.pop()
+        near = np.bitwise_count(bits[left] ^ bits[x]).sum(axis=1, dtype=np.int64) <= radius
+        yield from ((int(nodes[x]), int(nodes[y])) for y in left[near])
+        queue.extend(left[near])
+        left = left[~near]
+
+
+def _crowded(radius: int, forest=_forest):
     """For rows (key, node, bits array) that come sorted by key: the links among the members of each key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def linked(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(np.diff(key)) + 1
-        found = [x for members, words in zip(np.split(node, at), np.split(bits, at)) for x in _forest(members, words, radius)]
+        found = [x for members, words in zip(np.split(node, at), np.split(bits, at)) for x in forest(members, words, radius)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +257,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, component) of texts with SHINGLE-word shingles alike to 0.8 or more; ids are integers.
 
     Texts that are so alike share a shingle of their prefixes, so the shuffle brings every such pair together;
-    what meets is verified on 256 bits of the distinct shingles, where a similarity of 0.8 makes 39 bits differ on
-    average and APART at most pass.
+    pairs with more than LOOSE of 256 majority bits apart are left out, and what links then is a group whose texts
+    are compared by their shingles: exact_links() decides.
     """
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
     order = _common_shingles(rows)
@@ -263,13 +281,98 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, 4)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     crowded = many.join(bits, "node").select("key", "node", "bits").repartition(n, "key").sortWithinPartitions("key")
-    found = pairs.where(apart <= APART).select("a", "b").unionByName(common.map_rows(crowded, _crowded(APART), "a long, b long").distinct())
+    loose = pairs.where(apart <= LOOSE).select("a", "b").unionByName(common.map_rows(crowded, _crowded(LOOSE, _loose_forest), "a long, b long").distinct())
+    groups = common.cut(components(loose).join(nodes.select("node", "h"), "node").select("node", "h", F.col("root").alias("g")), "groups")
+    found = exact_links(groups, rows)
     roots = common.cut(components(found), "roots").select("node", F.col("root").alias("component"))
     named = nodes.join(roots, "node", "left").select("h", "bits", F.coalesce("component", "node").alias("component"))
     empty = own.where(~F.exists("bits", lambda b: b != 0)).groupBy("h", "bits").agg(F.min("id").alias("component"))
     return common.join_hot(own.select("id", "h", "bits"), named.unionByName(empty), ["h", "bits"]).select("id", "component")
 
 
+def exact_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join, within each group, all nodes whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+    groups: (node, h, g), texts: (id, text); the text of a node is one of its id whose words hash to h.  A group too
+    large for a task is cut into parts, and every two parts are compared in a task of their own.
+    """
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = texts.withColumn("bytes", F.length("text")).join(common.maybe_broadcast(groups, 32), texts["id"] == groups["node"]).select("g", "node", "h", "text", "bytes")
+    held = common.cut(sized, "grouped")
+    parts = held.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("bytes") / GROUP_BYTES)).cast("int").alias("parts")).where("parts > 1")
+    large = common.cut(parts, "parts")
+    few = common.maybe_broadcast(large, 16)
+    whole = held.join(common.maybe_broadcast(large.select("g"), 16), "g", "left_anti").select(F.xxhash64("g").alias("key"), "g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "h", "text")
+    mine = held.join(few, "g").withColumn("mine", F.pmod(F.xxhash64("node", "h"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("mine"))
+    dealt = mine.select("g", F.col("mine"), "node", "h", "text", F.explode(others).alias("other")).select(F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "h", "text")
+    together = whole.unionByName(dealt).repartition(n, "key").sortWithinPartitions("key", "g", "i", "j").select("g", "i", "j", "node", "h", "text")
+    return common.map_rows(together, _compared, "a long, b long").distinct()
+
+
+def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a spanning forest of each run of rows (g, i, j, node, h, text) with equal g, i and j."""
+    last, nodes, sets = None, [], []
+
+    def linked() -> pa.RecordBatch:
+        found = list(_alike(nodes, sets))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        g, i, j, node, h, text = (batch.column(k) for k in range(6))
+        for *key, name, own, t in zip(g.to_pylist(), i.to_pylist(), j.to_pylist(), node.to_pylist(), h.to_pylist(), text.to_pylist()):
+            if key != last:
+                if len(nodes) > 1:
+                    yield linked()
+                last, nodes, sets = key, [], []
+            words, shingles = shingled(t or b"")
+            if words == own:
+                nodes.append(name)
+                sets.append(shingles)
+    if len(nodes) > 1:
+        yield linked()
+
+
+def _alike(nodes: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the nodes whose sets are alike to 0.8 or more, searched from node to node; whoever was reached is dropped."""
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    sizes = np.array([len(sets[k]) for k in order])
+    words, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    codes = np.split(flat, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(words), dtype=np.int32)
+    left = np.arange(len(order))
+    starts, queue = np.cumsum(sizes) - sizes, []
+
+    def keep(stay: np.ndarray) -> None:
+        nonlocal left, flat, starts
+        flat = flat[np.repeat(stay, sizes[left])]
+        left = left[stay]
+        starts = np.cumsum(sizes[left]) - sizes[left]
+
+    while len(left):
+        if not queue:
+            queue = [int(left[0])]
+            keep(left != left[0])
+            continue
+        x = queue.pop()
+        # alike sets differ in size by a fifth at most
+        first, end = np.searchsorted(5 * sizes[left], 4 * sizes[x]), np.searchsorted(4 * sizes[left], 5 * sizes[x], side="right")
+        if first == end:
+            continue
+        begin, stop = starts[first], starts[end - 1] + sizes[left[end - 1]]
+        mark[codes[x]] = 1
+        shared = np.add.reduceat(mark[flat[begin:stop]], starts[first:end] - begin)
+        mark[codes[x]] = 0
+        near = np.flatnonzero(9 * shared >= 4 * (sizes[x] + sizes[left[first:end]])) + first
+        if len(near):
+            reached = left[near]
+            yield from ((nodes[order[x]], nodes[order[y]]) for y in reached)
+            queue.extend(reached.tolist())
+            stay = np.ones(len(left), dtype=bool)
+            stay[near] = False
+            keep(stay)
+
+
 def survivors(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each component of found (id, component): the row whose id names it, and of rows that repeat that id any one.  Rows without an id stay.
 

@@ -144,3 +144,43 @@ def test_every_alike_pair_shares_a_key(spark):
                 keys = [simhash.prefix(simhash.shingled(t.encode())[1], *order) for t in (a, b)]
                 assert len(np.intersect1d(*keys))
         assert 50 < alike < len(pairs)
+
+
+def test_alike_texts_are_brute_force_s(spark, monkeypatch):
+    random = np.random.default_rng(13)
+    vocabulary = [f"w{i:04d}" for i in range(3000)]
+    texts = [None, "", "one", "One", "two words"]
+    for words, edited in block_edits(random, vocabulary):
+        texts += [" ".join(words), " ".join(edited)]
+    for _ in range(40):  # scattered edits, most of them below 0.8
+        words = random.choice(vocabulary, 200).tolist()
+        texts.append(" ".join(words))
+        for at in random.choice(200, int(random.integers(3, 9)), replace=False):
+            words[int(at)] = "changed"
+        texts.append(" ".join(words))
+    line, template = random.choice(vocabulary, 30).tolist(), random.choice(vocabulary, 150).tolist()
+    texts += [" ".join(line + random.choice(vocabulary, int(random.integers(2, 60))).tolist()) for _ in range(60)]
+    for _ in range(80):  # a crowded template
+        words = list(template)
+        for at in random.choice(150, int(random.integers(1, 12)), replace=False):
+            words[int(at)] = str(random.integers(0, 3000))
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = [find(i) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for rows in (simhash.GROUP_ROWS, 16):  # in one part and in parts
+        monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
+        got = {r.id: r.component for r in simhash.similar(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
