@@ -7,7 +7,8 @@ sent to it.  A list whose every entry reaches the threshold is saturated and is
 Rounds go on until few lists change and an audit, which compares a fixed number of nodes with all, finds
 enough of their links.
 
-Links at the threshold give components.  Within a component the links are then counted exactly, in blocks of
+Links at the threshold give components.  A saturated list drops partners, so saturated nodes of different
+components are compared with each other exactly, in blocks, and what links joins components.  Within a component the links are then counted exactly, in blocks of
 rows against blocks of rows, so a list's length never limits what is counted and no pairs of a group are
 emitted.  Similarities that decide are computed in double precision.
 
@@ -34,8 +35,8 @@ from loomgraph.session import ship
 LIST, LARGER, TABLES, BUCKET, ROUNDS = 12, 48, 6, 64, 8
 #: Nodes that an audit compares with all, the share of their links that must be found, and the share of changed lists that ends the rounds.
 AUDIT, ENOUGH, FEW_CHANGES = 256, 0.99, 0.02
-#: Rows of a block when links are counted.
-BLOCK = 1024
+#: Rows of a block when links are counted, and when saturated nodes are compared.
+BLOCK, BETWEEN = 1024, 4096
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -183,6 +184,32 @@ def _audit(nodes: DataFrame, threshold: float):
     return recall
 
 
+def _between(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join the components of which any two members link; members: (node, root, v)."""
+    rows = members.withColumn("dim", F.size("v"))
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.countDistinct("root").alias("roots")).where("roots > 1")
+    sized = rows.join(F.broadcast(sizes), "dim").withColumn("blocks", F.ceil(F.col("n") / BETWEEN).cast("int"))
+    mine = sized.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    # a block meets every block once: as the left side those from its own on, as the right side those up to its own
+    left = mine.select("dim", F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("j"), "node", "root", "v")
+    right = mine.select(F.col("dim").alias("dim2"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i2"), F.col("mine").alias("j2"), F.col("node").alias("other"), F.col("root").alias("root2"), F.col("v").alias("w"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if a.num_rows and b.num_rows:
+            d = len(a["v"][0])
+            x, y = _units(_matrix(a["v"], d)), _units(_matrix(b["w"], d))
+            node, root, other, root2 = (t.to_numpy() for t in (a["node"], a["root"], b["other"], b["root2"]))
+            for k in range(0, len(node), BLOCK):
+                p, q = np.nonzero((x[k : k + BLOCK] @ y.T >= threshold) & (root[k : k + BLOCK, None] != root2[None, :]))
+                _, first = np.unique(np.stack([root[k + p], root2[q]]), axis=1, return_index=True)
+                for f in first:
+                    found[int(root[k + p[f]]), int(root2[q[f]])] = int(node[k + p[f]]), int(other[q[f]])
+        return pa.table({"a": pa.array([u for u, _ in found.values()], pa.int64()), "b": pa.array([w for _, w in found.values()], pa.int64())})
+
+    return left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim2", "i2", "j2")).applyInArrow(run, "a long, b long").distinct()
+
+
 def _counted(members: DataFrame, threshold: float) -> DataFrame:
     """(node, n): the copies of other nodes that a node links with, counted in blocks; members: (g, node, v, copies), one g a component and dimension."""
     sized = members.withColumn("n", F.count("*").over(Window.partitionBy("g"))).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -223,6 +250,11 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     close = found.where(F.col("s") >= threshold - 1e-3).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     linked = common.cut(_decided(close, vectors, threshold), "links")
     roots = common.cut(components(linked), "roots")
+    full = found.groupBy("node").agg(F.count("*").alias("n"), F.min("s").alias("kth")).where((F.col("n") >= LIST) & (F.col("kth") >= threshold - 1e-3)).select("node")
+    saturated = common.cut(full.join(roots, "node").join(vectors, "node").select("node", "root", "v"), "saturated")
+    lost = common.cut(_between(saturated, threshold), "between")
+    if lost.take(1):
+        roots = common.cut(components(linked.unionByName(lost)), "roots")
     members = roots.join(nodes, "node").select(F.xxhash64("root", F.size("v")).alias("g"), "root", "node", "v", "copies", "first")
     counted = common.cut(_counted(members, threshold), "counted")
     least = members.groupBy("root").agg(F.min("first").alias("component"))

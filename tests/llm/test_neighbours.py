@@ -43,5 +43,21 @@ def test_links_are_brute_force_s(spark, monkeypatch):
     assert sorted(got) == sorted(brute(rows, 0.95))
 
 
+def test_dense_groups_that_link_below_their_own(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    base, side = np.linalg.qr(random.normal(size=(16, 2)))[0].T
+    rows = []
+    for centre in (base, 0.967 * base + (1 - 0.967**2) ** 0.5 * side):  # inner cosines about 0.99, cross ones about 0.957
+        rows += [(centre + random.normal(size=16) * 0.025).tolist() for _ in range(90)]
+    rows += [(-base + 0.02 * random.normal(size=16)).tolist() for _ in range(60)]  # a third that is far away
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = sorted(brute(rows, 0.95))
+    assert {c for _, _, c in want} == {0, 180}
+    for size in (neighbours.BETWEEN, 64):
+        monkeypatch.setattr(neighbours, "BETWEEN", size)
+        assert sorted((r.id, r.n_links, r.component) for r in neighbours.near_duplicates(table).collect()) == want
+
+
 def test_empty(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
