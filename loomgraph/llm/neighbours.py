@@ -4,8 +4,8 @@ Vectors with equal components are one node.  Nodes start with neighbours from ra
 round joins every node's list and reverse list at the node they share: members of a list are neighbours of
 neighbours, all pairs with a new member are compared there, and what improves a member's own list is
 sent to it.  A list whose every entry reaches the threshold is saturated and is enlarged in the next round.
-Rounds go on until few lists change and an audit, which compares a fixed number of nodes with all, finds
-enough of their links.
+Rounds go on until few lists change and an audit, which compares some nodes with all, finds enough of their links.
+Where it doesn't, or meets too few links to tell, all nodes of different components are compared exactly.
 
 Links at the threshold give components.  A saturated list drops partners, so saturated nodes of different
 components are compared with each other exactly, in blocks, and what links joins components.  Within a component the links are then counted exactly, in blocks of
@@ -33,8 +33,9 @@ from loomgraph.session import ship
 
 #: Entries of a list at first and after enlarging, tables of hyperplanes and their bucket size, rounds at most.
 LIST, LARGER, TABLES, BUCKET, ROUNDS = 12, 48, 6, 64, 8
-#: Nodes that an audit compares with all, the share of their links that must be found, and the share of changed lists that ends the rounds.
-AUDIT, ENOUGH, FEW_CHANGES = 256, 0.99, 0.02
+#: Nodes that an audit compares with all at first and at most, the links that it needs, the share of them that must be
+#: found, and the share of changed lists that ends the rounds.
+AUDIT, AUDIT_MOST, AUDIT_LINKS, ENOUGH, FEW_CHANGES = 256, 16384, 256, 0.99, 0.02
 #: Rows of a block when links are counted, and when saturated nodes are compared.
 BLOCK, BETWEEN = 1024, 4096
 
@@ -118,7 +119,7 @@ def _trim(pairs: DataFrame, size) -> DataFrame:
 
 
 def lists(units: DataFrame, threshold: float, size: int, rounds: int, audit) -> DataFrame:
-    """(node, other, s): neighbour lists refined until they settle and audit(lists) is satisfied."""
+    """(node, other, s): neighbour lists refined until they settle and audit(lists), where it can tell, is ENOUGH."""
     bare = units.select("node", "dim", "u")
     bucketed = units.select("node", "dim", "u", F.posexplode("codes").alias("t", "code"))
     sized = bucketed.withColumn("n", F.count("*").over(Window.partitionBy("t", "code", "dim")))
@@ -147,14 +148,16 @@ def lists(units: DataFrame, threshold: float, size: int, rounds: int, audit) ->
         common.remove(units.sparkSession, now)
         now = after
         changed, total = now.agg(F.sum(F.col("new").cast("long")), F.count("*")).first()
-        if (changed or 0) <= FEW_CHANGES * (total or 1) or audit(now):
-            break
+        if (changed or 0) <= FEW_CHANGES * (total or 1):
+            share = audit(now)
+            if share is None or share >= ENOUGH:
+                break
     return now.select("node", "other", "s")
 
 
-def _audit(nodes: DataFrame, threshold: float):
-    """A check of recall: AUDIT nodes drawn by a hash are compared with all; true if enough of their links join what the lists join."""
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(6)), "node").limit(AUDIT).select("node", "v").collect()
+def _true_links(nodes: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(node, other): all links of size nodes drawn by a hash."""
+    picked = nodes.orderBy(F.xxhash64("node", F.lit(6)), "node").limit(size).select("node", "v").collect()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {len(r.v) for r in picked}:
         own = [r for r in picked if len(r.v) == d]
@@ -168,11 +171,24 @@ def _audit(nodes: DataFrame, threshold: float):
                 a, b = batch.column(0).to_numpy()[at[i]], names[j]
                 yield pa.RecordBatch.from_arrays([pa.array(b[a != b], pa.int64()), pa.array(a[a != b], pa.int64())], ["node", "other"])
 
-    truth = common.cut(common.map_rows(nodes.select("node", "v"), run, "node long, other long"), "audit")
-    total = truth.count()
+    return common.cut(common.map_rows(nodes.select("node", "v"), run, "node long, other long"), "audit")
+
+
+def _audit(nodes: DataFrame, threshold: float):
+    """A check of recall: nodes drawn by a hash are compared with all, more of them until they have AUDIT_LINKS links."""
+    size, everything = AUDIT, nodes.count()
+    while True:
+        truth = _true_links(nodes, threshold, size)
+        total = truth.count()
+        if total >= AUDIT_LINKS or size >= min(everything, AUDIT_MOST):
+            break
+        size = min(8 * size, AUDIT_MOST)
+    known = total >= AUDIT_LINKS or size >= everything
 
-    def recall(now: DataFrame) -> float:
-        """A link counts as found if either list names it, or if both are named by one list at the threshold."""
+    def recall(now: DataFrame) -> float | None:
+        """The share of links found, None if too few to tell.  One counts if either list names it, or if one list at the threshold names both: components hold it then."""
+        if not known:
+            return None
         if not total:
             return 1.0
         links = now.where(F.col("s") >= threshold - 1e-3).select("node", "other")
@@ -244,14 +260,17 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     bits = max(1, (max(1, total) // (BUCKET // 2)).bit_length())
     units = common.cut(_codes(nodes, 11, min(60, bits)), "units")
     recall = _audit(nodes, threshold)
-    found = lists(units, threshold, LIST, ROUNDS, lambda now: recall(now) >= ENOUGH)
+    found = lists(units, threshold, LIST, ROUNDS, recall)
+    share = recall(found)
+    sure = share is not None and share >= ENOUGH
     # lists hold single precision: candidates are taken a little below the threshold and decided in double
     vectors = nodes.select("node", "v")
     close = found.where(F.col("s") >= threshold - 1e-3).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     linked = common.cut(_decided(close, vectors, threshold), "links")
     roots = common.cut(components(linked), "roots")
     full = found.groupBy("node").agg(F.count("*").alias("n"), F.min("s").alias("kth")).where((F.col("n") >= LIST) & (F.col("kth") >= threshold - 1e-3)).select("node")
-    saturated = common.cut(full.join(roots, "node").join(vectors, "node").select("node", "root", "v"), "saturated")
+    asked = full.join(roots, "node") if sure else nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    saturated = common.cut(asked.join(vectors, "node").select("node", "root", "v"), "saturated")
     lost = common.cut(_between(saturated, threshold), "between")
     if lost.take(1):
         roots = common.cut(components(linked.unionByName(lost)), "roots")

@@ -59,5 +59,18 @@ def test_dense_groups_that_link_below_their_own(spark, monkeypatch):
         assert sorted((r.id, r.n_links, r.component) for r in neighbours.near_duplicates(table).collect()) == want
 
 
+def test_rare_links_are_found_where_the_search_fails(spark, monkeypatch):
+    random = np.random.default_rng(15)
+    rows = [random.normal(size=16).tolist() for _ in range(600)]
+    rows += [(np.array(v) + random.normal(size=16) * 0.03).tolist() for v in rows[:3]]  # most draws have no link
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(neighbours, "AUDIT", 8)
+    monkeypatch.setattr(neighbours, "lists", lambda units, *_: spark.createDataFrame([], "node long, other long, s float"))
+    for most in (8, 16384):  # too few links to tell, and a recall of nothing
+        monkeypatch.setattr(neighbours, "AUDIT_MOST", most, raising=False)
+        assert sorted((r.id, r.n_links, r.component) for r in neighbours.near_duplicates(table).collect()) == sorted(brute(rows, 0.95))
+
+
 def test_empty(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
