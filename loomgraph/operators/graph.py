@@ -38,6 +38,13 @@ class Graph:
         i, j = (F.col("src"), F.col("dst")) if self.directed else (F.least("src", "dst"), F.greatest("src", "dst"))
         return self.edges.groupBy(i.alias("i"), j.alias("j")).agg(F.sum("weight").alias("a"))
 
+    def counted(self) -> Graph:
+        """The graph with one row of edges for each pair of nodes, undirected pairs with the smaller node first, frozen: the edges are read once."""
+        from loomgraph.session import frozen
+
+        rows = self.multiplicities().select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("a").alias("weight"))
+        return Graph(frozen(rows, "edges"), self.directed, self.vertices)
+
     def degrees(self) -> DataFrame:
         """(node, degree): of an undirected graph, self-loops count 2; of a directed one, in and out together."""
         if not self.directed:
@@ -93,7 +100,10 @@ class Graph:
 def reindexed(nodes: DataFrame, by: str = "node") -> DataFrame:
     """(by, idx): dense numbers from 0 in order, without gathering the rows in one task: offsets of range partitions."""
     spark = nodes.sparkSession
-    dealt = nodes.select(by).distinct().repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    from loomgraph.session import frozen
+
+    # frozen, as the numbers of its partitions are used twice
+    dealt = frozen(nodes.select(by).distinct().repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()), "dealt")
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("n"), F.min("__m").alias("__first")).orderBy("__p").collect()
     at, rows = 0, []
     for r in sizes:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only when its counted rows times their width stay under this.
+BROADCAST_BYTES = 32 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,11 +32,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and the driver is the only machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
         root = f"file://{tempfile.gettempdir()}/loomgraph-shared"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def frozen(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: it is computed once and survives lost executors."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df with a broadcast hint if its counted size is small; else df, for Spark to shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
