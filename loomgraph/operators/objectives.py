@@ -1,15 +1,18 @@
-"""Objectives of a partition, all to be maximised, as one-row DataFrames.
+"""Objectives of a partition, all to be maximised, and their changes by moves and merges, as DataFrames.
 
-Terms that are zero without edges come from the sparse table of block pairs.  Terms that also count pairs
-without edges depend there on the two sizes only, so they are summed over pairs of distinct block sizes with
-multiplicities, and the pairs that have edges are corrected: the cost grows with the edges between blocks and
-the number of distinct sizes, not with the square of the number of blocks.
+An objective is a sum of terms over block pairs, blocks and totals, and of tables that no move changes; Terms names
+them once, and full values and changes both follow from it.  Terms that are zero without edges come from the sparse
+table of block pairs.  Terms that also count pairs without edges depend there on the two sizes only, so they are
+summed over pairs of distinct block sizes with multiplicities, and the pairs that have edges are corrected: the cost grows
+with the edges between blocks and the number of distinct sizes, not with the square of the number of blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +20,11 @@ from pyspark.sql import functions as F
 from loomgraph.functions.special import binary_entropy, lgamma, log_binom, log_partitions_column, xlogx
 from loomgraph.operators import partition as P
 from loomgraph.operators.graph import Graph
+from loomgraph.session import frozen, sized
 
 LN2 = math.log(2)
+#: Bytes of a row of the tables by block or by size that joins may broadcast.
+ROW = 64
 
 
 def columns(*names: str) -> tuple[Column, ...]:
@@ -27,21 +33,44 @@ def columns(*names: str) -> tuple[Column, ...]:
 
 
 class Blocks:
-    """What objectives need of a graph and a partition; every table is defined once."""
+    """What objectives need of a graph and a partition.  The base tables are read once: block edges and, where an objective asks for single edges, the counted edges are frozen in the shared folder."""
 
     def __init__(self, graph: Graph, part: DataFrame):
-        self.graph, self.part = graph, part
-        self.edges = P.block_edges(graph, part)
-        self.stats = P.block_stats(graph, part, self.edges)
+        self.graph, self.part, self._counted = graph, part, None
+
+    def count_edges(self) -> Graph:
+        """The graph with one row for each pair of nodes, frozen; what is asked for later starts from it."""
+        if self._counted is None:
+            self._counted = self.graph.counted()
+        return self._counted
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return frozen(P.block_edges(self._counted or self.graph, self.part))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return frozen(P.block_stats(self.graph, self.part, self.edges))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(r, s, e, nr, ns, kr, ks) of the pairs with edges."""
         a = self.stats.select(F.col("block").alias("r"), F.col("n").alias("nr"), F.col("k_out").alias("kr"))
         b = self.stats.select(F.col("block").alias("s"), F.col("n").alias("ns"), F.col("k_in").alias("ks"))
-        self.pairs = self.edges.join(a, "r").join(b, "s")  # Spark broadcasts the sizes where they are small
-        self.totals = self.stats.agg(F.sum("n").alias("N"), F.count("*").cast("double").alias("B")).crossJoin(graph.edges.agg(F.sum("weight").alias("E")))
+        return self.edges.join(a, "r").join(b, "s")  # Spark broadcasts the sizes where they are small
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        """(n, m): how many blocks have n nodes."""
+        return self.stats.groupBy("n").agg(F.count("*").cast("double").alias("m"))
 
-    def of_pairs(self, term: Column, where: Column | None = None) -> DataFrame:
-        """Sum over the pairs with edges."""
-        rows = self.pairs if where is None else self.pairs.where(where)
-        return rows.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("v"))
+    @cached_property
+    def totals(self) -> DataFrame:
+        """One row: nodes N, blocks B, edges E, and the chance p of an edge between two nodes."""
+        ends = self.edges.agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("ends"))
+        edges = F.col("ends") * (1.0 if self.graph.directed else 0.5)
+        chance = (1.0 if self.graph.directed else 2.0) * F.col("E") / (F.col("N") * F.col("N"))
+        return self.stats.agg(F.sum("n").alias("N"), F.count("*").cast("double").alias("B")).crossJoin(ends).select("N", "B", edges.alias("E")).withColumn("p", chance)
 
     def of_blocks(self, term: Column) -> DataFrame:
         return self.stats.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("v"))
@@ -49,207 +78,273 @@ class Blocks:
     def of_totals(self, term: Column) -> DataFrame:
         return self.totals.select(term.alias("v"))
 
-    def all_pairs(self, pair: Callable[[Column, Column, Column], Column], own: Callable[[Column, Column], Column] | None = None) -> list[DataFrame]:
-        """Sum of pair(e, nr, ns) over all ordered pairs; with own: over r < s, plus own(e, n) over blocks.  Both may use column p of the totals."""
-        zero = F.lit(0.0)
-        sizes = self.stats.groupBy("n").agg(F.count("*").cast("double").alias("m"))
-        a, b = sizes.select(F.col("n").alias("nr"), F.col("m").alias("mr")), sizes.select(F.col("n").alias("ns"), F.col("m").alias("ms"))
-        chance = self.totals.select(((F.lit(1.0) if self.graph.directed else F.lit(2.0)) * F.col("E") / (F.col("N") * F.col("N"))).alias("p"))
-        grid = a.join(F.broadcast(b), F.lit(True)).join(F.broadcast(chance), F.lit(True))
-        pairs = self.pairs.join(F.broadcast(chance), F.lit(True))
-        nr, ns, e = F.col("nr"), F.col("ns"), F.col("e")
-        correction = pair(e, nr, ns) - pair(zero, nr, ns)
-        if own is None:
-            return [grid.agg(F.sum(F.col("mr") * F.col("ms") * pair(zero, nr, ns)).alias("v")), pairs.agg(F.coalesce(F.sum(correction), zero).alias("v"))]
-        same = sizes.join(F.broadcast(chance), F.lit(True)).withColumn("nr", F.col("n"))
-        return [
-            grid.agg(F.sum(0.5 * F.col("mr") * F.col("ms") * pair(zero, nr, ns)).alias("v")),
-            same.agg(F.sum(F.col("m") * (own(zero, nr) - 0.5 * pair(zero, nr, nr))).alias("v")),
-            pairs.where("r < s").agg(F.coalesce(F.sum(correction), zero).alias("v")),
-            pairs.where("r = s").agg(F.coalesce(F.sum(own(e, nr) - own(zero, nr)), zero).alias("v")),
-        ]
 
+@dataclass(frozen=True)
+class Terms:
+    """What an objective adds up.
 
-def total(parts: list[DataFrame]) -> DataFrame:
-    """(objective): the sum of one-row tables."""
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
-    return rows.agg(F.sum("v").alias("objective"))
+    pair(e, nr, ns, kr, ks): over ordered block pairs of a directed graph, over r < s of an undirected one; own(e, n, k): over
+    an undirected graph's blocks with themselves; block(n, k_out, k_in); totals(N, B, E).  dense: pairs without edges count
+    too.  by_degree: the sum of ln m! over the blocks' numbers m of nodes of equal degree counts.  constant: tables of one value that no
+    move changes.  pair and own may use the column p of the totals.
+    """
 
+    pair: Callable | None = None
+    own: Callable | None = None
+    block: Callable | None = None
+    totals: Callable | None = None
+    dense: bool = False
+    by_degree: bool = False
+    constant: tuple[Callable[[Blocks], DataFrame], ...] = ()
+
+    def __add__(self, other: Terms) -> Terms:
+        return Terms(*(_both(getattr(self, k), getattr(other, k)) for k in ("pair", "own", "block", "totals")), self.dense or other.dense, self.by_degree or other.by_degree, self.constant + other.constant)
+
+
+def _both(f: Callable | None, g: Callable | None) -> Callable | None:
+    return g if f is None else f if g is None else lambda *x: f(*x) + g(*x)
+
+
+def _ordered(directed: bool, f: Callable, half: bool = False) -> dict:
+    """pair and own of a sum of f over all ordered pairs, or of half of it if undirected."""
+    if directed:
+        return {"pair": f}
+    weight = 0.5 if half else 1.0
+    return {"pair": lambda *x: 2 * weight * f(*x), "own": lambda e, n, k: weight * f(e, n, n, k, k)}
+
+
+def parts(b: Blocks, terms: Terms) -> list[DataFrame]:
+    """The value of the terms as one-row tables (v) to be added."""
+    if terms.constant or terms.by_degree:
+        b.count_edges()
+    zero, found = F.lit(0.0), []
+    if terms.pair is not None:
+        e, nr, ns, kr, ks = columns("e", "nr", "ns", "kr", "ks")
+        own = terms.own or (lambda e, n, k: terms.pair(e, n, n, k, k))
+        pair, mine = terms.pair(e, nr, ns, kr, ks), own(e, nr, kr)
+        if terms.dense:
+            pair, mine = pair - terms.pair(zero, nr, ns, kr, ks), mine - own(zero, nr, kr)
+        value = pair if b.graph.directed else F.when(F.col("r") < F.col("s"), pair).when(F.col("r") == F.col("s"), mine).otherwise(0.0)
+        found.append(b.pairs.crossJoin(F.broadcast(b.totals.select("p"))).agg(F.coalesce(F.sum(value), zero).alias("v")))
+    if terms.dense:
+        x = b.sizes.select(F.col("n").alias("nr"), F.col("m").alias("mr"))
+        y = sized(b.sizes.select(F.col("n").alias("ns"), F.col("m").alias("ms")), ROW)
+        both = F.col("mr") * F.col("ms") * terms.pair(zero, nr, ns, zero, zero)
+        if not b.graph.directed:
+            same = F.when(nr == ns, F.col("mr") * (own(zero, nr, zero) - 0.5 * terms.pair(zero, nr, nr, zero, zero))).otherwise(0.0)
+            both = 0.5 * both + same
+        found.append(x.crossJoin(y).crossJoin(F.broadcast(b.totals.select("p"))).agg(F.coalesce(F.sum(both), zero).alias("v")))
+    if terms.block is not None:
+        found.append(b.of_blocks(terms.block(*columns("n", "k_out", "k_in"))))
+    if terms.totals is not None:
+        found.append(b.of_totals(terms.totals(*columns("N", "B", "E"))))
+    if terms.by_degree:
+        found.append(_degree_counts(b).agg(F.coalesce(F.sum(lgamma(F.col("m") + 1)), zero).alias("v")))
+    return found + [f(b) for f in terms.constant]
+
+
+def _degree_counts(b: Blocks) -> DataFrame:
+    """(block, d, m): nodes of a block by degree; directed: by the pair of degrees."""
+    graph = b.count_edges()
+    if b.graph.directed:
+        return P.joint_degree_distribution(graph, b.part).select("block", F.struct("din", "dout").alias("d"), F.col("n").alias("m"))
+    return P.degree_distribution(graph, b.part).select("block", F.struct("degree").alias("d"), F.col("n").alias("m"))
 
-def skn(b: Blocks) -> DataFrame:
-    """Block model log-likelihood without degree correction."""
-    e, nr, ns = columns("e", "nr", "ns")
-    return total([b.of_pairs(e * F.log(e / (nr * ns)))])
 
+def total(parts: list[DataFrame]) -> DataFrame:
+    """(objective): the sum of one-row tables."""
+    return reduce(DataFrame.unionByName, parts).agg(F.sum("v").alias("objective"))
 
-def dckn(b: Blocks) -> DataFrame:
-    """Degree-corrected log-likelihood."""
-    e, kr, ks = columns("e", "kr", "ks")
-    return total([b.of_pairs(e * F.log(e / (kr * ks)))])
 
+# the terms of each objective, by whether the graph is directed
 
-def sps(b: Blocks, fixed: float = 0.0) -> DataFrame:
-    """Sparse microcanonical entropy, sign flipped."""
-    e, n = columns("e", "n")
-    half = 1.0 if b.graph.directed else 0.5
-    degree = F.col("k_out") + F.col("k_in") if b.graph.directed else F.col("k_out")
-    return total([b.of_totals(F.lit(-fixed)), b.of_blocks(-degree * F.log(n)), b.of_pairs(half * xlogx(e))])
 
+def skn_terms(directed: bool) -> Terms:
+    return Terms(**_ordered(directed, lambda e, nr, ns, kr, ks: _where(e, e * F.log(e / (nr * ns)))))
 
-def spd(b: Blocks) -> DataFrame:
-    """Dense microcanonical entropy, sign flipped."""
-    e, nr, ns = columns("e", "nr", "ns")
-    return total([b.of_pairs(-(1.0 if b.graph.directed else 0.5) * e * binary_entropy(e / (nr * ns)))])
 
+def dckn_terms(directed: bool) -> Terms:
+    return Terms(**_ordered(directed, lambda e, nr, ns, kr, ks: _where(e, e * F.log(e / (kr * ks)))))
 
-def dcp(b: Blocks, fixed: float = 0.0) -> DataFrame:
-    """Degree-corrected microcanonical entropy, sign flipped."""
-    e, kr, ks = columns("e", "kr", "ks")
-    return total([b.of_totals(F.lit(-fixed)), b.of_pairs((1.0 if b.graph.directed else 0.5) * e * F.log(e / (kr * ks)))])
 
+def sps_terms(directed: bool) -> Terms:
+    return Terms(**_ordered(directed, lambda e, nr, ns, kr, ks: xlogx(e), True), block=lambda n, o, i: -_degree(directed, o, i) * F.log(n))
 
-def _iclex(b: Blocks, prior: float) -> DataFrame:
-    B, N, n = columns("B", "N", "n")
-    def beta(hits: Column, room: Column) -> Column:
-        return lgamma(hits + prior) + lgamma(room - hits + prior) - lgamma(room + 2 * prior) - 2 * math.lgamma(prior)
 
-    if b.graph.directed:
-        parts = b.all_pairs(lambda e, x, y: beta(e, x * y))
-    else:
-        parts = b.all_pairs(lambda e, x, y: beta(e, x * y), lambda e, x: beta(e / 2, x * (x + 1) / 2))
-    return total([*parts, b.of_blocks(lgamma(n + prior) - math.lgamma(prior)), b.of_totals(lgamma(prior * B) - lgamma(prior * B + N))])
+def spd_terms(directed: bool) -> Terms:
+    return Terms(**_ordered(directed, lambda e, nr, ns, kr, ks: _where(e, -e * binary_entropy(e / (nr * ns))), True))
 
 
-def iclexj(b: Blocks) -> DataFrame:
-    """Exact integrated complete likelihood with Jeffrey priors (1/2); for simple graphs."""
-    return _iclex(b, 0.5)
+def dcp_terms(directed: bool) -> Terms:
+    return Terms(**_ordered(directed, lambda e, nr, ns, kr, ks: _where(e, e * F.log(e / (kr * ks))), True))
 
 
-def iclexu(b: Blocks) -> DataFrame:
-    """Exact integrated complete likelihood with uniform priors; for simple graphs."""
-    return _iclex(b, 1.0)
+def _where(e: Column, value: Column) -> Column:
+    return F.when(e > 0, value).otherwise(0.0)
 
 
-def _group_sizes(b: Blocks) -> list[DataFrame]:
-    B, N, n = columns("B", "N", "n")
-    p = F.col("p")
+def _degree(directed: bool, out: Column, into: Column) -> Column:
+    return out + into if directed else out
+
 
-    def pair(e: Column, x: Column, y: Column) -> Column:
-        return lgamma(e + 1) - (e + 1) * F.log(p * x * y + 1)
+def iclex_terms(directed: bool, prior: float) -> Terms:
+    def beta(hits: Column, room: Column) -> Column:
+        return lgamma(hits + prior) + lgamma(room - hits + prior) - lgamma(room + 2 * prior) - 2 * math.lgamma(prior)
 
-    def own(e: Column, x: Column) -> Column:
-        return lgamma(e + 1) - (e + 1) * F.log(0.5 * p * x * x + 1)
+    return Terms(
+        pair=lambda e, x, y, kr, ks: beta(e, x * y),
+        own=None if directed else lambda e, x, k: beta(e / 2, x * (x + 1) / 2),
+        block=lambda n, o, i: lgamma(n + prior) - math.lgamma(prior),
+        totals=lambda N, B, E: lgamma(prior * B) - lgamma(prior * B + N),
+        dense=True,
+    )
 
-    return [b.of_totals(-F.log(N) + lgamma(B) - lgamma(N + B)), b.of_blocks(lgamma(n + 1)), *b.all_pairs(pair, None if b.graph.directed else own)]
 
+def snr_terms(directed: bool) -> Terms:
+    p = F.col("p")
+    return Terms(
+        pair=lambda e, x, y, kr, ks: lgamma(e + 1) - (e + 1) * F.log(p * x * y + 1),
+        own=None if directed else lambda e, x, k: lgamma(e + 1) - (e + 1) * F.log(0.5 * p * x * x + 1),
+        block=lambda n, o, i: lgamma(n + 1),
+        totals=lambda N, B, E: -F.log(N) + lgamma(B) - lgamma(N + B),
+        dense=True,
+    )
 
-def snr(b: Blocks) -> DataFrame:
-    """Likelihood with a prior on group sizes."""
-    return total(_group_sizes(b))
 
+def dcnr_terms(directed: bool) -> Terms:
+    def block(n: Column, o: Column, i: Column) -> Column:
+        k = _degree(directed, o, i)
+        return k * F.log(n) + lgamma(n) - lgamma(n + k)
 
-def dcnr(b: Blocks) -> DataFrame:
-    """Likelihood with a prior on group sizes, degree-corrected."""
-    n = F.col("n")
-    k = F.col("k_out") + F.col("k_in") if b.graph.directed else F.col("k_out")
-    return total([*_group_sizes(b), b.of_blocks(k * F.log(n) + lgamma(n) - lgamma(n + k))])
+    return snr_terms(directed) + Terms(block=block)
 
 
-def _edge_arrangements(b: Blocks) -> list[DataFrame]:
+def arrangement_terms(directed: bool) -> Terms:
     """ln of the edges' permutations within block pairs."""
-    e = F.col("e")
-    if b.graph.directed:
-        return [b.of_pairs(lgamma(e + 1))]
-    return [b.of_pairs(lgamma(e + 1), F.col("r") < F.col("s")), b.of_pairs(LN2 * e / 2 + lgamma(e / 2 + 1), F.col("r") == F.col("s"))]
+    return Terms(pair=lambda e, nr, ns, kr, ks: lgamma(e + 1), own=None if directed else lambda e, n, k: LN2 * e / 2 + lgamma(e / 2 + 1))
 
 
 def _adjacency(b: Blocks) -> DataFrame:
     """-ln of the multiplicities' factorials; an undirected loop also counts ln 2."""
-    a = F.col("a")
-    loop = F.when(F.col("i") == F.col("j"), LN2 * a).otherwise(0.0) if not b.graph.directed else F.lit(0.0)
-    return b.graph.multiplicities().agg(F.coalesce(F.sum(-lgamma(a + 1) - loop), F.lit(0.0)).alias("v"))
+    a = F.col("weight")
+    loop = F.lit(0.0) if b.graph.directed else F.when(F.col("src") == F.col("dst"), LN2 * a).otherwise(0.0)
+    return b.count_edges().edges.agg(F.coalesce(F.sum(-lgamma(a + 1) - loop), F.lit(0.0)).alias("v"))
 
 
 def _degrees(b: Blocks) -> DataFrame:
+    """ln of the degrees' factorials."""
+    graph = b.count_edges()
     if b.graph.directed:
-        return b.graph.in_out_degrees().agg(F.sum(lgamma(F.col("din") + 1) + lgamma(F.col("dout") + 1)).alias("v"))
-    return b.graph.degrees().agg(F.sum(lgamma(F.col("degree") + 1)).alias("v"))
+        return graph.in_out_degrees().agg(F.coalesce(F.sum(lgamma(F.col("din") + 1) + lgamma(F.col("dout") + 1)), F.lit(0.0)).alias("v"))
+    return graph.degrees().agg(F.coalesce(F.sum(lgamma(F.col("degree") + 1)), F.lit(0.0)).alias("v"))
 
 
-def edge_and_partition_prior(b: Blocks) -> list[DataFrame]:
+def prior_terms(directed: bool) -> Terms:
     """ln P(edge counts) + ln P(partition)."""
-    B, E, N, n = columns("B", "E", "N", "n")
-    room = B * B if b.graph.directed else B * (B + 1) / 2
-    return [b.of_totals(-log_binom(room + E - 1, E)), b.of_blocks(lgamma(n + 1)), b.of_totals(-lgamma(N + 1) - log_binom(N - 1, B - 1) - F.log(N))]
+    def totals(N: Column, B: Column, E: Column) -> Column:
+        room = B * B if directed else B * (B + 1) / 2
+        return -log_binom(room + E - 1, E) - lgamma(N + 1) - log_binom(N - 1, B - 1) - F.log(N)
 
+    return Terms(block=lambda n, o, i: lgamma(n + 1), totals=totals)
 
-def non_corrected(b: Blocks) -> list[DataFrame]:
+
+def non_corrected_terms(directed: bool) -> Terms:
     """ln P(graph | edge counts, partition)."""
-    n = F.col("n")
-    k = F.col("k_out") + F.col("k_in") if b.graph.directed else F.col("k_out")
-    return [*_edge_arrangements(b), b.of_blocks(-k * F.log(n)), _adjacency(b)]
+    return arrangement_terms(directed) + Terms(block=lambda n, o, i: -_degree(directed, o, i) * F.log(n), constant=(_adjacency,))
 
 
-def corrected(b: Blocks) -> list[DataFrame]:
+def corrected_terms(directed: bool) -> Terms:
     """ln P(graph | degrees, edge counts, partition)."""
-    ends = lgamma(F.col("k_out") + 1) + lgamma(F.col("k_in") + 1) if b.graph.directed else lgamma(F.col("k_out") + 1)
-    return [_degrees(b), _adjacency(b), b.of_blocks(-ends), *_edge_arrangements(b)]
+    ends = (lambda n, o, i: -lgamma(o + 1) - lgamma(i + 1)) if directed else (lambda n, o, i: -lgamma(o + 1))
+    return arrangement_terms(directed) + Terms(block=ends, constant=(_degrees, _adjacency))
 
 
-def uniform_degrees(b: Blocks) -> list[DataFrame]:
+def uniform_terms(directed: bool) -> Terms:
     """ln P(degrees) under a uniform prior."""
-    n = F.col("n")
-    one = lambda k: log_binom(n + k - 1, k)
-    return [b.of_blocks(-(one(F.col("k_in")) + one(F.col("k_out"))) if b.graph.directed else -one(F.col("k_out")))]
+    one = lambda n, k: -log_binom(n + k - 1, k)
+    return Terms(block=(lambda n, o, i: one(n, i) + one(n, o)) if directed else (lambda n, o, i: one(n, o)))
 
 
-def hyperprior_degrees(b: Blocks) -> list[DataFrame]:
+def hyperprior_terms(directed: bool) -> Terms:
     """ln P(degrees) under a uniform prior on degree distributions."""
-    n = F.col("n")
-    if b.graph.directed:
-        counts = P.joint_degree_distribution(b.graph, b.part)
-        q = log_partitions_column(F.col("k_in"), n) + log_partitions_column(F.col("k_out"), n)
-    else:
-        counts = P.degree_distribution(b.graph, b.part)
-        q = log_partitions_column(F.col("k_out"), n)
-    return [b.stats.withColumn("q", q).agg(F.sum(-F.col("q") - lgamma(n + 1)).alias("v")), counts.agg(F.sum(lgamma(F.col("n") + 1)).alias("v"))]
+    q = log_partitions_column
+    return Terms(block=(lambda n, o, i: -q(i, n) - q(o, n) - lgamma(n + 1)) if directed else (lambda n, o, i: -q(o, n) - lgamma(n + 1)), by_degree=True)
 
 
-def spc(b: Blocks) -> DataFrame:
-    """Flat microcanonical model without degree correction."""
-    return total(non_corrected(b) + edge_and_partition_prior(b))
+#: Short name: the objective's terms; a name may be added here.
+TERMS: dict[str, Callable[[bool], Terms]] = {
+    "skn": skn_terms,
+    "dckn": dckn_terms,
+    "sps": sps_terms,
+    "spd": spd_terms,
+    "dcp": dcp_terms,
+    "iclexj": lambda directed: iclex_terms(directed, 0.5),
+    "iclexu": lambda directed: iclex_terms(directed, 1.0),
+    "snr": snr_terms,
+    "dcnr": dcnr_terms,
+    "spc": lambda directed: non_corrected_terms(directed) + prior_terms(directed),
+    "dcpu": lambda directed: corrected_terms(directed) + uniform_terms(directed) + prior_terms(directed),
+    "dcpuh": lambda directed: corrected_terms(directed) + hyperprior_terms(directed) + prior_terms(directed),
+}
 
 
-def dcpu(b: Blocks) -> DataFrame:
-    """Flat microcanonical model, degree-corrected, uniform prior."""
-    return total(corrected(b) + uniform_degrees(b) + edge_and_partition_prior(b))
+def objective(b: Blocks, name: str, fixed: float = 0.0) -> DataFrame:
+    """(objective) of one row: skn and dckn, block model log-likelihoods; sps, spd and dcp, microcanonical entropies, sign flipped; iclexj and
+    iclexu, exact integrated likelihoods of simple graphs with priors 1/2 and 1; snr and dcnr, likelihoods with a prior on group
+    sizes; spc, dcpu and dcpuh, flat microcanonical models.  fixed: a constant of the entropies to take off."""
+    return total(parts(b, TERMS[name](b.graph.directed) + Terms(totals=lambda N, B, E: F.lit(-float(fixed)))))
 
 
-def dcpuh(b: Blocks) -> DataFrame:
-    """Flat microcanonical model, degree-corrected, uniform hyperprior."""
-    return total(corrected(b) + hyperprior_degrees(b) + edge_and_partition_prior(b))
+def _named(name: str) -> Callable[..., DataFrame]:
+    return lambda b, fixed=0.0: objective(b, name, fixed)
 
 
 #: Short name: full objective.
-OBJECTIVES: dict[str, Callable[[Blocks], DataFrame]] = {f.__name__: f for f in (skn, dckn, sps, spd, dcp, iclexj, iclexu, snr, dcnr, spc, dcpu, dcpuh)}
+OBJECTIVES: dict[str, Callable[..., DataFrame]] = {name: _named(name) for name in TERMS}
+skn, dckn = OBJECTIVES["skn"], OBJECTIVES["dckn"]
+
+
+def edge_and_partition_prior(b: Blocks) -> list[DataFrame]:
+    return parts(b, prior_terms(b.graph.directed))
+
+
+def non_corrected(b: Blocks) -> list[DataFrame]:
+    return parts(b, non_corrected_terms(b.graph.directed))
+
+
+def corrected(b: Blocks) -> list[DataFrame]:
+    return parts(b, corrected_terms(b.graph.directed))
+
+
+def uniform_degrees(b: Blocks) -> list[DataFrame]:
+    return parts(b, uniform_terms(b.graph.directed))
+
+
+def hyperprior_degrees(b: Blocks) -> list[DataFrame]:
+    return parts(b, hyperprior_terms(b.graph.directed))
+
+
+def level_terms(directed: bool) -> Terms:
+    """ln of the priors of a level: edges between its blocks and its partition."""
+    return Terms(
+        pair=lambda e, x, y, kr, ks: -log_binom(x * y + e - 1, e),
+        own=None if directed else lambda e, x, k: -log_binom(x * (x + 1) / 2 + e / 2 - 1, e / 2),
+        block=lambda n, o, i: lgamma(n + 1),
+        totals=lambda N, B, E: -lgamma(N + 1) - log_binom(N - 1, B - 1) - F.log(N),
+        dense=True,
+    )
 
 
 def hierarchy_prior(graph: Graph, levels: list[DataFrame]) -> list[DataFrame]:
     """ln of the priors of all levels; levels[l] is a partition of the blocks of levels[l - 1], levels[0] of the nodes."""
-    B, E, N, n = columns("B", "E", "N", "n")
-    parts, at, below = [], graph, None
+    B, E = columns("B", "E")
+    found, at, below = [], graph, None
     for level in levels:
-        own = Blocks(at, level)
-        if graph.directed:
-            parts += own.all_pairs(lambda e, x, y: -log_binom(x * y + e - 1, e))
-        else:
-            parts += own.all_pairs(lambda e, x, y: -log_binom(x * y + e - 1, e), lambda e, x: -log_binom(x * (x + 1) / 2 + e / 2 - 1, e / 2))
-        parts += [own.of_blocks(lgamma(n + 1)), own.of_totals(-lgamma(N + 1) - log_binom(N - 1, B - 1) - F.log(N))]
-        at, below = P.quotient(at, level), own
+        below = Blocks(at, level)
+        found += parts(below, level_terms(graph.directed))
+        at = P.quotient(at, level)
     room = B * B if graph.directed else B * (B + 1) / 2
-    return [*parts, below.of_totals(-log_binom(room + E - 1, E) - F.log(B))]
+    return [*found, below.of_totals(-log_binom(room + E - 1, E) - F.log(B))]
 
 
 def hierarchical(graph: Graph, levels: list[DataFrame], kind: str = "dcpu") -> DataFrame:
@@ -259,53 +354,172 @@ def hierarchical(graph: Graph, levels: list[DataFrame], kind: str = "dcpu") -> D
     return total([x for f in of for x in f(b)] + hierarchy_prior(graph, levels))
 
 
-def node_deltas(graph: Graph, part: DataFrame, objective: str = "dckn") -> DataFrame:
-    """(node, from_block, to_block, delta) of moving each node to each other block it has a neighbour in or not, for skn and dckn of undirected graphs.
+def level_removal(graph: Graph, levels: list[DataFrame], level: int, kind: str = "dcpu") -> DataFrame:
+    """(objective): the change of hierarchical() by taking out one level above the first; the level above it then groups the one below, and only those two levels' priors are new."""
+    joined = P.zoom(levels[level], levels[level + 1]) if level + 1 < len(levels) else None
+    at = reduce(P.quotient, levels[:level], graph)
+    above = [levels[level]] if joined is None else [levels[level], levels[level + 1]]
+    before = _suffix(at, above, joined is None)
+    if joined is None:
+        below = Blocks(reduce(P.quotient, levels[: level - 1], graph), levels[level - 1])
+        after = [_top(below)]
+    else:
+        after = _suffix(at, [joined], False)
+    return total([*after, *(x.select((-F.col("v")).alias("v")) for x in before)])
+
 
-    A move from r to t changes only rows and columns r and t of the block matrix.  With the node's edges to each
-    block known, the change is a sum over the blocks joined to r or t, so it is a join of the node's context
-    with those rows.  Rows grow with nodes times blocks squared: for partitions into a few hundred blocks.
+def _suffix(graph: Graph, levels: list[DataFrame], top: bool) -> list[DataFrame]:
+    found, below = [], None
+    for level in levels:
+        below = Blocks(graph, level)
+        found += parts(below, level_terms(graph.directed))
+        graph = P.quotient(graph, level)
+    return [*found, _top(below)] if top else found
+
+
+def _top(below: Blocks) -> DataFrame:
+    """ln of the prior of the edges between the blocks of the last level."""
+    B, E = columns("B", "E")
+    room = B * B if below.graph.directed else B * (B + 1) / 2
+    return below.of_totals(-log_binom(room + E - 1, E) - F.log(B))
+
+
+# changes
+
+
+def _changes(b: Blocks, terms: Terms, movers: DataFrame, context: DataFrame, targets: DataFrame, by_degree: Callable | None) -> DataFrame:
+    """(mover, r, t, delta): the change of the objective when movers change from block r to block t.
+
+    movers: (mover, r, c, do, di, l): c nodes with degrees do and di and l edges among themselves (counted twice if undirected);
+    context: (mover, u, wo, wi): edges to and from the rest of block u; targets: (mover, t), t null for a block of its own.
+    Only pairs with r or t change.  Of the other blocks u, those joined to r, to t or to the mover are joined one by one; the rest
+    differ by sizes only and are summed by distinct sizes.
+    """
+    directed, zero = b.graph.directed, F.lit(0.0)
+    stats = b.stats
+    # equal joins with the frozen tables: Spark broadcasts them where their files are small
+    of = lambda c, *names: stats.select(F.col("block").alias(c), *(F.col(k).alias(v) for k, v in zip(("n", "k_out", "k_in"), names)))
+    ends = lambda x, y, e: b.edges.select(F.col("r").alias(x), F.col("s").alias(y), F.col("e").alias(e))
+    moves = movers.join(targets, "mover").where(~F.col("r").eqNullSafe(F.col("t"))).join(of("r", "nr", "or_", "ir_"), "r").join(of("t", "nt", "ot_", "it_"), "t", "left")
+    own = context.select("mover", F.col("u").alias("r"), F.col("wo").alias("wor"), F.col("wi").alias("wir"))
+    there = context.select("mover", F.col("u").alias("t"), F.col("wo").alias("wot"), F.col("wi").alias("wit"))
+    inner = moves.join(ends("r", "r2", "err").where("r = r2").drop("r2"), "r", "left").join(ends("t", "t2", "ett").where("t = t2").drop("t2"), "t", "left")
+    inner = inner.join(ends("r", "t", "ert"), ["r", "t"], "left").join(ends("t", "r", "etr"), ["r", "t"], "left").join(own, ["mover", "r"], "left").join(there, ["mover", "t"], "left")
+    inner = inner.na.fill(0.0, ["nt", "ot_", "it_", "err", "ett", "ert", "etr", "wor", "wir", "wot", "wit"]).crossJoin(F.broadcast(b.totals))
+    c, nr, nt, o_r, i_r, o_t, i_t = columns("c", "nr", "nt", "or_", "ir_", "ot_", "it_")
+    do, di, loops = columns("do", "di", "l")
+    err, ett, ert, etr, wor, wir, wot, wit = columns("err", "ett", "ert", "etr", "wor", "wir", "wot", "wit")
+    nr1, nt1, or1, ir1, ot1, it1 = nr - c, nt + c, o_r - do, i_r - di, o_t + do, i_t + di
+    change = zero
+    pair, mine = terms.pair, terms.own
+    if pair is not None and directed:
+        change += pair(err - wor - wir - loops, nr1, nr1, or1, ir1) - pair(err, nr, nr, o_r, i_r)
+        change += pair(ett + wot + wit + loops, nt1, nt1, ot1, it1) - pair(ett, nt, nt, o_t, i_t)
+        change += pair(ert - wot + wir, nr1, nt1, or1, it1) - pair(ert, nr, nt, o_r, i_t)
+        change += pair(etr - wit + wor, nt1, nr1, ot1, ir1) - pair(etr, nt, nr, o_t, i_r)
+    elif pair is not None:
+        change += mine(err - 2 * wor - loops, nr1, or1) - mine(err, nr, o_r)
+        change += mine(ett + 2 * wot + loops, nt1, ot1) - mine(ett, nt, o_t)
+        change += pair(ert + wor - wot, nr1, nt1, or1, ot1) - pair(ert, nr, nt, o_r, o_t)
+    if terms.dense:  # all other blocks as if without edges, by size; r and t are not among them
+        still = lambda x, y: pair(zero, x, y, zero, zero)
+        twice = 2.0 if directed else 1.0
+        change -= twice * (still(nr1, nr) - still(nr, nr) + still(nr1, nt) - still(nr, nt) + still(nt1, nr) - still(nt, nr) + still(nt1, nt) - still(nt, nt))
+        grid = sized(b.sizes.select(F.col("n").alias("ns"), F.col("m").alias("ms")), ROW)
+        for size, sign, name in (("nr", -1.0, "zr"), ("nt", 1.0, "zt")):
+            distinct = inner.select(size, "c", "p").distinct().crossJoin(grid)
+            value = F.col("ms") * twice * (still(F.col(size) + sign * c, F.col("ns")) - still(F.col(size), F.col("ns")))
+            inner = inner.join(distinct.groupBy(size, "c").agg(F.sum(value).alias(name)), [size, "c"], "left")
+            change += F.coalesce(F.col(name), zero)
+    if terms.block is not None:
+        some = lambda n, o, i: F.when(n > 0, terms.block(F.greatest(n, F.lit(1.0)), o, i)).otherwise(0.0)
+        change += some(nr1, or1, ir1) - some(nr, o_r, i_r) + some(nt1, ot1, it1) - some(nt, o_t, i_t)
+    if terms.totals is not None:
+        N, B, E = columns("N", "B", "E")
+        after = B - F.when(nr1 == 0, 1.0).otherwise(0.0) + F.when(nt == 0, 1.0).otherwise(0.0)
+        change += terms.totals(N, after, E) - terms.totals(N, B, E)
+    result = inner.select("mover", "r", "t", change.alias("v"))
+    if pair is not None:
+        near = moves.select("mover", "r", "t", "c", "do", "di", "nr", "or_", "ir_", "nt", "ot_", "it_").na.fill(0.0, ["nt", "ot_", "it_"])
+        joined = b.edges.select(F.col("r").alias("x"), F.col("s").alias("u")).union(b.edges.select("s", "r")).distinct()
+        touched = context.select("mover", "u").join(near.select("mover", "r", "t"), "mover").select("mover", "r", "t", "u")
+        for side in ("r", "t"):
+            touched = touched.unionByName(near.select("mover", "r", "t").join(joined, F.col("x") == F.col(side)).select("mover", "r", "t", "u"))
+        touched = touched.where((F.col("u") != F.col("r")) & (F.col("t").isNull() | (F.col("u") != F.col("t")))).distinct()
+        # a new block's number is null: joins on t must find it again
+        rows = touched.withColumn("tt", F.coalesce("t", F.lit(-1))).drop("t").join(near.withColumn("tt", F.coalesce("t", F.lit(-1))), ["mover", "r", "tt"])
+        rows = rows.join(of("u", "nu", "ou", "iu"), "u").join(context, ["mover", "u"], "left")
+        for x, y, e in (("r", "u", "eru"), ("t", "u", "etu"), *((("u", "r", "eur"), ("u", "t", "eut")) if directed else ())):
+            rows = rows.join(ends(x, y, e), [x, y], "left")
+        rows = rows.na.fill(0.0, ["wo", "wi", "eru", "etu", *(("eur", "eut") if directed else ())]).crossJoin(F.broadcast(b.totals.select("p")))
+        nu, ou, iu, wo, wi, eru, etu = columns("nu", "ou", "iu", "wo", "wi", "eru", "etu")
+
+        def moved(e1: Column, e: Column, x1: tuple, x: tuple) -> Column:
+            found = pair(e1, *x1) - pair(e, *x)
+            return found - pair(zero, x1[0], x1[1], zero, zero) + pair(zero, x[0], x[1], zero, zero) if terms.dense else found
+
+        outer = moved(eru - wo, eru, (nr1, nu, or1, iu), (nr, nu, o_r, iu)) + moved(etu + wo, etu, (nt1, nu, ot1, iu), (nt, nu, o_t, iu))
+        if directed:
+            eur, eut = columns("eur", "eut")
+            outer += moved(eur - wi, eur, (nu, nr1, ou, ir1), (nu, nr, ou, i_r)) + moved(eut + wi, eut, (nu, nt1, ou, it1), (nu, nt, ou, i_t))
+        result = result.unionByName(rows.select("mover", "r", "t", outer.alias("v")))
+    if terms.by_degree:
+        result = result.unionByName(by_degree(moves.select("mover", "r", "t")))
+    return result.groupBy("mover", "r", "t").agg(F.sum("v").alias("delta"))
+
+
+def node_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: str = "all") -> DataFrame:
+    """(node, from_block, to_block, delta) of moving each node to each other block.
+
+    candidates: all blocks (nodes times blocks rows); near, those in which the node has a neighbour; new, a block of its own
+    (to_block null).  A block that the node was alone in is gone afterwards.
     """
-    if graph.directed or objective not in ("skn", "dckn"):
-        raise ValueError("deltas as tables are for skn and dckn of undirected graphs")
     b = Blocks(graph, part)
-    blocks = F.broadcast(b.stats.select("block", "n", F.col("k_out").alias("k")))
-    kit = P.move_context(graph, part).select("node", "block", F.col("k_out").alias("w"))
-    loops, degree = P.self_loops(graph), graph.degrees()
-    who = part.join(degree, "node").join(loops, "node", "left").select("node", F.col("block").alias("r"), F.col("degree").alias("d"), (2 * F.coalesce("loops", F.lit(0.0))).alias("l"))
-    r_stats = blocks.select(F.col("block").alias("r"), F.col("n").alias("n_r"), F.col("k").alias("k_r"))
-    t_stats = blocks.select(F.col("block").alias("t"), F.col("n").alias("n_t"), F.col("k").alias("k_t"))
-    moves = who.join(F.broadcast(r_stats), "r").join(F.broadcast(t_stats), F.col("r") != F.col("t"))
-    ends = b.edges.select(F.col("r").alias("x"), F.col("s").alias("u"), "e")
-    # per move: e_ru, e_tu, w_u for every third block u
-    all_u = moves.join(F.broadcast(blocks.select(F.col("block").alias("u"))), F.lit(True))
-    full = (
-        all_u.join(ends.select(F.col("x").alias("r"), "u", F.col("e").alias("e_r")), ["r", "u"], "left")
-        .join(ends.select(F.col("x").alias("t"), "u", F.col("e").alias("e_t")), ["t", "u"], "left")
-        .join(kit.select("node", F.col("block").alias("u"), "w"), ["node", "u"], "left")
-        .na.fill(0.0, ["e_r", "e_t", "w"])
-    )
-    third = (F.col("u") != F.col("r")) & (F.col("u") != F.col("t"))
-    change = lambda x: xlogx(x)
-    outer = F.when(third, 2 * (change(F.col("e_r") - F.col("w")) + change(F.col("e_t") + F.col("w")) - change(F.col("e_r")) - change(F.col("e_t")))).otherwise(0.0)
-    pick = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0.0))
-    summed = full.groupBy("node", "r", "t", "d", "l", "n_r", "k_r", "n_t", "k_t").agg(
-        F.sum(outer).alias("outer"),
-        pick(F.col("u") == F.col("r"), "e_r").alias("e_rr"),
-        pick(F.col("u") == F.col("t"), "e_t").alias("e_tt"),
-        pick(F.col("u") == F.col("t"), "e_r").alias("e_rt"),
-        pick(F.col("u") == F.col("r"), "w").alias("w_r"),
-        pick(F.col("u") == F.col("t"), "w").alias("w_t"),
-    )
-    rr = change(F.col("e_rr") - 2 * F.col("w_r") - F.col("l")) - change(F.col("e_rr"))
-    tt = change(F.col("e_tt") + 2 * F.col("w_t") + F.col("l")) - change(F.col("e_tt"))
-    rt = 2 * (change(F.col("e_rt") + F.col("w_r") - F.col("w_t")) - change(F.col("e_rt")))
-    if objective == "dckn":
-        scale = 2 * (xlogx(F.col("k_r") - F.col("d")) + xlogx(F.col("k_t") + F.col("d")) - xlogx(F.col("k_r")) - xlogx(F.col("k_t")))
+    counted, terms = b.count_edges(), TERMS[name](graph.directed)
+    b.part = part
+    degrees = counted.in_out_degrees().select("node", F.col("dout").alias("do"), F.col("din").alias("di"))
+    loops = P.self_loops(counted)
+    movers = part.join(degrees, "node").join(loops, "node", "left").select(F.col("node").alias("mover"), F.col("block").alias("r"), F.lit(1.0).alias("c"), "do", "di", ((1.0 if graph.directed else 2.0) * F.coalesce("loops", F.lit(0.0))).alias("l"))
+    context = frozen(P.move_context(counted, part).select(F.col("node").alias("mover"), F.col("block").alias("u"), F.col("k_out").alias("wo"), F.col("k_in").alias("wi")))
+    if candidates == "near":
+        targets = context.select("mover", F.col("u").alias("t"))
+    elif candidates == "new":
+        targets = movers.select("mover", F.lit(None).cast(part.schema["block"].dataType).alias("t"))
     else:
-        kln = lambda k, n: F.when(n > 0, k * F.log(n)).otherwise(0.0)
-        scale = 2 * (kln(F.col("k_r") - F.col("d"), F.col("n_r") - 1) + kln(F.col("k_t") + F.col("d"), F.col("n_t") + 1) - kln(F.col("k_r"), F.col("n_r")) - kln(F.col("k_t"), F.col("n_t")))
-    return summed.select("node", F.col("r").alias("from_block"), F.col("t").alias("to_block"), (F.col("outer") + rr + tt + rt - scale).alias("delta"))
+        targets = movers.select("mover").crossJoin(sized(b.stats.select(F.col("block").alias("t")), ROW))
+
+    def by_degree(moves: DataFrame) -> DataFrame:
+        counts = _degree_counts(b)
+        own = counted.in_out_degrees() if graph.directed else counted.degrees()
+        d = F.struct("din", "dout") if graph.directed else F.struct("degree")
+        rows = moves.join(own.select(F.col("node").alias("mover"), d.alias("d")), "mover")
+        rows = rows.join(counts.select(F.col("block").alias("r"), "d", F.col("m").alias("mr")), ["r", "d"]).join(counts.select(F.col("block").alias("t"), "d", F.col("m").alias("mt")), ["t", "d"], "left")
+        return rows.select("mover", "r", "t", (F.log(F.coalesce("mt", F.lit(0)) + 1) - F.log("mr")).alias("v"))
+
+    found = _changes(b, terms, movers, context, targets, by_degree)
+    return found.select(F.col("mover").alias("node"), F.col("r").alias("from_block"), F.col("t").alias("to_block"), "delta")
+
+
+def merge_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: str = "all") -> DataFrame:
+    """(block, into, delta) of merging each block into each other one; candidates near: only blocks joined by edges."""
+    b = Blocks(graph, part)
+    terms = TERMS[name](graph.directed)
+    if terms.constant or terms.by_degree:
+        b.count_edges()
+    inside = b.edges.where("r = s").select(F.col("r").alias("block"), F.col("e").alias("l"))
+    movers = b.stats.join(inside, "block", "left").select(F.col("block").alias("mover"), F.col("block").alias("r"), F.col("n").alias("c"), F.col("k_out").alias("do"), F.col("k_in").alias("di"), F.coalesce("l", F.lit(0.0)).alias("l"))
+    apart = b.edges.where("r <> s")
+    both = apart.select(F.col("r").alias("mover"), F.col("s").alias("u"), F.col("e").alias("wo"), F.lit(0.0).alias("wi")).unionByName(apart.select(F.col("s").alias("mover"), F.col("r").alias("u"), F.lit(0.0).alias("wo"), F.col("e").alias("wi")))
+    context = both.groupBy("mover", "u").agg(F.sum("wo").alias("wo"), F.sum("wi").alias("wi"))
+    targets = context.select("mover", F.col("u").alias("t")) if candidates == "near" else movers.select("mover").crossJoin(sized(b.stats.select(F.col("block").alias("t")), ROW))
+
+    def by_degree(moves: DataFrame) -> DataFrame:
+        counts = _degree_counts(b)
+        rows = moves.join(counts.select(F.col("block").alias("r"), "d", F.col("m").alias("mr")), "r").join(counts.select(F.col("block").alias("t"), "d", F.col("m").alias("mt")), ["t", "d"])
+        return rows.select("mover", "r", "t", (lgamma(F.col("mr") + F.col("mt") + 1) - lgamma(F.col("mr") + 1) - lgamma(F.col("mt") + 1)).alias("v"))
+
+    found = _changes(b, terms, movers, context, targets, by_degree)
+    return found.select(F.col("r").alias("block"), F.col("t").alias("into"), "delta")
 
 
 def best_moves(deltas: DataFrame, least: float = 0.001) -> DataFrame:

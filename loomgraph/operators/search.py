@@ -117,9 +117,10 @@ def em_step(graph, part: DataFrame, objective: str = "dckn") -> DataFrame:
     from loomgraph.operators.partition import block_sizes
 
     moves = best_moves(node_deltas(graph, part, objective))
-    order = Window.partitionBy("from_block").orderBy("node")
-    sizes = block_sizes(part).select(F.col("block").alias("from_block"), "n")
-    kept = moves.withColumn("rn", F.row_number().over(order)).join(F.broadcast(sizes), "from_block").where("rn < n")
+    # a block that all its nodes would leave keeps the one with the largest number
+    leaving = moves.groupBy("from_block").agg(F.count("*").alias("leaving"), F.max("node").alias("stays"))
+    emptied = block_sizes(part).join(leaving, F.col("block") == F.col("from_block")).where("n = leaving").select("stays")
+    kept = moves.join(emptied, F.col("node") == F.col("stays"), "left_anti")
     return part.join(kept.select("node", "to_block"), "node", "left").select("node", F.coalesce("to_block", "block").alias("block"))
 
 

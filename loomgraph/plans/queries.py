@@ -5,6 +5,8 @@ Doubles are rounded to 4 places on both sides; counts are BIGINT.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def _beta(e: str, room: str, a: str) -> str:
     return f"(lgamma({e} + {a}) + lgamma({room} - {e} + {a}) - lgamma({room} + 2 * {a}) - 2 * lgamma({a}))"
 
 
+#: Numbers of partitions c of m into at most n parts, by running sums in steps of the part that is added; needs WITH RECURSIVE.
+COUNTS = """qt AS (SELECT 0 AS n, m::BIGINT AS m, CASE WHEN m = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM range({most}) t(m) UNION ALL
+SELECT n + 1, m, sum(c) OVER (PARTITION BY m % (n + 1) ORDER BY m) FROM qt WHERE n < {parts})"""
+
+
 def _objective_sql(name: str, directed: bool) -> list[str]:
     """Sums whose total is the objective."""
     half, k = ("1.0", "ko + ki") if directed else ("0.5", "ko")
@@ -83,11 +90,27 @@ def _objective_sql(name: str, directed: bool) -> list[str]:
             pairs.append(f"SELECT sum(lgamma(e + 1) - (e + 1) * ln(0.5 * {p} * nr * nr + 1)) FROM pr WHERE r = s")
         extra = [f"SELECT sum(({k}) * ln(n) + lgamma(n) - lgamma(n + {k})) FROM bs"] if name == "dcnr" else []
         return [*pairs, *extra, "SELECT -ln(nn) + lgamma(b) - lgamma(nn + b) FROM g", "SELECT sum(lgamma(n + 1)) FROM bs"]
+    if name == "dcpuh":
+        lq = [f"SELECT -sum(ln(c)) FROM bs JOIN qt ON qt.n = bs.n AND qt.m = {k}" for k in (("ko", "ki") if directed else ("ko",))]
+        kinds = "SELECT sum(lgamma(c + 1)) FROM (SELECT block, o, i, count(*)::DOUBLE AS c FROM dg JOIN part_ USING (node) GROUP BY block, o, i)"
+        return [*degrees, *adjacency, *ends, *arranged, *lq, "SELECT -sum(lgamma(n + 1)) FROM bs", kinds, *prior]
     if name == "spc":
         return [*arranged, f"SELECT -sum(({k}) * ln(n)) FROM bs", *adjacency, *prior]
     return [*degrees, *adjacency, *ends, *arranged, *uniform, *prior]
 
 
+def _with_counts(sql: str, most: str, parts: str) -> str:
+    """views() with the numbers of partitions and the degrees."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + COUNTS.format(most=most, parts=parts) + """,
+dg AS (SELECT node, sum(o) AS o, sum(i) AS i FROM (SELECT src AS node, weight AS o, 0.0 AS i FROM adj UNION ALL SELECT dst, 0.0, weight FROM adj UNION ALL SELECT node, 0.0, 0.0 FROM part_) GROUP BY node)
+"""
+
+
+def _simple(sql: str) -> str:
+    """views() of the graph without multiplicities."""
+    return sql.replace("WITH e AS (", "WITH e0 AS (", 1).replace(",\nadj AS", ",\ne AS (SELECT DISTINCT src, dst, 1.0::DOUBLE AS weight FROM e0),\nadj AS", 1)
+
+
 def _total(parts: list[str], column: str = "objective") -> str:
     return "SELECT round(" + " + ".join(f"({p})" for p in parts) + f" + 0.0, 4) AS {column}"
 
@@ -111,10 +134,10 @@ def _register_objectives() -> None:
                 own, part = adapters.GRAPHS[graph](spark, sf_dir)
                 return _rounded(f(objectives.Blocks(own.collapsed() if simple else own, part)))
 
-            sql = views(graph)
-            if simple:
-                sql = sql.replace("WITH e AS (", "WITH e0 AS (", 1).replace(",\nadj AS", ",\ne AS (SELECT DISTINCT src, dst, 1.0::DOUBLE AS weight FROM e0),\nadj AS", 1)
-            _add(f"{name}_{graph}", run, None if name == "dcpuh" else sql + _total(_objective_sql(name, graph.endswith("dir"))))
+            sql = _simple(views(graph)) if simple else views(graph)
+            if name == "dcpuh":
+                sql = _with_counts(sql, "(SELECT max(greatest(ko, ki)) + 1 FROM bs)::BIGINT", "(SELECT max(n) FROM bs)")
+            _add(f"{name}_{graph}", run, sql + _total(_objective_sql(name, graph.endswith("dir"))))
 
 
 def _register_views() -> None:
@@ -221,27 +244,79 @@ i AS (SELECT (SELECT sum(n) FROM t) AS n, (SELECT ln(sum(m)) - sum(m * ln(m)) /
     _add("success_rate", lambda s, d: metrics.success_rate(table(s, d), ["algo"], "q", 25.0).withColumn("success_rate", F.round("success_rate", 6)), f"SELECT algo, round(avg(CASE WHEN q >= 25 THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM ({runs}) GROUP BY algo")
 
 
+def _moved_sql(name: str, graph: str, moves: str, keys: str) -> str:
+    """The full objective of the partition after each of the moves(mv, keys, fb, tb), less the one before; a move takes the nodes for which its condition holds from block fb to tb."""
+    directed, dcpuh = graph.endswith("dir"), name == "dcpuh"
+    base = _simple(views(graph)) if name.startswith("iclex") or name == "spd" else views(graph)
+    if dcpuh:
+        base = _with_counts(base, "(SELECT 2 * ee + 1 FROM g)::BIGINT", "(SELECT nn FROM g)")
+    before, after = [], []
+    for part in _objective_sql(name, directed):
+        found = re.fullmatch(r"SELECT (.*) FROM (pr|be|bs|g)( JOIN qt .*| WHERE .*)?", part, re.S)
+        if found:
+            value, table, rest = found.groups()
+            before.append(part)
+            after.append(f"SELECT mv, {value} AS v FROM {table}_m" if table == "g" else f"SELECT mv, {value} AS v FROM {table}_m {(rest or '').replace('bs.n', 'bs_m.n')} GROUP BY mv")
+        elif "dg JOIN part_" in part:
+            before.append(part)
+            after.append("SELECT mv, sum(lgamma(c + 1)) AS v FROM (SELECT mv, block, o, i, count(*)::DOUBLE AS c FROM dg JOIN np USING (node) GROUP BY mv, block, o, i) GROUP BY mv")
+    return base + f""",
+{moves},
+be_m AS (SELECT p.mv, p.block AS r, q.block AS s, sum(weight) AS e FROM adj JOIN np p ON src = p.node JOIN np q ON dst = q.node AND q.mv = p.mv GROUP BY ALL),
+sz_m AS (SELECT mv, block, count(*)::DOUBLE AS n FROM np GROUP BY mv, block),
+bs_m AS (SELECT z.mv, z.block, n, coalesce(o.k, 0) AS ko, coalesce(i.k, 0) AS ki FROM sz_m z LEFT JOIN (SELECT mv, r, sum(e) AS k FROM be_m GROUP BY mv, r) o ON o.mv = z.mv AND o.r = block LEFT JOIN (SELECT mv, s, sum(e) AS k FROM be_m GROUP BY mv, s) i ON i.mv = z.mv AND i.s = block),
+g_m AS (SELECT mv, nn, ee, count(*)::DOUBLE AS b FROM sz_m CROSS JOIN (SELECT nn, ee FROM g) GROUP BY mv, nn, ee),
+pr_m AS (SELECT a.mv, a.block AS r, c.block AS s, a.n AS nr, c.n AS ns, a.ko AS kr, c.ki AS ks, coalesce(x.e, 0) AS e FROM bs_m a JOIN bs_m c ON a.mv = c.mv LEFT JOIN be_m x ON x.mv = a.mv AND x.r = a.block AND x.s = c.block),
+d AS (SELECT mv, sum(v) - ({' + '.join(f'({p})' for p in before)}) AS delta FROM ({' UNION ALL '.join(after)}) GROUP BY mv)
+SELECT {keys}, round(delta, 4) + 0.0 AS delta FROM mv JOIN d USING (mv)"""
+
+
+_NP = "np AS (SELECT mv, p.node, CASE WHEN {moves} THEN tb ELSE p.block END AS block FROM mv CROSS JOIN part_ p)"
+#: The moves of node_deltas() to all blocks, to blocks of their own, and of merge_deltas().
+_MOVES = {
+    "delta": ("mv AS (SELECT row_number() OVER () AS mv, p.node AS m, p.block AS fb, c.block AS tb FROM part_ p JOIN sz c ON c.block <> p.block),\n" + _NP.format(moves="p.node = m"), "m AS node, fb AS from_block, tb AS to_block"),
+    "delta_new": ("mv AS (SELECT row_number() OVER () AS mv, node AS m, block AS fb, 1000000 AS tb FROM part_),\n" + _NP.format(moves="p.node = m"), "m AS node, fb AS from_block"),
+    "delta_merge": ("mv AS (SELECT row_number() OVER () AS mv, a.block AS fb, c.block AS tb FROM sz a JOIN sz c ON c.block <> a.block),\n" + _NP.format(moves="p.block = fb"), 'fb AS block, tb AS "into"'),
+}
+
+
 def _register_moves() -> None:
-    for name in ("skn", "dckn"):
-        def deltas(spark, sf_dir, name=name):
-            graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
-            return objectives.node_deltas(graph, part, name).select("node", "from_block", "to_block", F.round("delta", 4).alias("delta"))
+    def on(graph: str, name: str, kind: str):
+        def run(spark, sf_dir):
+            own, part = adapters.GRAPHS[graph](spark, sf_dir)
+            own = own.collapsed() if name.startswith("iclex") or name == "spd" else own
+            if kind == "delta_merge":
+                found = objectives.merge_deltas(own, part, name)
+            else:
+                found = objectives.node_deltas(own, part, name, "new" if kind == "delta_new" else "all")
+            return found.withColumn("delta", F.round("delta", 4) + 0.0).drop(*(["to_block"] if kind == "delta_new" else []))
+
+        return run
+
+    for graph in ("nation_und", "nation_dir"):
+        for name in objectives.OBJECTIVES:
+            for kind, (moves, keys) in _MOVES.items():
+                if (kind, graph) in (("delta_new", "nation_und"), ("delta_merge", "nation_dir")):
+                    continue
+                _add(f"{kind}_{name}_{graph}", on(graph, name, kind), _moved_sql(name, graph, moves, keys))
 
+    for name in ("skn", "dckn"):
         def best(spark, sf_dir, name=name):
             graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
             return objectives.best_moves(objectives.node_deltas(graph, part, name)).select("node", "from_block", "to_block", F.round("delta", 4).alias("delta"))
 
-        scale = "(a.n * c.n)" if name == "skn" else "(a.k * c.k)"
-        # the full objective of the partition after each move, less the one before
-        sql = views("nation_und") + f""",
-mv AS (SELECT p.node AS m, p.block AS fb, c.block AS tb FROM part_ p JOIN sz c ON c.block <> p.block),
-np AS (SELECT m, fb, tb, node, CASE WHEN node = m THEN tb ELSE block END AS block FROM mv CROSS JOIN part_),
-nb AS (SELECT p.m, p.fb, p.tb, p.block AS r, q.block AS s, sum(weight) AS e FROM adj JOIN np p ON src = p.node JOIN np q ON dst = q.node AND q.m = p.m AND q.tb = p.tb GROUP BY ALL),
-nk AS (SELECT z.m, z.tb, z.block, z.n, coalesce(w.k, 0) AS k FROM (SELECT m, tb, block, count(*)::DOUBLE AS n FROM np GROUP BY ALL) z LEFT JOIN (SELECT m, tb, r AS block, sum(e) AS k FROM nb GROUP BY ALL) w USING (m, tb, block)),
-d AS (SELECT nb.m AS node, nb.fb AS from_block, nb.tb AS to_block, sum(e * ln(e / {scale})) - (SELECT sum(e * ln(e / ({'nr * ns' if name == 'skn' else 'kr * ks'}))) FROM pr WHERE e > 0) AS delta FROM nb JOIN nk a ON a.m = nb.m AND a.tb = nb.tb AND a.block = nb.r JOIN nk c ON c.m = nb.m AND c.tb = nb.tb AND c.block = nb.s WHERE e > 0 GROUP BY ALL)
-"""
-        _add(f"delta_{name}_nation_und", deltas, sql + "SELECT node, from_block, to_block, round(delta, 4) AS delta FROM d")
-        _add(f"best_moves_{name}_nation_und", best, sql + "SELECT node, from_block, to_block, round(delta, 4) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(delta, 9) DESC, to_block) AS rn FROM d) WHERE rn = 1 AND delta > 0.001")
+        inner = _moved_sql(name, "nation_und", *_MOVES["delta"]).replace("round(delta, 4) + 0.0 AS delta FROM mv", "delta FROM mv")
+        at = inner.rindex("SELECT m AS node")
+        ranked = f"{inner[:at]}SELECT node, from_block, to_block, delta FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(delta, 9) DESC, to_block) AS rn FROM ({inner[at:]})) WHERE rn = 1 AND delta > 0.001"
+        _add(f"best_moves_{name}_nation_und", best, f"{ranked[:at]}SELECT node, from_block, to_block, round(delta, 4) AS delta FROM ({ranked[at:]})")
+
+        def em_once(spark, sf_dir, name=name):
+            graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+            return search.em_step(graph, part, name)
+
+        leaving = "SELECT from_block, count(*) AS k, max(node) AS last FROM bm GROUP BY from_block"
+        step = f"SELECT p.node, coalesce(to_block, block)::INT AS block FROM part_ p LEFT JOIN (SELECT bm.node, bm.to_block FROM bm JOIN ({leaving}) l ON l.from_block = bm.from_block JOIN sz ON sz.block = bm.from_block WHERE k < n OR node < last) k ON k.node = p.node"
+        _add("em_step_nation_und" if name == "dckn" else f"em_step_{name}_nation_und", em_once, f"{ranked[:at].rstrip()},\nbm AS ({ranked[at:]})\n{step}")
 
 
 def _register_factor() -> None:
@@ -296,11 +371,6 @@ def _register_searches() -> None:
 
         _add(f"search_{method}_nation_und", run, None)
 
-    def em_once(spark, sf_dir):
-        graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
-        return search.em_step(graph, part)
-
-    _add("em_step_nation_und", em_once, None)
 
 
 for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches):
