@@ -1,125 +1,113 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Characters are read as one of 40 symbols (letters by their base, upper case, digits, kinds of signs), and the
-model has order 4, so a language has 40^4 = 2,560,000 possible n-grams and the whole model a size that no
-corpus exceeds.  Counts cover all trusted rows: each task counts its texts, the partial counts are summed
-by n-gram over the shards, continuation counts are grouped from the order above, and a join of the counts with
-their contexts' sums on (language, order, context) gives the discounted shares and the weights of the
-lower order.  The joined table is what scoring needs; bounded as it is, it is broadcast, which costs no shuffle
-of the documents' own n-grams.
-
-A tenth of the trusted rows, drawn by a hash of the id, is left out of the counts; the given quantile of
-their bits per symbol, by language, plus a margin is the threshold above which a text is rejected.  Few symbols
-say little, so a short text gets slack, on both sides.
+Symbols are UTF-16 units, so every character of every script is its own symbol (or two), and an n-gram of order 4
+fills a 64-bit number: its context is the number shifted right, what is below it the number masked.  Counts cover
+all trusted rows and grow with them: each task counts its texts, the partial counts are summed by n-gram over
+the shards, continuation counts are grouped from the order above, and joins of the counts with their contexts'
+sums on (language, order, context) give the probability of every seen n-gram and the weight of every context.
+
+Scoring is a sharded count join as well.  Documents are dealt to shards of about SHARD characters by a hash;
+a shard asks for each of its distinct n-grams once.  Distinct n-grams of all shards are joined to the model, order
+by order, and the answers go back to the shards that asked, where every document's bits are summed.  Nothing of the
+model passes through the driver or is broadcast whole unless Spark finds that it is small.
+
+A share of the trusted rows, drawn by a hash of the id, is left out of the counts.  A text's measure is the bits
+per symbol less SLACK deviations of their mean, so that short texts, which say little, are not judged by chance; the
+threshold is the given quantile of the held-out rows' measures, by language.
 
 Rules: null and empty texts have one symbol (the end) and are kept; null languages form a language of their
-own; a language with fewer than FEW trusted rows, or beyond the MOST with the most of them, uses the model and
-threshold of all languages together; without trusted rows everything is kept; a row labelled more than
-once is trusted if all its labels are 1; other columns are ignored.
+own; a language with fewer than FEW trusted rows uses the model and threshold of all languages together; without
+trusted rows everything is kept; a row labelled more than once is trusted if all its labels are 1; repeated
+ids are judged row by row, rows without an id like any others; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common
 
-SYMBOLS, ORDER = 40, 4
-#: Trusted rows that a language needs for its own model, and models of languages at most.
-FEW, MOST = 25, 32
-#: The quantile of held-out trusted rows, the margin in bits per symbol, and the share left out of the counts.
-QUANTILE, MARGIN, FOLDS = 0.99, 0.25, 10
-#: Slack of a text of n symbols over the threshold, as SLACK / sqrt(n) bits: about two and a half deviations of a symbol's bits, which vary by 2.5.
+#: Units of an n-gram, bits of a unit, and the number of symbols that are possible.
+ORDER, UNIT, SYMBOLS = 4, 16, 1 << 16
+#: Trusted rows that a language needs for a model and a threshold of its own.
+FEW = 25
+#: The quantile of held-out trusted rows, and one in how many is held out.
+QUANTILE, FOLDS = 0.995, 5
+#: Slack of a text of n symbols, as SLACK / sqrt(n) bits: about two and a half deviations of a symbol's bits, which vary by 2.5.
 SLACK = 6.0
 #: Slack of a text without characters: more bits than a symbol can have.
 NO_TEXT = 64.0
 #: The name of the model of all languages together.
 ALL = "*"
-#: Symbols of single signs; whatever is not here goes by its kind.
-SIGNS = {" ": 29, "\n": 30, ".": 31, ",": 32, "!": 33, "?": 33, "'": 34, '"': 34, "-": 35, "|": 36, ":": 37, ";": 37, "(": 37, ")": 37, "/": 37, "’": 34}
-END, UPPER, DIGIT, SPACE, OTHER_SIGN, OTHER_LETTER = 0, 27, 28, 29, 38, 39
-
-
-def symbol(char: str) -> int:
-    """The symbol of a character."""
-    if char in SIGNS:
-        return SIGNS[char]
-    if char.isspace():
-        return SPACE
-    if char.isdigit():
-        return DIGIT
-    if char.isalpha():
-        base = unicodedata.normalize("NFD", char)[0]
-        if not base.isascii():
-            return 19 if char == "ß" else OTHER_LETTER
-        return UPPER if base.isupper() else ord(base) - 96
-    return OTHER_SIGN
-
-
-@lru_cache(1)
-def _table() -> np.ndarray:
-    table = np.full(65536, OTHER_SIGN, dtype=np.int32)
-    for c in range(65536):
-        if not 0xD800 <= c < 0xE000:
-            table[c] = symbol(chr(c))
-    return table
+#: Characters of a shard, about, and symbols that a task holds before it counts them.
+SHARD, PENDING = 16 << 20, 4 << 20
 
 
 def codes(text: str) -> np.ndarray:
-    """The text's n-grams as numbers: one for each character and one for the end."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    s = np.zeros(len(points) + ORDER, dtype=np.int32)
-    s[ORDER - 1 : -1] = _table()[np.minimum(points, 65535)]
-    out = s[: len(points) + 1].copy()
+    """The text's n-grams as numbers: one for each unit and one for the end."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")
+    n = len(units) + 1
+    s = np.zeros(n + ORDER - 1, dtype=np.int64)
+    s[ORDER - 1 : -1] = units
+    out = s[:n].copy()
     for k in range(1, ORDER):
-        out *= SYMBOLS
-        out += s[k : len(points) + 1 + k]
+        out <<= UNIT
+        out |= s[k : k + n]
     return out
 
 
+def below(gram: Column, n: int) -> Column:
+    """The last n symbols of an n-gram."""
+    return gram if n >= ORDER else gram.bitwiseAND(F.lit((1 << UNIT * n) - 1))
+
+
+def context(gram: Column) -> Column:
+    """All but the last symbol."""
+    return F.shiftrightunsigned(gram, UNIT)
+
+
 def counts(texts: DataFrame) -> DataFrame:
     """(lang, gram, c): how often each n-gram occurs; texts: (lang, text).  Tasks count before anything is shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang not in totals and len(totals) >= 8:
-                    yield from flush(totals)
-                total = totals.setdefault(lang, np.zeros(SYMBOLS**ORDER, dtype=np.int32)) if lang not in totals else totals[lang]
-                grams, n = np.unique(codes(text or ""), return_counts=True)
-                total[grams] += n.astype(np.int32)
-        yield from flush(totals)
+                held.setdefault(lang, []).append(codes(text or ""))
+                size += len(text or "") + 1
+                if size > PENDING:
+                    yield from flush(held)
+                    size = 0
+        yield from flush(held)
 
-    def flush(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for lang, total in totals.items():
-            grams = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(total[grams].astype(np.int64))], ["lang", "gram", "c"])
-        totals.clear()
+    def flush(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            grams, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "gram", "c"])
+        held.clear()
 
-    return common.map_rows(texts, run, "lang string, gram int, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return common.map_rows(texts, run, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def smoothed(highest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, n, gram, share) and (lang, n, context, weight) of every order from the highest order's counts.
+def smoothed(highest: DataFrame) -> tuple[dict[int, DataFrame], DataFrame]:
+    """By order (lang, gram, p) of the n-grams seen, and (lang, n, context, weight) of all orders, from the highest order's counts.
 
-    share: the discounted count over the context's sum; weight: what the context leaves to the order below.
+    weight: what a context leaves to the order below.
     """
     orders, at = [highest.select("lang", F.lit(ORDER).alias("n"), "gram", "c")], highest
     for n in range(ORDER - 1, 0, -1):
-        at = at.groupBy("lang", (F.col("gram") % SYMBOLS**n).cast("int").alias("gram")).agg(F.count("*").alias("c"))
+        at = at.groupBy("lang", below(F.col("gram"), n).alias("gram")).agg(F.count("*").alias("c"))
         orders.append(at.select("lang", F.lit(n).alias("n"), "gram", "c"))
     table = orders[0]
     for more in orders[1:]:
         table = table.unionByName(more)
-    table = common.cut(table.withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int")), "ngrams")
+    table = common.cut(table.withColumn("context", context(F.col("gram"))), "ngrams")
     seen = [F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     of = table.groupBy("lang", "n").agg(*seen)
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
@@ -128,130 +116,170 @@ def smoothed(highest: DataFrame) -> tuple[DataFrame, DataFrame]:
         fair = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
         return F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(k)), fair))).otherwise(k / 2).alias(f"d{k}")
 
-    discounts = F.broadcast(of.select("lang", "n", *(discount(k) for k in (1, 2, 3))))  # a row for each language and order
+    discounts = of.select("lang", "n", *(discount(k) for k in (1, 2, 3)))
     own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    cut = table.join(discounts, ["lang", "n"]).select("lang", "n", "gram", "context", "c", own.alias("d"))
-    sums = cut.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-    shares = cut.join(sums, ["lang", "n", "context"]).select("lang", "n", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("share"))
-    return shares, sums.select("lang", "n", "context", (F.col("left") / F.col("total")).alias("weight"))
-
-
-def log_table(shares: dict[int, tuple[np.ndarray, np.ndarray]], weights: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log2 of every n-gram's probability, from the lowest order up; by order: (numbers, values)."""
-    p = np.full(1, 1.0 / SYMBOLS)
+    less = table.join(common.maybe_broadcast(discounts, 64), ["lang", "n"]).select("lang", "n", "gram", "context", "c", own.alias("d"))
+    sums = less.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
+    shared = less.join(sums, ["lang", "n", "context"])
+    shared = common.cut(shared.select("lang", "n", "gram", "context", ((F.col("c") - F.col("d")) / F.col("total")).alias("share"), (F.col("left") / F.col("total")).alias("weight")), "shares")
+    lower = None
+    tables: dict[int, DataFrame] = {}
     for n in range(1, ORDER + 1):
-        weight = np.ones(SYMBOLS ** (n - 1))
-        at, value = weights.get(n, (np.empty(0, int), np.empty(0)))
-        weight[at] = value
-        lower = p if n > 1 else np.full(SYMBOLS, p[0])
-        p = np.tile(lower, SYMBOLS ** n // len(lower))
-        p *= np.repeat(weight, SYMBOLS)
-        at, value = shares.get(n, (np.empty(0, int), np.empty(0)))
-        p[at] += value
-    return np.log2(np.maximum(p, 1e-12)).astype(np.float32)
-
-
-def trusted(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """(__id, held) of the trusted ids; held: left out of the counts."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("q"))
-    return marked.where("q = 1").select("__id", (F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(FOLDS)) == 0).alias("held"))
+        rows = shared.where(F.col("n") == n)
+        if lower is None:
+            rows = rows.withColumn("q", F.lit(1 / SYMBOLS))
+        else:  # what follows the first symbol was counted in the order below
+            rows = rows.withColumn("gram1", below(F.col("gram"), n - 1)).join(lower.select("lang", F.col("gram").alias("gram1"), F.col("p").alias("q")), ["lang", "gram1"])
+        tables[n] = lower = common.cut(rows.select("lang", "gram", (F.col("share") + F.col("weight") * F.col("q")).alias("p")), f"order{n}")
+    return tables, common.cut(shared.groupBy("lang", "n", "context").agg(F.first("weight").alias("weight")), "weights")
 
 
 class Model:
-    """Tables by language, as sparse arrays that workers expand once."""
+    """The tables of all languages' models, in the shared folder: probabilities by order, context weights, and the languages that have a model."""
 
-    def __init__(self, rows: dict[str, tuple[dict, dict]]):
-        self.rows = rows
-        self.langs = set(rows)
+    def __init__(self, tables: dict[int, DataFrame], weights: DataFrame, langs: DataFrame):
+        self.tables, self.weights, self.langs = tables, weights, langs
 
-    @classmethod
-    def collect(cls, shares: DataFrame, weights: DataFrame) -> Model:
-        """From the joined tables, at most SYMBOLS**ORDER rows a language and order."""
-        rows: dict[str, tuple[dict, dict]] = {}
-        for k, (table, key, value) in enumerate(((shares, "gram", "share"), (weights, "context", "weight"))):
-            arrow = table.select("lang", "n", key, value).toArrow().combine_chunks()
-            lang, n = arrow["lang"].to_numpy(zero_copy_only=False), arrow["n"].to_numpy()
-            at, x = arrow[key].to_numpy(), arrow[value].to_numpy()
-            for name in sorted(set(lang)):
-                for order in range(1, ORDER + 1):
-                    pick = (lang == name) & (n == order)
-                    rows.setdefault(name, ({}, {}))[k][order] = (at[pick].astype(np.int32), x[pick])
-        return cls(rows)
+    def probabilities(self, asked: DataFrame) -> DataFrame:
+        """(lang, gram, p) of distinct rows (lang, gram): seen n-grams by their own, others by the order below, weighted."""
+        rows = asked.select("lang", "gram", F.lit(1.0).alias("left"), F.lit(None).cast("double").alias("p"))
+        for n in range(ORDER, 0, -1):
+            rows = rows.withColumn("key", below(F.col("gram"), n)).withColumn("context", context(F.col("key")))
+            seen = self.tables[n].select("lang", F.col("gram").alias("key"), F.col("p").alias("own"))
+            weight = self.weights.where(F.col("n") == n).select("lang", "context", "weight")
+            rows = rows.join(seen, ["lang", "key"], "left").join(weight, ["lang", "context"], "left")
+            done = F.coalesce("p", F.col("left") * F.col("own"))
+            rows = rows.select("lang", "gram", F.when(done.isNull(), F.col("left") * F.coalesce("weight", F.lit(1.0))).otherwise(F.col("left")).alias("left"), done.alias("p"))
+        return rows.select("lang", "gram", F.coalesce("p", F.col("left") / SYMBOLS).alias("p"))
 
-    def expanded(self, lang: str) -> np.ndarray:
-        return log_table(*self.rows[lang])
 
+def trusted(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(__id, held) of the trusted ids; held: left out of the counts."""
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("q"))
+    return marked.where("q = 1").select("__id", (F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(FOLDS)) == 0).alias("held"))
 
-def bits(table: np.ndarray, text: str) -> float:
-    """Bits per symbol of a text."""
-    return float(-table[codes(text)].mean(dtype=np.float64))
-
-
-def entropies(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, model, bits, slack) of every whole text; model: the language whose model it was."""
-    shared, known = docs.sparkSession.sparkContext.broadcast(model), sorted(model.langs)
-    lang = F.coalesce(F.col("lang"), F.lit("und"))
-    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
-    rows = rows.select("id", F.when(lang.isin(known), lang).otherwise(ALL).alias("model"), "text")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        for batch in batches:
-            names, out, slack = batch.column(1).to_pylist(), [], []
-            for name, text in zip(names, batch.column(2).to_pylist()):
-                if name not in tables:
-                    if len(tables) >= 8:
-                        tables.clear()
-                    tables[name] = shared.value.expanded(name)
-                out.append(bits(tables[name], text or ""))
-                slack.append(SLACK / (1 + len(text)) ** 0.5 if text else NO_TEXT)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(slack, pa.float64())], ["id", "model", "bits", "slack"])
 
-    return common.map_rows(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, model string, bits double, slack double")
+def language(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> Model | None:
     """The models of the trusted rows of docs that are not held out; None without any."""
-    ids = trusted(docs, labels, id_col, label_col)
-    lang = F.coalesce(docs[lang_col].cast("string"), F.lit("und"))
-    rows = docs.join(common.maybe_broadcast(ids.where("not held"), 16), docs[id_col] == F.col("__id")).select(lang.alias("lang"), docs[text_col].cast("string").alias("text"))
-    grams = common.cut(counts(rows), "counts")
+    ids = trusted(docs, labels, id_col, label_col).where("not held").select("__id")
+    rows = docs.select(docs[id_col].alias("__own"), language(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    grams = common.cut(counts(rows.join(common.maybe_broadcast(ids, 16), F.col("__own") == F.col("__id")).select("lang", "text")), "counts")
+    ends = grams.where(below(F.col("gram"), 1) == 0).groupBy("lang").agg(F.sum("c").alias("docs"))
+    langs = common.cut(ends.where((F.col("docs") >= FEW) & (F.col("lang") != ALL)).select("lang"), "languages")
     pooled = grams.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(ALL).alias("lang"), "gram", "c")
-    ends = grams.where(F.col("gram") % SYMBOLS == END).groupBy("lang").agg(F.sum("c").alias("docs"))
-    large = [r.lang for r in ends.where(F.col("docs") >= FEW).orderBy(F.desc("docs"), "lang").limit(MOST).collect()]
-    shares, weights = smoothed(grams.where(F.col("lang").isin(large)).unionByName(pooled))
-    model = Model.collect(shares, weights)
-    return model if model.langs else None
-
-
-def thresholds(scored: DataFrame, held: DataFrame, quantile: float, margin: float) -> DataFrame:
-    """(model, threshold): the quantile of held-out rows' bits less slack, to a thousandth, and the margin; pooled as well as by language."""
-    own = scored.join(held, scored.id == held["__id"]).select("model", F.floor((F.col("bits") - F.col("slack")) * 1000).cast("long").alias("b"))
-    each = own.groupBy("model", "b").agg(F.count("*").alias("n"))
-    each = each.where(F.col("model") != ALL).unionByName(each.groupBy("b").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("model"), "b", "n"))
-    up_to = F.sum("n").over(Window.partitionBy("model").orderBy("b"))
-    total = F.sum("n").over(Window.partitionBy("model"))
-    reached = each.withColumn("up_to", up_to).withColumn("total", total).where(F.col("up_to") >= F.col("total") * quantile)
-    return reached.groupBy("model").agg((F.min("b") / 1000 + 0.001 + margin).alias("threshold"))
-
-
-def classify(
-    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality"
-) -> DataFrame:
-    """(id, model, perplexity, threshold, kept) of every row; perplexity and threshold per symbol."""
+    tables, weights = smoothed(grams.join(common.maybe_broadcast(langs, 16), "lang", "left_semi").unionByName(pooled))
+    return Model(tables, weights, langs) if weights.take(1) else None
+
+
+def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of rows (shard, id, t, lang, text) by shard and language; a task may repeat some."""
+    held: dict[tuple[int, str], list[np.ndarray]] = {}
+    size = 0
+
+    def merged() -> int:
+        for key, parts in held.items():
+            held[key] = [np.unique(np.concatenate(parts))]
+        return sum(len(p[0]) for p in held.values())
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        merged()
+        for (shard, lang), (grams,) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(grams), pa.int32()), pa.array([lang] * len(grams), pa.string()), pa.array(grams)], ["shard", "lang", "gram"])
+        held.clear()
+
+    for batch in batches:
+        for shard, lang, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            held.setdefault((shard, lang), []).append(codes(text or ""))
+            size += len(text or "") + 1
+            if size > PENDING:
+                size = merged()
+                if size > PENDING / 2:
+                    yield from flush()
+                    size = 0
+    yield from flush()
+
+
+def _summed(docs: pa.Table, answers: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, bits per symbol) of a shard's documents, from the probabilities of its n-grams."""
+    langs, texts = np.array(docs["lang"].to_pylist(), dtype=object), docs["text"].to_pylist()
+    of = np.array(answers["lang"].to_pylist(), dtype=object)
+    gram, p = answers["gram"].to_numpy(), answers["p"].to_numpy()
+    for lang in sorted(set(langs)):
+        mine = of == lang
+        known, first = np.unique(gram[mine], return_index=True)
+        bits = -np.log2(p[mine][first])
+        at, part, size = [], [], 0
+        for row in [*np.flatnonzero(langs == lang).tolist(), -1]:
+            if row >= 0:
+                at.append(row)
+                part.append(codes(texts[row] or ""))
+                size += len(part[-1])
+            if at and (row < 0 or size > PENDING / 4):
+                flat, sizes = np.concatenate(part), np.array([len(x) for x in part])
+                place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                if not (known[place] == flat).all():
+                    raise RuntimeError("a shard's n-grams lack an answer")
+                yield np.array(at), np.add.reduceat(bits[place], np.cumsum(sizes) - sizes) / sizes
+                at, part, size = [], [], 0
+
+
+def entropies(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, t, lang, bits, slack) of every whole text; lang: the language whose model it was, t: a hash of the text and the language given."""
+    spark = docs.sparkSession
+    text, lang = F.col(text_col).cast("string"), language(lang_col)
+    rows = docs.select(docs[id_col].alias("id"), row_hash(docs, text_col, lang_col).alias("t"), lang.alias("own"), text.alias("text"))
+    known = common.maybe_broadcast(model.langs.select(F.col("lang").alias("own"), F.col("lang").alias("model")), 32)
+    shards = max(1, -(-(docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD))
+    named = rows.join(known, "own", "left").select(F.pmod(F.xxhash64("id", "t"), F.lit(shards)).cast("int").alias("shard"), "id", "t", F.coalesce("model", F.lit(ALL)).alias("lang"), "text")
+    # both readers of the shards find one exchange of the texts
+    dealt = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    asked = common.map_rows(dealt, _asked, "shard int, lang string, gram long")
+    answers = asked.join(model.probabilities(asked.select("lang", "gram").distinct()), ["lang", "gram"]).select("shard", "lang", "gram", "p")
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        bits = np.zeros(own.num_rows)
+        for at, value in _summed(own, found):
+            bits[at] = value
+        slack = [SLACK / (1 + len(x)) ** 0.5 if x else NO_TEXT for x in own["text"].to_pylist()]
+        return pa.table([own["id"], own["t"], own["lang"], pa.array(bits), pa.array(slack, pa.float64())], ["id", "t", "lang", "bits", "slack"])
+
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, t long, lang string, bits double, slack double"
+    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
+
+
+def row_hash(docs: DataFrame, text_col: str, lang_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(docs[text_col].cast("string"), docs[lang_col].cast("string"))
+
+
+def thresholds(scored: DataFrame, held: DataFrame, quantile: float) -> DataFrame:
+    """(lang, threshold): the quantile of held-out rows' bits less slack, to a thousandth; pooled as well as by language."""
+    own = scored.join(common.maybe_broadcast(held, 16), scored.id == held["__id"]).select("lang", F.ceil((F.col("bits") - F.col("slack")) * 1000).cast("long").alias("b"))
+    each = own.groupBy("lang", "b").agg(F.count("*").alias("n"))
+    pooled = each.groupBy("b").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "b", "n")
+    return each.where(F.col("lang") != ALL).unionByName(pooled).groupBy("lang").agg((F.percentile("b", quantile, F.col("n")) / 1000).alias("threshold"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+    """(id, t, model, perplexity, threshold, kept) of every row; perplexity and threshold per symbol, the threshold with the text's slack; t as in row_hash()."""
     model = fit(docs, labels, id_col, text_col, lang_col, label_col)
     if model is None:
-        return docs.select(docs[id_col].alias("id"), F.lit(ALL).alias("model"), F.lit(1.0).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+        return docs.select(docs[id_col].alias("id"), row_hash(docs, text_col, lang_col).alias("t"), F.lit(ALL).alias("model"), F.lit(1.0).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     scored = common.cut(entropies(docs, model, id_col, text_col, lang_col), "entropies")
     held = trusted(docs, labels, id_col, label_col).where("held").select("__id")
-    limits = common.cut(thresholds(scored, held, quantile, margin), "thresholds")
-    pooled = limits.where(F.col("model") == ALL).first()
-    rows = scored.join(F.broadcast(limits.where(F.col("model") != ALL)), "model", "left")  # MOST rows at most
+    limits = common.cut(thresholds(scored, held, quantile), "thresholds")
+    pooled = limits.where(F.col("lang") == ALL).first()
+    rows = scored.join(common.maybe_broadcast(limits.where(F.col("lang") != ALL), 32), "lang", "left")
     limit = F.coalesce(F.col("threshold"), F.lit(pooled.threshold if pooled else None).cast("double")) + F.col("slack")
-    return rows.select("id", "model", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), F.coalesce(F.col("bits") <= limit, F.lit(True)).alias("kept"))
+    return rows.select("id", "t", F.col("lang").alias("model"), F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), F.coalesce(F.col("bits") <= limit, F.lit(True)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows that classify() rejects; rows without an id stay."""
-    bad = common.cut(classify(docs, labels, id_col=id_col, **options).where("not kept").select(F.col("id").alias("__bad")).distinct(), "rejected")
-    return docs.join(common.maybe_broadcast(bad, 16), docs[id_col] == F.col("__bad"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """docs without the rows that classify() rejects; rows of one id go or stay each for itself."""
+    judged = classify(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
+    bad = common.cut(judged.where("not kept").select(F.col("id").alias("__bad"), F.col("t").alias("__t")).distinct(), "rejected")
+    return docs.join(common.maybe_broadcast(bad, 24), docs[id_col].eqNullSafe(F.col("__bad")) & (row_hash(docs, text_col, lang_col) == F.col("__t")), "left_anti")
