@@ -1,26 +1,32 @@
 """Toxicity: noisy-channel deobfuscation, then a linear score of the restored text.
 
-A word that looks disguised (leetspeak, letters set apart by spaces or signs, letters repeated) becomes a
-lattice: each character may stand for itself, for the letters it imitates, for nothing if it only
-separates, and a run of one letter for one or two of them.  Viterbi search finds the reading that is most
-probable under the channel's costs and a character trigram model; that reading is added to the text's words.
-
-The model is fitted on at most SAMPLE labelled rows, drawn by a hash of their id: features are whole words and
-the beginnings of words, chosen by the log-likelihood ratio of their counts, with weights from a logistic regression.
-Character counts come from the same rows.  Scoring maps over all texts; nothing is shuffled.
+Every piece between white space becomes a lattice, and so does every run of pieces of one or two characters,
+whatever white space lies between them: a character may stand for itself, for the letters it imitates, for
+nothing or for a break between words if it only separates; two or more equal letters may stand for one or two.
+Viterbi search finds the reading that is most probable under the channel's costs and a character trigram
+model; the words of that reading are added to the words of the text.  A lattice with one path, letters none of which
+repeat, needs no search.
+
+The trigram model counts the letters of the words of all documents (letters without their marks; any letter beyond a
+to z is one class, so that the table has at most 29^3 rows whatever the corpus), and marked words in addition.  The
+scorer is fitted on at most SAMPLE labelled rows, drawn by a hash of their id: features are the whole words and the
+beginnings of words that occur more in toxic texts by a log-likelihood ratio of LEAST_G2 or more, with weights from a
+logistic regression.  Scoring maps over all texts; nothing is shuffled.
 
 Rules: null and empty texts get the score of a text without any feature; a row labelled more than once has its
 largest label, null labels do not count; without both kinds of labels every score is 0; repeated rows
-give repeated results; other columns are ignored.
+give repeated results; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import unicodedata
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,102 +35,136 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import common
 
-#: Labelled rows to learn from at most, features at most, and the least log-likelihood ratio of a feature.
-SAMPLE, FEATURES, LEAST_G2 = 20_000, 512, 12.0
-#: Lengths of word beginnings that are features; what a worker keeps of words already seen.
-PREFIXES, KEPT = (4, 5, 6), 300_000
+#: Labelled rows to learn from at most, and the least log-likelihood ratio of a feature.
+SAMPLE, LEAST_G2 = 20_000, 12.0
+#: Lengths of word beginnings that are features.
+PREFIXES = (4, 5, 6)
+#: Pieces that a worker keeps, and the longest that it keeps: some 100 MB at most.
+KEPT, LONGEST = 300_000, 64
+#: Words that a task counts before it adds up their letters.
+COUNTED = 200_000
+#: A marked word counts as often as one word in so many.
+MARKED = 1000
 #: The letters that a sign may stand for.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Signs that only separate letters.
 SEPARATES = set(" .-_*'~,:;/\\#&%^")
-#: Costs (negative logarithms) of the channel.
-AS_SIGN, AS_NOTHING, RUN_TO_ONE, RUN_TO_TWO = 0.7, 0.2, 0.5, 1.0
-
-EDGES = re.compile(r"^\W+|\W+$")
-APART = re.compile(r"(?<!\w)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
-RUN = re.compile(r"(.)\1\1")
+#: Costs (negative logarithms) of the channel; AS_ITSELF: a digit or sign that is no letter.
+AS_SIGN, AS_NOTHING, RUN_TO_ONE, RUN_TO_TWO, AS_ITSELF = 0.7, 0.2, 0.5, 1.0, 3.0
+#: What begins and ends a word, and the class of other letters.
+BEGIN, END, OTHER = "\x02", "\x03", "\x04"
+START = BEGIN + BEGIN
+
+#: What separates and imitates no letter: at the edges of a piece it changes no reading.
+EDGES = "".join(sorted(SEPARATES - set(IMITATES)))
+SHORT = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2})+(?!\S)")
+TWICE = re.compile(r"(.)\1")
 PARTS = re.compile(r"[^\W\d_]+")
 
 
-@dataclass
-class CharModel:
-    """Trigram model of the letters of words, with add-one counts backed off to bigrams."""
-
-    tri: dict[str, int] = field(default_factory=dict)
-    bi: dict[str, int] = field(default_factory=dict)
-
-    def add(self, word: str, n: int) -> None:
-        padded = f"\x02\x02{word}\x03"
-        for i in range(len(padded) - 2):
-            self.tri[padded[i : i + 3]] = self.tri.get(padded[i : i + 3], 0) + n
-        for i in range(len(padded) - 1):
-            self.bi[padded[i : i + 2]] = self.bi.get(padded[i : i + 2], 0) + n
+@lru_cache(1 << 16)
+def letter(char: str) -> str:
+    """A letter as the trigram model counts it."""
+    base = unicodedata.normalize("NFD", char)[0]
+    return base if "a" <= base <= "z" else OTHER
 
-    def cost(self, a: str, b: str, c: str) -> float:
-        """Negative logarithm of c's probability after a and b."""
-        seen = self.bi.get(a + b, 0)
-        lower = (self.bi.get(b + c, 0) + 0.05) / (sum_of(self.bi, b) + 2.0)
-        return -math.log((self.tri.get(a + b + c, 0) + 5 * lower) / (seen + 5))
 
-
-def sum_of(bi: dict[str, int], first: str) -> int:
-    """Counts of all pairs that begin with a letter, summed once a model."""
-    key = "\x00" + first
-    if key not in bi:
-        bi[key] = sum(n for pair, n in bi.items() if pair[0] == first and len(pair) == 2)
-    return bi[key]
+class CharModel:
+    """Trigram model of the letters of words, backed off to bigrams and single letters."""
+
+    def __init__(self, tri: dict[str, float] | None = None):
+        self.tri: dict[str, float] = dict(tri or {})
+        self._known: dict[str, float] = {}
+
+    def add(self, word: str, n: float) -> None:
+        for key in trigrams(word):
+            self.tri[key] = self.tri.get(key, 0) + n
+        self._known = {}
+
+    def ready(self) -> CharModel:
+        """Sum the counts of the shorter contexts."""
+        self.bi: dict[str, float] = defaultdict(float)
+        self.pair: dict[str, float] = defaultdict(float)
+        self.one: dict[str, float] = defaultdict(float)
+        for key, n in self.tri.items():
+            self.bi[key[:2]] += n
+            self.pair[key[1:]] += n
+            self.one[key[1]] += n
+        self.bi, self.pair, self.one = dict(self.bi), dict(self.pair), dict(self.one)
+        return self
+
+    def cost(self, key: str) -> float:
+        """Negative logarithm of the probability of the last of three symbols after the first two."""
+        known = self._known.get(key)
+        if known is None:
+            lower = (self.pair.get(key[1:], 0) + 0.05) / (self.one.get(key[1], 0) + 2.0)
+            known = self._known[key] = -math.log((self.tri.get(key, 0) + 5 * lower) / (self.bi.get(key[:2], 0) + 5))
+        return known
+
+
+def trigrams(word: str) -> list[str]:
+    padded = START + "".join(map(letter, word)) + END
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+
+def options_of(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of n equal characters may stand for, with its cost; a space is a break between words."""
+    options: list[tuple[str, float]] = []
+    if c.isalpha():
+        options = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, RUN_TO_ONE)] if n == 2 else [(c, RUN_TO_ONE), (c * 2, RUN_TO_TWO)]
+    for x in IMITATES.get(c, ""):
+        options += [(x, AS_SIGN)] + ([(x * 2, AS_SIGN)] if n > 1 else [])
+    if c in SEPARATES:
+        options += [("", AS_NOTHING), (" ", 0.0)]
+    elif not c.isalpha():
+        options.append((" ", AS_ITSELF * min(n, 3)))
+    return options
+
+
+@lru_cache(1 << 12)
+def _choices(c: str, n: int) -> tuple[tuple[str, float, tuple[str, ...] | None], ...]:
+    """options_of() with the letters as the trigram model counts them, None for a break."""
+    return tuple((letters, extra, None if letters == " " else tuple(map(letter, letters))) for letters, extra in options_of(c, n))
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The most probable reading of a disguised token."""
-    runs: list[tuple[str, int]] = []
-    for c in token:
-        if runs and runs[-1][0] == c:
-            runs[-1] = (c, runs[-1][1] + 1)
-        else:
-            runs.append((c, 1))
-    states: dict[str, tuple[float, tuple]] = {"\x02\x02": (0.0, ())}
-    for c, n in runs:
-        options: list[tuple[str, float]] = []
-        if c.isalpha():
-            options = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, RUN_TO_ONE)] if n == 2 else [(c, RUN_TO_ONE), (c * 2, RUN_TO_TWO)]
-        for x in IMITATES.get(c, ""):
-            options += [(x, AS_SIGN)] + ([(x * 2, AS_SIGN)] if n > 1 else [])
-        if c in SEPARATES or not options:
-            options.append(("", AS_NOTHING))
+    """The most probable reading of a token: words with single spaces between them."""
+    states: dict[str, tuple[float, tuple]] = {START: (0.0, ())}
+    cost, at, end = model.cost, 0, len(token)
+    while at < end:
+        c, first = token[at], at
+        while at < end and token[at] == c:
+            at += 1
         after: dict[str, tuple[float, tuple]] = {}
-        for state, (cost, path) in states.items():
-            for letters, extra in options:
-                total, last = cost + extra, state
-                for x in letters:
-                    total += model.cost(last[0], last[1], x)
-                    last = last[1] + x
-                if last not in after or (total, last) < (after[last][0], last):
-                    after[last] = (total, (path, letters))
+        # longer runs of letters and separators stand for the same as three
+        for letters, extra, folded in _choices(c, min(at - first, 3)):
+            for state, (total, path) in states.items():
+                total += extra
+                if folded is None:
+                    if state != START:
+                        total += cost(state + END)
+                    last = START
+                else:
+                    last = state
+                    for x in folded:
+                        total += cost(last + x)
+                        last = last[1] + x
+                if last not in after or total < after[last][0]:
+                    after[last] = (total, (path, letters) if letters else path)
         states = after
-    cost, path = min((cost + model.cost(s[0], s[1], "\x03"), path) for s, (cost, path) in states.items())
+    _, path = min(((total + (cost(s + END) if s != START else 0.0), path) for s, (total, path) in states.items()), key=lambda x: x[0])
     out = []
     while path:
         path, letters = path
         out.append(letters)
-    return "".join(reversed(out))
-
-
-def looks_disguised(piece: str) -> bool:
-    """Letters with signs or digits between or beside them, or a letter three times in a row."""
-    letters = sum(c.isalpha() for c in piece)
-    if not letters:
-        return False
-    if letters == len(piece):
-        return RUN.search(piece) is not None
-    return letters + sum(c in IMITATES for c in piece) >= 3
+    return " ".join("".join(reversed(out)).split())
 
 
-def words_of(text: str) -> set[str]:
-    """Pieces between white space of the lower-case text, and letters that spaces set apart as one piece."""
+def pieces_of(text: str) -> set[str]:
+    """Pieces between white space of the lower-case text, and runs of short pieces with one space between them."""
     text = text.lower()
     found = set(text.split())
-    found.update(m.group() for m in APART.finditer(text))
+    found.update(" ".join(m.split()) for m in SHORT.findall(text))
     return found
 
 
@@ -135,29 +175,27 @@ class Reader:
         self.model, self.known, self.store = model, known, {}
 
     def words(self, piece: str) -> set[str]:
-        """The words that a piece holds: its letters, and its reading if it looks disguised."""
-        core = EDGES.sub("", piece)
-        if core.isalpha() and not RUN.search(core):
+        """The words that a piece holds as it is, and those of its most probable reading."""
+        core = piece.strip(EDGES)
+        if core.isalpha() and not TWICE.search(core):
             return {core}
-        found = set(PARTS.findall(core))
-        for p in {core, piece}:
-            if looks_disguised(p):
-                found.add(decode(p, self.model))
-        return found
+        return {*PARTS.findall(piece), *decode(piece, self.model).split()}
 
     def features(self, piece: str) -> tuple[int, ...]:
         """Numbers of the known features of a piece."""
         kept = self.store.get(piece)
         if kept is None:
-            if len(self.store) > KEPT:
-                self.store.clear()
-            kept = self.store[piece] = tuple(sorted({self.known[f] for w in self.words(piece) for f in features_of(w) if f in self.known}))
+            kept = tuple(sorted({self.known[f] for w in self.words(piece) for f in features_of(w) if f in self.known}))
+            if len(piece) <= LONGEST:
+                if len(self.store) >= KEPT:
+                    self.store.clear()
+                self.store[piece] = kept
         return kept
 
     def vector(self, text: str) -> list[int]:
         """Numbers of the features of a text, each once."""
         get, found = self.store.get, set()
-        for p in words_of(text):
+        for p in pieces_of(text):
             if (hit := get(p)) is None:
                 hit = self.features(p)
             if hit:
@@ -165,6 +203,19 @@ class Reader:
         return sorted(found)
 
 
+#: The reader of the model that this worker used last.
+_LAST: dict[str, Reader] = {}
+common.HELD["toxicity"] = _LAST.clear
+
+
+def reader_of(model: Model) -> Reader:
+    """A reader whose store stays in the worker between tasks of the same model."""
+    if model.name not in _LAST:
+        _LAST.clear()
+        _LAST[model.name] = Reader(model.chars, model.known)
+    return _LAST[model.name]
+
+
 def features_of(word: str) -> Iterator[str]:
     yield "=" + word
     for n in PREFIXES:
@@ -172,22 +223,41 @@ def features_of(word: str) -> Iterator[str]:
             yield word[:n]
 
 
-@dataclass
 class Model:
     """A fitted scorer."""
 
-    chars: CharModel
-    known: dict[str, int]
-    weights: np.ndarray
-    bias: float
+    def __init__(self, chars: CharModel, known: dict[str, int], weights: np.ndarray, bias: float):
+        self.chars, self.known, self.weights, self.bias, self.name = chars, known, weights, bias, uuid.uuid4().hex
 
     def scores(self, reader: Reader, texts: Iterable[str]) -> list[float]:
         weights = self.weights
         return [1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(weights[i] for i in reader.vector(t)))))) for t in texts]
 
 
-def _batches(rows: DataFrame, function, schema) -> DataFrame:
-    return common.map_rows(rows, function, schema)
+def letters_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, n): the trigrams of the words of all texts; tasks count words, then the letters of each distinct one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        table: Counter = Counter()
+
+        def add_up() -> None:
+            for word, n in words.items():
+                for key in trigrams(word):
+                    table[key] += n
+            words.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    words.update(PARTS.findall(text.lower()))
+                    if len(words) > COUNTED:
+                        add_up()
+        add_up()
+        yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["key", "n"])
+
+    rows = docs.select(docs[text_col].cast("string").alias("text"))
+    return common.map_rows(rows, run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> DataFrame:
@@ -198,15 +268,10 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return rows.join(F.broadcast(few), "__id").where("text is not null").groupBy("text").agg(F.max("y").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = SAMPLE) -> Model | None:
-    """A model from the labelled rows of docs; None without rows of both kinds."""
-    rows = common.cut(sample_of(docs, labels, id_col, text_col, label_col, limit), "labelled")
-    sizes = {r.y: r.n for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    positive, negative = sizes.get(1, 0), sizes.get(0, 0)
-    if not positive or not negative:
-        return None
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """(f, t, n): toxic and other texts with each feature; rows: (text, y)."""
 
-    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[int]] = defaultdict(lambda: [0, 0])
 
         def full() -> pa.RecordBatch:
@@ -216,39 +281,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {w for p in words_of(text) for w in PARTS.findall(p)}
-                for f in {f for w in words for f in features_of(w)}:
+                for f in {f for w in set(PARTS.findall(text.lower())) for f in features_of(w)}:
                     total[f][y <= 0] += 1
             if len(total) > 400_000:
                 yield full()
         yield full()
 
-    table = _batches(rows, counts, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    table = common.cut(table.where("t + n >= 2"), "features")
+    return common.map_rows(rows, run, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = SAMPLE) -> Model | None:
+    """A model from the labelled rows of docs; None without rows of both kinds."""
+    rows = common.cut(sample_of(docs, labels, id_col, text_col, label_col, limit), "labelled")
+    sizes = {r.y: r.n for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    positive, negative = sizes.get(1, 0), sizes.get(0, 0)
+    if not positive or not negative:
+        return None
     t, n = F.col("t"), F.col("n")
     share = positive / (positive + negative)
     part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / of)).otherwise(0.0)
     g2 = 2 * (part(t, (t + n) * share) + part(n, (t + n) * (1 - share)))
-    marked = table.withColumn("g2", g2).where((t > (t + n) * share) & (F.col("g2") >= LEAST_G2))
-    chosen = marked.orderBy(F.desc("g2"), "f").limit(FEATURES).collect()
-    known = {r.f: i for i, r in enumerate(chosen)}
-    chars = CharModel()
-    for r in table.where("f like '=%'").orderBy(F.desc(F.col("t") + F.col("n")), "f").limit(20_000).collect():
-        chars.add(r.f[1:], r.t + r.n)
-    # readings of disguised words compete with ordinary text, so marked words count as often as common ones
-    most = max((r.t + r.n for r in chosen), default=1)
-    for r in chosen:
-        if r.f[0] == "=":
-            chars.add(r.f[1:], most)
-    for c in {p[0] for p in list(chars.bi)}:
-        sum_of(chars.bi, c)
+    # at most what the sample's texts hold
+    chosen = sorted(r.f for r in feature_counts(rows).where((t > (t + n) * share) & (g2 >= LEAST_G2)).select("f").collect())
+    known = {f: i for i, f in enumerate(chosen)}
+    chars = CharModel({r.key: r.n for r in letters_of(docs, text_col).collect()})  # 29^3 rows at most
+    often = max(1.0, sum(v for k, v in chars.tri.items() if k[2] == END) / MARKED)
+    for f in chosen:
+        if f[0] == "=":
+            chars.add(f[1:], often)
+    chars.ready()
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(chars, known)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([reader.vector(x) for x in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], ["x", "y"])
 
-    patterns = _batches(rows, vectors, "x array<int>, y int").groupBy("x", (F.col("y") > 0).cast("double").alias("y")).agg(F.count("*").alias("n")).collect()
+    patterns = common.map_rows(rows, vectors, "x array<int>, y int").groupBy("x", (F.col("y") > 0).cast("double").alias("y")).agg(F.count("*").alias("n")).collect()
     weights, bias = regression(patterns, len(known))
     return Model(chars, known, weights, bias)
 
@@ -277,15 +345,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     if model is None:
         return rows.select("id", F.lit(0.0).alias("score")).withColumnRenamed("id", id_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights and the counts of three letters: bounded
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and by 29^3
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        reader = Reader(own.chars, own.known)
+        reader = reader_of(own)
         for batch in common.slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(reader, [t or "" for t in batch.column(1).to_pylist()]), pa.float64())], ["id", "score"])
 
-    return _batches(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return common.map_rows(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, score double", "toxicity").withColumnRenamed("id", id_col)
 
 
 def keep_harmless(docs: DataFrame, model: Model | None, limit: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -297,12 +365,12 @@ def keep_harmless(docs: DataFrame, model: Model | None, limit: float = 0.5, text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        reader = Reader(own.chars, own.known)
+        reader = reader_of(own)
         for batch in common.slices(batches, at):
             scores = own.scores(reader, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([s < limit for s in scores], pa.bool_()))
 
-    return _batches(docs, run, docs.schema)
+    return common.map_rows(docs, run, docs.schema, "toxicity")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,5 +1,7 @@
 import itertools
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -21,35 +23,46 @@ def corpus(n=400):
     return texts, labels
 
 
+def model_of(words, n=5):
+    model = toxicity.CharModel()
+    for w in words:
+        model.add(w, n)
+    return model.ready()
+
+
+def brute_cost(word, model):
+    padded = "\x02\x02" + word + "\x03"
+    return sum(model.cost(padded[i : i + 3]) for i in range(len(padded) - 2))
+
+
 def brute_decode(token, model):
     """Least cost over every reading, by enumeration."""
-    runs = [(c, len(list(g))) for c, g in itertools.groupby(token)]
-    choices = []
-    for c, n in runs:
-        options = []
-        if c.isalpha():
-            options = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, toxicity.RUN_TO_ONE)] if n == 2 else [(c, toxicity.RUN_TO_ONE), (c * 2, toxicity.RUN_TO_TWO)]
-        for x in toxicity.IMITATES.get(c, ""):
-            options += [(x, toxicity.AS_SIGN)] + ([(x * 2, toxicity.AS_SIGN)] if n > 1 else [])
-        if c in toxicity.SEPARATES or not options:
-            options.append(("", toxicity.AS_NOTHING))
-        choices.append(options)
+    choices = [toxicity.options_of(c, len(list(g))) for c, g in itertools.groupby(token)]
     best = None
     for pick in itertools.product(*choices):
-        word = "".join(x for x, _ in pick)
-        padded = "\x02\x02" + word + "\x03"
-        cost = sum(c for _, c in pick) + sum(model.cost(*padded[i : i + 3]) for i in range(len(padded) - 2))
-        best = min(best, (cost, word)) if best else (cost, word)
-    return best[1]
+        words = "".join(x for x, _ in pick).split()
+        cost = sum(c for _, c in pick) + sum(brute_cost(w, model) for w in words)
+        best = min(best, (cost, " ".join(words))) if best else (cost, " ".join(words))
+    return best
 
 
 def test_viterbi_is_the_best_reading():
-    model = toxicity.CharModel()
-    for w in BAD + GOOD:
-        model.add(w, 5)
-    for token in ("f1eeb", "fl33b", "fleeeeb", "s.n.a.r.l.e.t", "dr@tt3d", "gr u m bl er", "5nar1et", "x1!0", "---", "r1ver"):
-        assert toxicity.decode(token, model) == brute_decode(token, model), token
-    assert toxicity.decode("fl33b", model) == "fleeb" and toxicity.decode("s n a r l e t", model) == "snarlet"
+    model = model_of(BAD + GOOD)
+    for token in ("f1eeb", "fl33b", "fleeeeb", "s.n.a.r.l.e.t", "dr@tt3d", "gr u m bl er", "5nar1et", "x1!0", "---", "r1ver", "a f l e", "1984", "river.stone", "4$$"):
+        assert toxicity.decode(token, model) == brute_decode(token, model)[1], token
+
+
+def test_disguises_are_read():
+    model = model_of([*BAD, *GOOD, "a", "ass"], 50)
+    for piece, word in {
+        "fl33b": "fleeb", "s n a r l e t": "snarlet", "d r 4 t t e d": "dratted", "$ n a r l e t": "snarlet", "f.  l.\ne. e. b.": "fleeb", "snnarlet": "snarlet", "gruuuumbler": "grumbler",
+        "a f l e e b": "fleeb", "a s s": "ass", "4$$": "ass", "f-l-e-e-b!": "fleeb", "dr@tt3d,": "dratted", "s\tn\na  r l e t": "snarlet",
+    }.items():
+        reader = toxicity.Reader(model, {"=" + word: 0})
+        assert reader.vector(f"river {piece} stone") == [0], piece
+    reader = toxicity.Reader(model, {"=" + w: i for i, w in enumerate([*BAD, "ass"])})
+    for plain in ("river stone", "1984", "2 x 3", "it is so", "12,500.00", "letter table window", ""):
+        assert reader.vector(plain) == [], plain
 
 
 def test_held_out_rows_and_disguises(spark):
@@ -68,6 +81,24 @@ def test_held_out_rows_and_disguises(spark):
     assert min(at["fl33b river"], at["s n a r l e t window"], at["gruuumbler"], at["dr@tted paper"]) >= 0.5
 
 
+def test_score_is_brute_force_s(spark):
+    texts, labels = corpus(240)
+    extra = [None, "", "fl33b river", "d r 4 t t e d window", "$ n a r l e t", "river river", "gruumbler, stone", "1984 5nar1et"]
+    docs = spark.createDataFrame(list(enumerate(texts + extra)), "doc_id long, text string").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    letters = Counter(k for t in texts + extra for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for k in toxicity.trigrams(w))
+    counted = {r.key: r.n for r in toxicity.letters_of(docs).collect()}
+    assert counted == dict(letters)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text in enumerate(texts + extra):
+        lower = (text or "").lower()
+        pieces = lower.split() + [" ".join(m.split()) for m in re.findall(r"(?<!\S)\S{1,2}(?:\s+\S{1,2})+(?!\S)", lower)]
+        words = {w for p in pieces for w in re.findall(r"[^\W\d_]+", p) + brute_decode(p, model.chars)[1].split()}
+        found = {f for w in words for f in ["=" + w, *(w[:k] for k in (4, 5, 6) if len(w) >= k)]} & set(model.known)
+        want = 1 / (1 + np.exp(-np.clip(model.bias + sum(model.weights[model.known[f]] for f in found), -30, 30)))
+        assert abs(got[i] - want) < 1e-9, text
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
