@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,8 +176,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(tables, weights, langs) if weights.take(1) else None
 
 
+def _squeezed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts compressed each for itself, which halves what a shuffle of them writes."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = pa.array([t and squeeze(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*batch.schema.names[:-1], "z"])
+
+
+def _texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
+    loose = zstandard.ZstdDecompressor().decompress
+    return [loose(z).decode() if z else "" for z in column.to_pylist()]
+
+
 def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of rows (shard, id, t, lang, text) by shard and language; a task may repeat some."""
+    """Distinct n-grams of rows (shard, id, t, lang, z) by shard and language; a task may repeat some."""
     held: dict[tuple[int, str], list[np.ndarray]] = {}
     size = 0
 
@@ -192,9 +206,9 @@ def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for shard, lang, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            held.setdefault((shard, lang), []).append(codes(text or ""))
-            size += len(text or "") + 1
+        for shard, lang, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), _texts(batch.column(4))):
+            held.setdefault((shard, lang), []).append(codes(text))
+            size += len(text) + 1
             if size > PENDING:
                 size = merged()
                 if size > PENDING / 2:
@@ -203,9 +217,9 @@ def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _summed(docs: pa.Table, answers: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, bits per symbol) of a shard's documents, from the probabilities of its n-grams."""
-    langs, texts = np.array(docs["lang"].to_pylist(), dtype=object), docs["text"].to_pylist()
+def _summed(docs: pa.Table, answers: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, bits per symbol, symbols) of a shard's documents, from the probabilities of its n-grams."""
+    langs, texts = np.array(docs["lang"].to_pylist(), dtype=object), docs["z"]
     of = np.array(answers["lang"].to_pylist(), dtype=object)
     gram, p = answers["gram"].to_numpy(), answers["p"].to_numpy()
     for lang in sorted(set(langs)):
@@ -216,14 +230,14 @@ def _summed(docs: pa.Table, answers: pa.Table) -> Iterator[tuple[np.ndarray, np.
         for row in [*np.flatnonzero(langs == lang).tolist(), -1]:
             if row >= 0:
                 at.append(row)
-                part.append(codes(texts[row] or ""))
+                part.append(codes(_texts(texts.slice(row, 1))[0]))
                 size += len(part[-1])
             if at and (row < 0 or size > PENDING / 4):
                 flat, sizes = np.concatenate(part), np.array([len(x) for x in part])
                 place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 if not (known[place] == flat).all():
                     raise RuntimeError("a shard's n-grams lack an answer")
-                yield np.array(at), np.add.reduceat(bits[place], np.cumsum(sizes) - sizes) / sizes
+                yield np.array(at), np.add.reduceat(bits[place], np.cumsum(sizes) - sizes) / sizes, sizes
                 at, part, size = [], [], 0
 
 
@@ -235,19 +249,21 @@ def entropies(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_co
     known = common.maybe_broadcast(model.langs.select(F.col("lang").alias("own"), F.col("lang").alias("model")), 32)
     shards = max(1, -(-(docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD))
     named = rows.join(known, "own", "left").select(F.pmod(F.xxhash64("id", "t"), F.lit(shards)).cast("int").alias("shard"), "id", "t", F.coalesce("model", F.lit(ALL)).alias("lang"), "text")
+    key = docs.schema[id_col].dataType.simpleString()
+    squeezed = common.map_rows(named, _squeezed, f"shard int, id {key}, t long, lang string, z binary")
     # both readers of the shards find one exchange of the texts
-    dealt = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    dealt = squeezed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
     asked = common.map_rows(dealt, _asked, "shard int, lang string, gram long")
     answers = asked.join(model.probabilities(asked.select("lang", "gram").distinct()), ["lang", "gram"]).select("shard", "lang", "gram", "p")
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        bits = np.zeros(own.num_rows)
-        for at, value in _summed(own, found):
+        bits, slack = np.zeros(own.num_rows), np.zeros(own.num_rows)
+        for at, value, symbols in _summed(own, found):
             bits[at] = value
-        slack = [SLACK / (1 + len(x)) ** 0.5 if x else NO_TEXT for x in own["text"].to_pylist()]
-        return pa.table([own["id"], own["t"], own["lang"], pa.array(bits), pa.array(slack, pa.float64())], ["id", "t", "lang", "bits", "slack"])
+            slack[at] = np.where(symbols > 1, SLACK / np.sqrt(symbols), NO_TEXT)
+        return pa.table([own["id"], own["t"], own["lang"], pa.array(bits), pa.array(slack)], ["id", "t", "lang", "bits", "slack"])
 
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, t long, lang string, bits double, slack double"
+    schema = f"id {key}, t long, lang string, bits double, slack double"
     return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
 
 
