@@ -66,14 +66,19 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every text."""
+    """(id, t long, fp long) of every text; t as in text_hash()."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t or b"", words) for t in batch.column(1).to_pylist()], pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t or b"", words) for t in batch.column(2).to_pylist()], pa.int64())], ["id", "t", "fp"])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
-    return common.map_rows(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    rows = docs.select(docs[id_col].alias("id"), text_hash(docs, text_col).alias("t"), docs[text_col].cast("string").cast("binary").alias("text"))
+    return common.map_rows(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, t long, fp long")
+
+
+def text_hash(docs: DataFrame, text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(docs[text_col].cast("string"))
 
 
 def _variants(fp: Column) -> Column:
@@ -183,15 +188,15 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): the component is the smallest id that links reach.  Null ids count as the largest."""
+    """(id, t, fp, component, root): the component is the smallest id that links reach, root a number that no other class has.  Null ids count as the largest."""
     own = common.cut(fingerprints(docs, words, id_col, text_col), "fingerprints")
     copies = common.cut(own.groupBy("fp").agg(F.min("id").alias("first")), "copies")
     roots = common.cut(components(links(copies.select("fp"))), "roots")
     named = roots.join(copies, roots.node == copies.fp).select("root", "fp", "first")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    joined = named.join(least, "root").select("fp", "component")
-    found = copies.join(joined, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return common.join_hot(own, found, ["fp"]).select("id", "fp", "component")
+    joined = named.join(least, "root").select("fp", "component", "root")
+    found = copies.join(joined, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"), F.coalesce("root", "fp").alias("root"))
+    return common.join_hot(own, found, ["fp"]).select("id", "t", "fp", "component", "root")
 
 
 def _spread(h: np.ndarray, words: int) -> np.ndarray:
@@ -238,11 +243,11 @@ def prefix(shingles: np.ndarray, common_ones: np.ndarray, seen: np.ndarray) -> n
 
 
 def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are common among some of the texts, and how often they were seen; texts: (id, text)."""
+    """Sorted shingles that are common among some of the texts, and how often they were seen; texts: (id, t, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingled(text or b"")[1].view(np.int64))], ["s"])
 
     share = min(1.0, max(SHARE, SHOWN / max(1, texts.count())))
@@ -254,82 +259,86 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of texts with SHINGLE-word shingles alike to 0.8 or more; ids are integers.
+    """(id, t, component, root) of every text, by SHINGLE-word shingles alike to 0.8 or more: component is the smallest id of the class, root a number that no other class has; t as in text_hash().
 
-    Texts that are so alike share a shingle of their prefixes, so the shuffle brings every such pair together;
-    pairs with more than LOOSE of 256 majority bits apart are left out, and what links then is a group whose texts
-    are compared by their shingles: exact_links() decides.
+    Texts of the same words are one node, named by a 64-bit hash of them.  Texts that are so alike share a shingle of
+    their prefixes, so the shuffle brings every such pair together; pairs with more than LOOSE of 256 majority bits apart
+    are left out, and what links then is a group whose texts are compared by their shingles: exact_links() decides.
+    Null counts as empty; texts without words are one class; rows of one id are told apart by t; null ids are never the smallest.
     """
-    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), text_hash(docs, text_col).alias("t"), docs[text_col].cast("string").cast("binary").alias("text"))
     order = _common_shingles(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, keys, bits = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h, shingles = shingled(text or b"")
                 own.append(h)
                 keys.append(prefix(shingles, *order).view(np.int64))
-                bits.append(np.packbits(_spread(shingles, 4), bitorder="little").view("<i8").tolist() if len(shingles) else [0] * 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, bits))], ["id", "h", "keys", "bits"])
-
-    own = common.cut(common.map_rows(rows, run, "id long, h long, keys array<long>, bits array<long>"), "signatures")
-    nodes = common.cut(own.groupBy("h", "bits", "keys").agg(F.min("id").alias("node")).where(F.exists("bits", lambda b: b != 0)), "texts")
-    two, many = _meetings(nodes, F.col("keys"))
-    bits = nodes.select("node", "bits")
+                bits.append(np.packbits(_spread(shingles, 4), bitorder="little").view("<i8").tolist() if len(shingles) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, bits))], ["id", "t", "h", "keys", "bits"])
+
+    key = docs.schema[id_col].dataType.simpleString()
+    own = common.cut(common.map_rows(rows, run, f"id {key}, t long, h long, keys array<long>, bits array<long>"), "signatures")
+    # one row a node: keys and bits follow from the words, and one text of the node is named
+    nodes = own.groupBy(F.col("h").alias("node")).agg(F.min("id").alias("first"), F.min_by(F.struct("t", "keys", "bits"), F.struct(F.col("id").isNull(), "id", "t")).alias("x"))
+    nodes = common.cut(nodes.select("node", "first", "x.t", "x.keys", "x.bits"), "texts")
+    worded = nodes.where(F.size("bits") > 0)
+    two, many = _meetings(worded, F.col("keys"))
+    bits = worded.select("node", "bits")
     pairs = two.distinct().join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, 4)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     crowded = many.join(bits, "node").select("key", "node", "bits").repartition(n, "key").sortWithinPartitions("key")
     loose = pairs.where(apart <= LOOSE).select("a", "b").unionByName(common.map_rows(crowded, _crowded(LOOSE, _loose_forest), "a long, b long").distinct())
-    groups = common.cut(components(loose).join(nodes.select("node", "h"), "node").select("node", "h", F.col("root").alias("g")), "groups")
-    found = exact_links(groups, rows)
-    roots = common.cut(components(found), "roots").select("node", F.col("root").alias("component"))
-    named = nodes.join(roots, "node", "left").select("h", "bits", F.coalesce("component", "node").alias("component"))
-    empty = own.where(~F.exists("bits", lambda b: b != 0)).groupBy("h", "bits").agg(F.min("id").alias("component"))
-    return common.join_hot(own.select("id", "h", "bits"), named.unionByName(empty), ["h", "bits"]).select("id", "component")
+    groups = common.cut(components(loose).join(nodes.select("node", "first", "t"), "node").select("node", F.col("first").alias("id"), "t", F.col("root").alias("g")), "groups")
+    roots = common.cut(components(exact_links(groups, rows)), "roots")
+    named = common.cut(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    classes_ = named.join(least, "root").select(F.col("node").alias("h"), "component", "root")
+    return common.join_hot(own.select("id", "t", "h"), classes_, ["h"]).select("id", "t", "component", "root")
 
 
 def exact_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that join, within each group, all nodes whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    groups: (node, h, g), texts: (id, text); the text of a node is one of its id whose words hash to h.  A group too
+    groups: (node, id, t, g), texts: (id, t, text); the text of a node is one of its id and t.  A group too
     large for a task is cut into parts, and every two parts are compared in a task of their own.
     """
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = texts.withColumn("bytes", F.length("text")).join(common.maybe_broadcast(groups, 32), texts["id"] == groups["node"]).select("g", "node", "h", "text", "bytes")
+    asked = common.maybe_broadcast(groups, 40)
+    sized = texts.join(asked, texts["id"].eqNullSafe(asked["id"]) & (texts["t"] == asked["t"])).select("g", "node", "text", F.coalesce(F.length("text"), F.lit(0)).alias("bytes"))
     held = common.cut(sized, "grouped")
     parts = held.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("bytes") / GROUP_BYTES)).cast("int").alias("parts")).where("parts > 1")
     large = common.cut(parts, "parts")
     few = common.maybe_broadcast(large, 16)
-    whole = held.join(common.maybe_broadcast(large.select("g"), 16), "g", "left_anti").select(F.xxhash64("g").alias("key"), "g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "h", "text")
-    mine = held.join(few, "g").withColumn("mine", F.pmod(F.xxhash64("node", "h"), F.col("parts")).cast("int"))
+    whole = held.join(common.maybe_broadcast(large.select("g"), 16), "g", "left_anti").select(F.xxhash64("g").alias("key"), "g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "text")
+    mine = held.join(few, "g").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("mine"))
-    dealt = mine.select("g", F.col("mine"), "node", "h", "text", F.explode(others).alias("other")).select(F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "h", "text")
-    together = whole.unionByName(dealt).repartition(n, "key").sortWithinPartitions("key", "g", "i", "j").select("g", "i", "j", "node", "h", "text")
+    dealt = mine.select("g", F.col("mine"), "node", "text", F.explode(others).alias("other")).select(F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "text")
+    together = whole.unionByName(dealt).repartition(n, "key").sortWithinPartitions("key", "g", "i", "j").select("g", "i", "j", "node", "text")
     return common.map_rows(together, _compared, "a long, b long").distinct()
 
 
 def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of each run of rows (g, i, j, node, h, text) with equal g, i and j."""
-    last, nodes, sets = None, [], []
+    """Links of a spanning forest of each run of rows (g, i, j, node, text) with equal g, i and j; repeated nodes count once."""
+    last, sets = None, {}
 
     def linked() -> pa.RecordBatch:
-        found = list(_alike(nodes, sets))
+        found = list(_alike(list(sets), list(sets.values())))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        g, i, j, node, h, text = (batch.column(k) for k in range(6))
-        for *key, name, own, t in zip(g.to_pylist(), i.to_pylist(), j.to_pylist(), node.to_pylist(), h.to_pylist(), text.to_pylist()):
+        g, i, j, node, text = (batch.column(k) for k in range(5))
+        for *key, name, t in zip(g.to_pylist(), i.to_pylist(), j.to_pylist(), node.to_pylist(), text.to_pylist()):
             if key != last:
-                if len(nodes) > 1:
+                if len(sets) > 1:
                     yield linked()
-                last, nodes, sets = key, [], []
-            words, shingles = shingled(t or b"")
-            if words == own:
-                nodes.append(name)
-                sets.append(shingles)
-    if len(nodes) > 1:
+                last, sets = key, {}
+            if name not in sets:
+                sets[name] = shingled(t or b"")[1]
+    if len(sets) > 1:
         yield linked()
 
 
@@ -373,17 +382,21 @@ def _alike(nodes: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]
             keep(stay)
 
 
-def survivors(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each component of found (id, component): the row whose id names it, and of rows that repeat that id any one.  Rows without an id stay.
+def survivors(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of found (id, t, root): the one with the smallest id, and of rows that repeat that id the one
+    with the smallest t; of rows that repeat both any one.  Rows without an id stay only where their class has no other.
 
-    Only the ids that go are joined to the texts; where they are few by count they are broadcast.
+    Only the rows that go are joined to the texts; where they are few by count they are broadcast.
     """
-    found = common.cut(found.select("id", "component"), "classes")
-    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(common.maybe_broadcast(gone, 16), docs[id_col] == F.col("__id"), "left_anti")
-    repeated = found.where(F.col("id") == F.col("component")).groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
+    own = common.cut(found.select("id", "t", "root"), "classes")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x")).select("root", F.col("x.id").alias("first"), F.col("x.t").alias("one"))
+    marked = common.cut(common.join_hot(own, first, ["root"]).select("id", "t", (F.col("id").eqNullSafe(F.col("first")) & (F.col("t") == F.col("one"))).alias("stays")), "marked")
+    row = docs[id_col].eqNullSafe(F.col("__id")) & (text_hash(docs, text_col) == F.col("__t"))
+    gone = marked.where("not stays").select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
+    kept = docs.join(common.maybe_broadcast(gone, 24), row, "left_anti")
+    repeated = marked.where("stays").groupBy("id", "t").count().where("count > 1").select(F.col("id").alias("__id"), F.col("t").alias("__t"))
     if not repeated.take(1):
         return kept
-    hint = common.maybe_broadcast(repeated, 16)
-    once = kept.join(hint, docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(hint, docs[id_col] == F.col("__id"), "left_anti").unionByName(once)
+    hint = common.maybe_broadcast(common.cut(repeated, "repeated"), 24)
+    once = kept.join(hint, row, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(hint, row, "left_anti").unionByName(once)

@@ -117,6 +117,16 @@ def test_edited_copies_are_similar(spark):
     assert simhash.similar(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    random = np.random.default_rng(10)
+    a, b, c = (" ".join(random.choice([f"w{i}" for i in range(500)], 60)) for _ in range(3))
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, b + " x"), (None, c), (None, "alone here"), (4, None), (5, ""), (6, c), (6, c), (7, "twice"), (7, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for found in (simhash.similar(docs), simhash.classes(docs)):
+        kept = [(r.doc_id, r.text) for r in simhash.survivors(found, docs).collect() if r.text != b + " x"]  # its fingerprint may be far
+        assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c), (None, "alone here"), (4, None), (7, "twice")], key=str)
+
+
 def block_edits(random, vocabulary):
     """Word lists with a block replaced, appended or cut off, at similarities on both sides of 0.8: (words, edited)."""
     for n in (12, 60, 200, 411):
@@ -133,7 +143,7 @@ def test_every_alike_pair_shares_a_key(spark):
     vocabulary = [f"w{i:04d}" for i in range(3000)]
     pairs = [(" ".join(a), " ".join(b)) for a, b in block_edits(random, vocabulary)]
     some = [t for p in pairs[::3] for t in p]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(some * 2)], "id long, text string").selectExpr("id", "cast(text as binary) text")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(some * 2)], "id long, text string").selectExpr("id", "0L as t", "cast(text as binary) text")
     common_ones, seen = simhash._common_shingles(docs)
     assert len(common_ones) and (np.diff(common_ones.astype(object)) > 0).all() and seen.min() >= simhash.SEEN
     for order in ((common_ones, seen), (common_ones[:0], seen[:0])):
