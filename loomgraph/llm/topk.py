@@ -1,22 +1,23 @@
 """Exact top-k by inner product: a ball tree in every shard, searched by branch and bound.
 
-Vectors are dealt into shards by a hash of their place, and each shard builds a ball tree over its distinct
-vectors.  Queries are cut into blocks; a (shard, block) pair is one group.  For a query the tree's nodes
-are visited in the order of their upper bound q.c + |q| r and left aside once that falls below the current kth
-score.  The kth score is shared between shards: a first round searches each block in one shard only, and
-its kth score is the floor from which the search of all other shards starts.  Partial results hold k rows
-a query and shard and are merged by a grouped top-k.
-
-Equal vectors of a shard are one point of its tree that lists its k + 1 smallest ids, which is all that a
+Vectors are dealt into shards by a hash, and each shard builds one ball tree over its distinct vectors, past which
+the queries stream in batches.  For a query the tree's nodes are visited in the order of their upper bound
+q.c + |q| r and left aside once that falls below the current kth score.  The kth score is shared between shards: a
+query visits one shard, then two more, then four and so on, and takes the kth score of all that it has visited along as
+its floor.  Partial results hold k rows a query and shard and are merged by a grouped top-k after every round.
+
+Equal vectors of a shard are one point of its tree that lists its 2 k smallest ids, which is all that a
 query's own exclusion and ties can need; so a vector that a third of all rows repeat costs one point.
 
 Rules: vectors that are null, empty or hold null or non-finite components take no part, as query or
 candidate; vectors of another dimension than a query's are no candidates of it; null ids take no part; a
-repeated id is a candidate for each of its rows and asks with its least vector; ties go to the smaller id.
+repeated id is a candidate for each of its rows (of equal rows k) and asks with its least vector; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm import common
 from loomgraph.session import ship
 
-#: Vectors of a shard, queries of a block, distinct vectors of a leaf.
-SHARD_ROWS, BLOCK_ROWS, LEAF = 16384, 2048, 64
+#: Vectors of a shard, distinct vectors of a leaf.
+SHARD_ROWS, LEAF = 16384, 64
 
 
 class BallTree:
@@ -100,57 +101,81 @@ def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
     return rows.where(fine).select(rows[id_col].cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x)).alias("v"))
 
 
+def _searched(k: int):
+    """For rows (shard, dim, kind, id, v, floor) that come sorted by shard, dim and kind: points (kind 0) grow a tree, past which the queries (kind 1) stream in batches."""
+    names = ["query_id", "id", "score"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, points, tree, members = None, [], [], None, []
+        for batch in batches:
+            shard, dim, kind = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(dim) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(shard)]):
+                if a == b:
+                    continue
+                if (shard[a], dim[a]) != last:
+                    last, ids, points, tree, members = (shard[a], dim[a]), [], [], None, []
+                own = batch.column(3).slice(a, b - a).to_numpy()
+                v = batch.column(4).slice(a, b - a).flatten().to_numpy().reshape(b - a, dim[a])
+                if not kind[a]:
+                    ids.append(own)
+                    points.append(v)
+                    continue
+                if tree is None and points:
+                    tree, members = _grown(np.concatenate(ids), np.concatenate(points), k)
+                    ids, points = [], []
+                if tree is not None:
+                    floor = np.array([-np.inf if x is None else x for x in batch.column(5).slice(a, b - a).to_pylist()], dtype=np.float64)
+                    found = [(int(own[i]), x, s) for i, x, s in search(tree, members, v, own, floor, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names)
+
+    return run
+
+
+def _grown(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[BallTree, list[np.ndarray]]:
+    """A tree of the distinct points, and in its order the ids of each, ascending."""
+    order = np.argsort(ids, kind="stable")
+    distinct, back = np.unique(points[order], axis=0, return_inverse=True)
+    back = back.ravel()
+    # a query's own id may come first, k times at most
+    members = [g[: 2 * k] for g in np.split(ids[order][np.argsort(back, kind="stable")], np.cumsum(np.bincount(back))[:-1])]
+    tree = BallTree(distinct)
+    return tree, [members[p] for p in tree.order]
+
+
 def top_k(rows: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): each query's k best candidates among all rows but those with its own id.
 
     is_query: a condition on column id.  Components are floor(scale * x), scores exact 64-bit integers as long
-    as they fit.
+    as they fit.  A query visits one shard, then two more, then four and so on; its kth score so far goes with it.
     """
     spark = rows.sparkSession
     ship(spark)
-    own = common.cut(quantised(rows, id_col, vector_col, scale).withColumn("dim", F.size("v")), "quantised")
+    plain = quantised(rows, id_col, vector_col, scale)
+    # a row that repeats in id and vector can be listed k times at most
+    once = plain.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    own = common.cut(once.select("id", "v", F.size("v").alias("dim"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy"), "quantised")
     queries = common.cut(own.where(is_query).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "questions")
-    n, m = own.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
-    shard = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")
-    dealt = own.withColumn("shard", shard)
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int"))
-    first = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-
-    def run(points: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if points.num_rows and queries.num_rows:
-            d = points["dim"][0].as_py()
-            ids = points["id"].to_numpy()
-            v = points["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-            q = queries["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-            order = np.argsort(ids, kind="stable")
-            distinct, back = np.unique(v[order], axis=0, return_inverse=True)
-            members = [g[: k + 1] for g in np.split(ids[order][np.argsort(back, kind="stable")], np.cumsum(np.bincount(back))[:-1])]
-            if len(set(ids.tolist())) < len(ids):  # ids repeat: a query's own id may fill the list
-                members = np.split(ids[order][np.argsort(back, kind="stable")], np.cumsum(np.bincount(back))[:-1])
-            tree = BallTree(distinct)
-            names = queries["id"].to_numpy()
-            floor = np.array([-np.inf if x is None else x for x in queries["floor"].to_pylist()], dtype=np.float64)
-            out = [(int(names[i]), x, s) for i, x, s in search(tree, [members[p] for p in tree.order], q, names, floor, k)]
-        return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.int64())})
-
-    def searched(points: DataFrame, questions: DataFrame) -> DataFrame:
-        keys = ["shard", "block", "dim"]
-        left = points.select("shard", "block", "dim", "id", "v").groupBy(*keys)
-        return left.cogroup(questions.select("shard", "block", "dim", "id", "v", "floor").groupBy(*keys)).applyInArrow(run, "query_id long, id long, score long")
+    shards = max(1, -(-own.count() // SHARD_ROWS))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards)).cast("int")
+    points = own.select(shard("id", "v").alias("shard"), "dim", F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("long").alias("floor"))
+    asked, first = queries.withColumn("floor", F.lit(None).cast("long")), 0
 
     def best(found: DataFrame) -> DataFrame:
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
         return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
-    # first round: every block in one shard
-    near = dealt.join(F.broadcast(spark.range(blocks).select(F.col("id").cast("int").alias("block")).withColumn("shard", first)), "shard") if blocks < shards else dealt.select("*", all_blocks).where(F.col("shard") == first)
-    start = common.cut(searched(near, asked.withColumn("shard", first).withColumn("floor", F.lit(None).cast("long"))), "first-round")
-    floors = best(start).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    rest = asked.join(floors, "id", "left").select("*", others).where(F.col("shard") != first)
-    every = dealt.select("*", all_blocks).where(F.col("shard") != first) if shards > 1 else None
-    found = start if every is None else start.unionByName(searched(every, rest))
-    return best(found).withColumnRenamed("id", id_col)
+    found = None
+    while first < shards:
+        end = min(shards, max(1, 2 * first))
+        at = F.explode(F.sequence(F.lit(first), F.lit(end - 1)))
+        visits = asked.select("*", at.alias("turn")).select(F.pmod(shard("id") + F.col("turn"), F.lit(shards)).cast("int").alias("shard"), "dim", F.lit(1).alias("kind"), "id", "v", "floor")
+        sorted_rows = points.unionByName(visits).repartition(max(n, 1), "shard").sortWithinPartitions("shard", "dim", "kind")
+        more = common.map_rows(sorted_rows, _searched(k), "query_id long, id long, score long")
+        after = common.cut(best(more if found is None else more.unionByName(found.drop("rank"))), "best")
+        if found is not None:
+            common.remove(spark, found)
+        found, first = after, end
+        asked = queries.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor")), "id", "left")
+    return found.withColumnRenamed("id", id_col)

@@ -20,14 +20,13 @@ def brute(rows, k, is_query):
     return out
 
 
-@pytest.mark.parametrize("shard_rows, block_rows", [(16384, 2048), (60, 7), (40, 4)])
-def test_results_are_brute_force_s(spark, monkeypatch, shard_rows, block_rows):
+@pytest.mark.parametrize("shard_rows", [16384, 60, 25])
+def test_results_are_brute_force_s(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", block_rows)
     monkeypatch.setattr(topk, "LEAF", 5)
     random = np.random.default_rng(3)
     rows = [(i, random.normal(size=6).astype(np.float32).tolist()) for i in range(220)]
-    rows += [(300 + i, [0.5] * 6) for i in range(90)] + [(400, None), (402, []), (404, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (406, [float("nan")] * 6), (410, [1.0, 2.0]), (411, [3.0, -2.0]), (None, [1.0] * 6), (430, [float("inf")] * 6)]
+    rows += [(300 + i, [0.5] * 6) for i in range(90)] + [(400, None), (402, []), (404, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (406, [float("nan")] * 6), (410, [1.0, 2.0]), (411, [3.0, -2.0]), (None, [1.0] * 6), (430, [float("inf")] * 6)] + [(310, [0.5] * 6)] * 3
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(3)
     got = {}
     for r in topk.top_k(table, F.col("id") % 10 == 0, 5).orderBy("query_id", "rank").collect():
