@@ -5,7 +5,7 @@ round joins every node's list and reverse list at the node they share: members o
 neighbours, all pairs with a new member are compared there, and what improves a member's own list is
 sent to it.  A list whose every entry reaches the threshold is saturated and is enlarged in the next round.
 Rounds go on until few lists change and an audit, which compares some nodes with all, finds enough of their links.
-Where it doesn't, or meets too few links to tell, all nodes of different components are compared exactly.
+Where it doesn't, fresh hyperplanes start more rounds; where that fails too, or the audit meets too few links to tell, all nodes of different components are compared exactly.
 
 Links at the threshold give components.  A saturated list drops partners, so saturated nodes of different
 components are compared with each other exactly, in blocks, and what links joins components.  Within a component the links are then counted exactly, in blocks of
@@ -19,6 +19,7 @@ each, linked like any others; other columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +32,12 @@ from loomgraph.llm import common
 from loomgraph.llm.components import components
 from loomgraph.session import ship
 
+LOG = logging.getLogger(__name__)
+
 #: Entries of a list at first and after enlarging, tables of hyperplanes and their bucket size, rounds at most.
 LIST, LARGER, TABLES, BUCKET, ROUNDS = 12, 48, 6, 64, 8
+#: How often fresh hyperplanes are drawn while the audit finds too few links.
+AGAIN = 3
 #: Nodes that an audit compares with all at first and at most, the links that it needs, the share of them that must be
 #: found, and the share of changed lists that ends the rounds.
 AUDIT, AUDIT_MOST, AUDIT_LINKS, ENOUGH, FEW_CHANGES = 256, 16384, 256, 0.99, 0.02
@@ -118,15 +123,22 @@ def _trim(pairs: DataFrame, size) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= size)
 
 
-def lists(units: DataFrame, threshold: float, size: int, rounds: int, audit) -> DataFrame:
-    """(node, other, s): neighbour lists refined until they settle and audit(lists), where it can tell, is ENOUGH."""
+def _sized(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with n, how many have their keys; keys that hold a large part of the rows are counted before they are joined."""
+    return common.join_hot(rows, common.cut(rows.groupBy(*keys).agg(F.count("*").alias("n")), "sizes"), keys)
+
+
+def lists(units: DataFrame, threshold: float, size: int, rounds: int, audit, begun: DataFrame | None = None) -> DataFrame:
+    """(node, other, s): neighbour lists refined until they settle and audit(lists), where it can tell, is ENOUGH; begun: lists to start from besides the buckets."""
     bare = units.select("node", "dim", "u")
-    bucketed = units.select("node", "dim", "u", F.posexplode("codes").alias("t", "code"))
-    sized = bucketed.withColumn("n", F.count("*").over(Window.partitionBy("t", "code", "dim")))
+    bucketed = common.cut(units.select("node", "dim", F.posexplode("codes").alias("t", "code")), "buckets")
     # a bucket larger than BUCKET is cut at random; its parts overlap with other tables' buckets
     part = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / BUCKET))
-    start = sized.select(F.xxhash64("t", "code", part).alias("g"), "node", "dim", "u", F.lit(True).alias("new"), F.lit(-1.5).cast("float").alias("floor"))
-    now = common.cut(_trim(_compare(start, size, threshold).distinct(), size).withColumn("new", F.lit(True)).withColumn("size", F.lit(size)).drop("place"), "lists")
+    start = _sized(bucketed, ["t", "code", "dim"]).select(F.xxhash64("t", "code", part).alias("g"), "node", F.lit(True).alias("new"), F.lit(-1.5).cast("float").alias("floor"))
+    first = _compare(start.join(bare, "node"), size, threshold)
+    if begun is not None:
+        first = first.unionByName(begun)
+    now = common.cut(_trim(first.groupBy("node", "other").agg(F.max("s").alias("s")), size).withColumn("new", F.lit(True)).withColumn("size", F.lit(size)).drop("place"), "lists")
     for step in range(rounds):
         state = now.groupBy("node").agg(F.min("s").alias("kth"), F.count("*").alias("n"), F.first("size").alias("size"))
         full = F.col("n") >= F.col("size")
@@ -136,7 +148,7 @@ def lists(units: DataFrame, threshold: float, size: int, rounds: int, audit) ->
         own = now.groupBy("node").agg(F.max("new").alias("new")).select(F.col("node").alias("g"), "node", "new")
         members = both.unionByName(own).groupBy("g", "node").agg(F.max("new").alias("new"))
         # a node that very many lists name would make one large group: its members are cut at random into groups
-        spread = members.withColumn("n", F.count("*").over(Window.partitionBy("g")))
+        spread = _sized(common.cut(members, "members"), ["g"])
         spread = spread.withColumn("g", F.xxhash64("g", F.pmod(F.xxhash64("g", "node", F.lit(step)), F.ceil(F.col("n") / (8 * LARGER))))).drop("n")
         groups = spread.join(bare, "node").join(state.select("node", "floor"), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.5).cast("float")))
         found = _compare(groups, size, threshold).groupBy("node", "other").agg(F.max("s").alias("s"))
@@ -228,7 +240,7 @@ def _between(members: DataFrame, threshold: float) -> DataFrame:
 
 def _counted(members: DataFrame, threshold: float) -> DataFrame:
     """(node, n): the copies of other nodes that a node links with, counted in blocks; members: (g, node, v, copies), one g a component and dimension."""
-    sized = members.withColumn("n", F.count("*").over(Window.partitionBy("g"))).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sized = _sized(members.select("g", "node", "v", "copies"), ["g"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = sized.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     left = own.select("g", "node", "v", "copies", F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     right = own.select(F.col("g").alias("g2"), F.col("node").alias("other"), F.col("v").alias("w"), F.col("copies").alias("more"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i2"), F.col("mine").alias("j2"))
@@ -262,7 +274,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     recall = _audit(nodes, threshold)
     found = lists(units, threshold, LIST, ROUNDS, recall)
     share = recall(found)
+    for again in range(1, AGAIN + 1):
+        if share is None or share >= ENOUGH:
+            break
+        # fresh hyperplanes bring together what the first did not
+        more = common.cut(_codes(nodes, 11 + again, min(60, bits)), "units")
+        found = lists(more, threshold, LIST if again == 1 else LARGER, ROUNDS, recall, found)
+        share = recall(found)
     sure = share is not None and share >= ENOUGH
+    LOG.info("share of audited links found: %s; exact search of all nodes: %s", share, not sure)
     # lists hold single precision: candidates are taken a little below the threshold and decided in double
     vectors = nodes.select("node", "v")
     close = found.where(F.col("s") >= threshold - 1e-3).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
