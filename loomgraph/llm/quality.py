@@ -46,7 +46,7 @@ NO_TEXT = 64.0
 #: The name of the model of all languages together.
 ALL = "*"
 #: Characters of a shard, about, and symbols that a task holds before it counts them.
-SHARD, PENDING = 16 << 20, 4 << 20
+SHARD, PENDING = 32 << 20, 4 << 20
 
 
 def codes(text: str) -> np.ndarray:
@@ -218,14 +218,14 @@ def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(docs: pa.Table, answers: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, bits per symbol, symbols) of a shard's documents, from the probabilities of its n-grams."""
+    """(rows, bits per symbol, symbols) of a shard's documents, from the bits of its n-grams."""
     langs, texts = np.array(docs["lang"].to_pylist(), dtype=object), docs["z"]
     of = np.array(answers["lang"].to_pylist(), dtype=object)
-    gram, p = answers["gram"].to_numpy(), answers["p"].to_numpy()
+    gram, b = answers["gram"].to_numpy(), answers["b"].to_numpy()
     for lang in sorted(set(langs)):
         mine = of == lang
         known, first = np.unique(gram[mine], return_index=True)
-        bits = -np.log2(p[mine][first])
+        bits = b[mine][first].astype(np.float64)
         at, part, size = [], [], 0
         for row in [*np.flatnonzero(langs == lang).tolist(), -1]:
             if row >= 0:
@@ -246,15 +246,16 @@ def entropies(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_co
     spark = docs.sparkSession
     text, lang = F.col(text_col).cast("string"), language(lang_col)
     rows = docs.select(docs[id_col].alias("id"), row_hash(docs, text_col, lang_col).alias("t"), lang.alias("own"), text.alias("text"))
-    known = common.maybe_broadcast(model.langs.select(F.col("lang").alias("own"), F.col("lang").alias("model")), 32)
+    named_langs = common.maybe_broadcast(model.langs.select(F.col("lang").alias("own"), F.col("lang").alias("model")), 32)
     shards = max(1, -(-(docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD))
-    named = rows.join(known, "own", "left").select(F.pmod(F.xxhash64("id", "t"), F.lit(shards)).cast("int").alias("shard"), "id", "t", F.coalesce("model", F.lit(ALL)).alias("lang"), "text")
+    named = rows.join(named_langs, "own", "left").select(F.pmod(F.xxhash64("id", "t"), F.lit(shards)).cast("int").alias("shard"), "id", "t", F.coalesce("model", F.lit(ALL)).alias("lang"), "text")
     key = docs.schema[id_col].dataType.simpleString()
     squeezed = common.map_rows(named, _squeezed, f"shard int, id {key}, t long, lang string, z binary")
     # both readers of the shards find one exchange of the texts
     dealt = squeezed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
     asked = common.map_rows(dealt, _asked, "shard int, lang string, gram long")
-    answers = asked.join(model.probabilities(asked.select("lang", "gram").distinct()), ["lang", "gram"]).select("shard", "lang", "gram", "p")
+    known = model.probabilities(asked.select("lang", "gram").distinct()).select("lang", "gram", (-F.log2("p")).cast("float").alias("b"))
+    answers = asked.join(known, ["lang", "gram"]).select("shard", "lang", "gram", "b")
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         bits, slack = np.zeros(own.num_rows), np.zeros(own.num_rows)
