@@ -7,7 +7,8 @@ them, found by walking down a tournament tree whose nodes hold the largest room
 stays free in a group's sequences, mostly in its last one: a few thousandths.
 
 Groups are drawn from the place of a piece in its partition, not from its key, so copies and hot keys spread
-evenly and a task's repetition gives the same groups.  Only lengths and checksums are shuffled.
+evenly; the table of pieces and draws is written before it is grouped, so a lost task can't deal pieces anew.  Only
+lengths and checksums are shuffled.
 
 Rules: a null or empty text still has the end id (one piece of length 1); repeated rows are packed again each;
 other columns are ignored; an empty table gives no rows.
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe
+from loomgraph.llm import bpe, common
 
 #: Pieces in a group, about.
 GROUP = 2048
@@ -102,7 +103,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
         where, offset = first_fit_decreasing(n, length)
         return rows.drop_columns(["bucket"]).append_column("sequence_id", pa.array((bucket << 32) + where, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    packed = pieces.groupBy("bucket").applyInArrow(pack_group, f"{fields}, sequence_id long, offset long")
+    # the groups are drawn once: a task that runs again after this reads the same table
+    packed = common.cut(pieces, "pieces").groupBy("bucket").applyInArrow(pack_group, f"{fields}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)
 
 
