@@ -34,6 +34,8 @@ from loomgraph.llm import common
 
 CHUNK, LEVEL = 1 << 20, 6
 FIXED_DATE = datetime(2020, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+#: Bytes of a row of digests that may be broadcast.
+ROW = 96
 
 
 def digest(payload: bytes) -> str:
@@ -129,8 +131,15 @@ def revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     """(id, url, payload binary, refers_to): refers_to is the response's id, null for responses."""
     rows = pages.select(pages[id_col].alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), F.coalesce(pages[payload_col].cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("sha", F.sha1("payload"))
-    many = keyed.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    found = keyed.join(many.hint("shuffle_hash"), "sha", "left")
+    counted = keyed.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    many = common.cut(counted, "copies")
+    if (copies := many.count()) * ROW <= common.BROADCAST_BYTES:  # payloads stay where they are
+        found = keyed.join(F.broadcast(many.select("sha", "first")), "sha", "left")
+    else:  # payloads that hold more than their share of the copies, so a bounded number, stay where they are; the others meet by digest
+        total = many.agg(F.sum("n")).first()[0]
+        hot = F.broadcast(many.where(F.col("n") * min(copies, common.BROADCAST_BYTES // ROW) > total).select("sha", "first"))
+        rest = keyed.join(hot.select("sha"), "sha", "left_anti").join(many.select("sha", "first"), "sha", "left")
+        found = keyed.join(hot, "sha").unionByName(rest)
     other = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return found.select("id", "url", "payload", F.when(other, F.col("first")).alias("refers_to"))
 
