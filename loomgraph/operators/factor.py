@@ -17,7 +17,7 @@ def check_rows(nodes: DataFrame, x: DataFrame) -> None:
 def normalised(z: DataFrame) -> DataFrame:
     """z with columns of norm 1; a zero column stays."""
     norm = z.groupBy("v").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nw"))
-    return z.join(F.broadcast(norm), "v").select("node", "v", F.when(F.col("nw") != 0, F.col("w") / F.col("nw")).otherwise(0.0).alias("w"))
+    return z.join(norm, "v").select("node", "v", F.when(F.col("nw") != 0, F.col("w") / F.col("nw")).otherwise(0.0).alias("w"))
 
 
 def s_matrix(x: DataFrame, z: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def block_means(x: DataFrame, part: DataFrame) -> DataFrame:
     sizes = part.groupBy("block").agg(F.count("*").alias("n"))
     to = part.select(F.col("node").alias("dst"), F.col("block").alias("v"))
     sums = x.join(to, "dst").groupBy(F.col("src").alias("node"), "v").agg(F.sum("weight").alias("u"))
-    return sums.join(F.broadcast(sizes.withColumnRenamed("block", "v")), "v").select("node", "v", (F.col("u") / F.col("n")).alias("u"))
+    return sums.join(sizes.withColumnRenamed("block", "v"), "v").select("node", "v", (F.col("u") / F.col("n")).alias("u"))
 
 
 def assign(x: DataFrame, columns: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def assign(x: DataFrame, columns: DataFrame) -> DataFrame:
     own = x.groupBy("src").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("nx"))
     u = columns.select(F.col("node").alias("dst"), "v", "u")
     inner = x.join(u, "dst").groupBy("src", "v").agg(F.sum(F.col("weight") * F.col("u")).alias("ip"))
-    scored = inner.join(F.broadcast(norms), "v").join(own, "src").withColumn("cos", F.round(F.col("ip") / F.sqrt("q") / F.col("nx"), 9))
+    scored = inner.join(norms, "v").join(own, "src").withColumn("cos", F.round(F.col("ip") / F.sqrt("q") / F.col("nx"), 9))
     top = scored.groupBy("src").agg(F.max(F.struct("cos", (-F.col("v")).alias("m"), (F.col("ip") / F.col("q")).alias("w"))).alias("t"))
     return top.select(F.col("src").alias("node"), (-F.col("t.m")).alias("v"), F.col("t.w").alias("w"))
 
@@ -58,13 +58,13 @@ def jacobi_sweep(x: DataFrame, z: DataFrame, s: DataFrame, nodes: int, blocks: i
 
     For node i and block k the error changes by S_kk^2 w^4 + b_k w^2 + c_k w, which a cubic's roots minimise.
     """
-    val = F.broadcast(s)
+    val = s
     diagonal = val.where("k = l").select("k", F.col("val").alias("skk"))
     zs = z.join(val, z.v == val.k).select("node", F.col("l").alias("k"), (F.col("w") * F.col("val")).alias("zs"))
     reach = zs.groupBy("k").agg(F.sum(F.col("zs") * F.col("zs")).alias("wp2"))
     pull = x.where("src <> dst").join(zs.select(F.col("node").alias("dst"), "k", "zs"), "dst").groupBy(F.col("src").alias("node"), "k").agg((-4 * F.sum(F.col("weight") * F.col("zs"))).alias("c"))
     own = x.where("src = dst").select(F.col("src").alias("node"), F.col("weight").alias("xii"))
-    table = pull.join(zs, ["node", "k"], "left").join(own, "node", "left").join(F.broadcast(reach), "k").join(F.broadcast(diagonal), "k").na.fill(0.0, ["zs", "xii"])
+    table = pull.join(zs, ["node", "k"], "left").join(own, "node", "left").join(reach, "k").join(diagonal, "k").na.fill(0.0, ["zs", "xii"])
     b = 2 * (F.col("wp2") - F.col("zs") * F.col("zs")) - 2 * F.col("xii") * F.col("skk")
     a = F.col("skk") * F.col("skk")
     best = least_quartic(F.when(a > 1e-12, a).otherwise(1e-12), b, F.col("c"))

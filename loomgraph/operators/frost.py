@@ -37,7 +37,7 @@ def positive_minimum(a: float, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray
     root = np.sqrt(np.maximum(half, 0))
     one = np.cbrt(-q / 2 + root) + np.cbrt(-q / 2 - root)
     r = np.sqrt(np.maximum(-p / 3, 0))
-    angle = np.arccos(np.clip(np.where(r > 0, -q / (2 * np.maximum(r, 1e-300) ** 3), 0), -1, 1)) / 3
+    angle = np.arccos(np.clip(np.where(r > 0, -q / (2 * np.maximum(r, 1e-100) ** 3), 0), -1, 1)) / 3
     three = [2 * r * np.cos(angle - 2 * math.pi * k / 3) for k in range(3)]
     x = np.stack([np.where(half > 0, one, t) for t in three])
     value = np.where(x > 0, a * x**4 + b * x**2 + c * x, 0.0)

@@ -104,3 +104,86 @@ def degree_corrected(spark: SparkSession, n: int, p: np.ndarray, degree: float,
 #: Chances between blocks of the two benchmark series of planted partitions.
 P_OUT_SHORT = [k / 16 for k in range(17)]
 P_OUT_LONG = [k / 32 for k in range(33)]
+
+
+def _power_law_integers(random, size: int, low: float, high: int, exponent: float) -> np.ndarray:
+    u = random.random(size)
+    k = 1 - exponent
+    return np.minimum(np.floor((low**k + u * ((high + 1) ** k - low**k)) ** (1 / k)).astype(np.int64), high)
+
+
+def _least_degree(mean: float, high: int, exponent: float) -> float:
+    """The lower end of a power law on [low, high] with the mean."""
+    a, b = 1.0, float(high)
+    for _ in range(60):
+        low = (a + b) / 2
+        x = np.linspace(low, high + 1, 4001)
+        p = x**-exponent
+        a, b = (low, b) if (np.floor(x) * p).sum() / p.sum() < mean else (a, low)
+    return a
+
+
+def benchmark_arrays(n: int, mixing: float, degree: float, most: int, smallest: int, largest: int, random, t1: float = 2.0, t2: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, labels) of one graph with power-law degrees (exponent t1) and block sizes (t2), a share mixing of each node's edges leading out of its block.
+
+    Ends are paired at random within blocks and between them; pairs that repeat or join a node or block to itself are
+    exchanged with other pairs, and dropped if that keeps failing.
+    """
+    k = _power_law_integers(random, n, _least_degree(degree, most, t1), most, t1)
+    inner = np.minimum(np.round((1 - mixing) * k).astype(np.int64), largest - 1)
+    sizes: list[int] = []
+    while sum(sizes) < n:
+        sizes.append(int(_power_law_integers(random, 1, smallest, largest, t2 + 1e-9)[0]))
+    over = sum(sizes) - n
+    while over:  # the blocks share what is too much
+        i = int(random.integers(len(sizes)))
+        if sizes[i] > smallest:
+            sizes[i] -= 1
+            over -= 1
+        elif all(x <= smallest for x in sizes):
+            over = 0
+    room, labels = np.array(sizes), np.full(n, -1)
+    size = room.copy()
+    for v in np.argsort(-inner, kind="stable"):  # those with many inner edges first, while large blocks have room
+        fit = np.flatnonzero((room > 0) & (size > inner[v]))
+        c = int(random.choice(fit)) if len(fit) else int(np.argmax(room))
+        labels[v] = c
+        room[c] -= 1
+    inner = np.minimum(inner, size[labels] - 1)
+
+    def paired(ends: np.ndarray, wrong, tries: int = 60) -> np.ndarray:
+        ends = random.permutation(ends)[: len(ends) // 2 * 2].reshape(-1, 2)
+        for _ in range(tries):
+            low, high = ends.min(1), ends.max(1)
+            repeated = np.ones(len(ends), dtype=bool)
+            repeated[np.unique(low * n + high, return_index=True)[1]] = False
+            bad = np.flatnonzero(repeated | wrong(low, high))
+            if not len(bad):
+                break
+            other = random.integers(0, len(ends), len(bad))
+            for i, j in zip(bad, other):
+                ends[i, 1], ends[j, 1] = ends[j, 1], ends[i, 1]
+        low, high = ends.min(1), ends.max(1)
+        keep = np.zeros(len(ends), dtype=bool)
+        keep[np.unique(low * n + high, return_index=True)[1]] = True
+        return np.stack([low, high], 1)[keep & ~wrong(low, high)]
+
+    parts = [paired(np.repeat(np.flatnonzero(labels == c), inner[labels == c]), lambda a, b: a == b) for c in range(len(size))]
+    parts.append(paired(np.repeat(np.arange(n), k - inner), lambda a, b: labels[a] == labels[b]))
+    src, dst = np.concatenate([x for x in parts if len(x)]).T
+    return src, dst, labels
+
+
+def benchmark(spark: SparkSession, graphs: int, n: int, mixing: float, degree: float = 20.0, most: int = 50, smallest: int = 10, largest: int = 50, seed: int = 0) -> DataFrame:
+    """(graph_id, src, dst, weight, block): edges of graphs of benchmark_arrays(), and a row with dst null for every node with its block; a task a graph."""
+    ship(spark)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = int(pdf["g"].iloc[0])
+        src, dst, labels = benchmark_arrays(n, mixing, degree, most, smallest, largest, np.random.default_rng([seed, g]))
+        edges = pd.DataFrame({"graph_id": str(g), "src": src, "dst": dst.astype(float), "weight": 1.0, "block": None})
+        nodes = pd.DataFrame({"graph_id": str(g), "src": np.arange(n), "dst": None, "weight": 0.0, "block": labels})
+        return pd.concat([edges, nodes]).astype({"dst": "Int64", "block": "Int32"})
+
+    ids = spark.range(graphs).withColumnRenamed("id", "g")
+    return ids.groupBy("g").applyInPandas(run, "graph_id string, src long, dst long, weight double, block int")

@@ -8,8 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.special import xlogx
+from loomgraph.functions.special import lgamma, xlogx
 from loomgraph.operators.graph import Graph
+from loomgraph.session import frozen, sized
+
+#: Deviations from its mean within which a count of the hypergeometric distribution is summed.
+SPREAD = 15.0
 
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -57,6 +61,33 @@ def modularity(graph: Graph, part: DataFrame) -> DataFrame:
     return modularity_by_block(graph, part).agg(F.sum("q").alias("q"))
 
 
+def expected_information_table(t: DataFrame) -> DataFrame:
+    """(e): mean mutual information over all tables with the margins of contingency() t (hypergeometric).
+
+    Blocks of equal size share their terms, so pairs of distinct sizes are joined.  A pair's counts k are taken within
+    SPREAD deviations of their mean, beyond which less than e^-100 of them lies: their number grows with the root of the sizes.
+    """
+    margins = {c: t.groupBy(c).agg(F.sum("n").cast("double").alias("s")).groupBy("s").agg(F.count("*").alias(f"m{c}")).withColumnRenamed("s", f"s{c}") for c in ("x", "y")}
+    a, b, n, k = F.col("sx"), F.col("sy"), F.col("N"), F.col("k")
+    pairs = margins["x"].crossJoin(sized(margins["y"], 32)).crossJoin(F.broadcast(t.agg(F.sum("n").cast("double").alias("N"))))
+    mean = a * b / n
+    wide = SPREAD * F.sqrt(mean * (1 - a / n) * (1 - b / n)) + SPREAD**2
+    low, high = F.greatest(F.lit(1.0), a + b - n, F.floor(mean - wide)), F.least(a, b, F.ceil(mean + wide))
+    terms = pairs.select("*", F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("k"))
+    chance = lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1)
+    return terms.agg(F.coalesce(F.sum(F.col("mx") * F.col("my") * k / n * F.log(n * k / (a * b)) * F.exp(chance)), F.lit(0.0)).alias("e"))
+
+
+def ami(a: DataFrame, b: DataFrame, average: str = "arithmetic") -> DataFrame:
+    """(ami): mutual information adjusted for chance of two labellings (node, block), as tables; 1 for two labellings of one block."""
+    t = frozen(contingency(a, b), "contingency")
+    of = {"arithmetic": (F.col("hx") + F.col("hy")) / 2, "max": F.greatest("hx", "hy")}[average]
+    both = information(t).crossJoin(expected_information_table(t))
+    gap = of - F.col("e")
+    least = F.when(F.abs(gap) > 1e-15, gap).when(gap < 0, -1e-15).otherwise(1e-15)
+    return both.select(F.when((F.col("hx") == 0) & (F.col("hy") == 0), 1.0).otherwise((F.col("i") - F.col("e")) / least).alias("ami"))
+
+
 # kernels on small tables of counts: rows and columns are blocks, of which a table has a bounded number here
 
 

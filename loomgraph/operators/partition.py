@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import Graph
+from loomgraph.operators.graph import Graph, reindexed
 
 
 def _with_blocks(adj: DataFrame, part: DataFrame) -> DataFrame:
@@ -62,7 +62,8 @@ def degree_distribution(graph: Graph, part: DataFrame, probability: bool = False
     seen = graph.degrees().join(part, "node").groupBy("block", "degree").agg(F.count("*").alias("n"))
     if not probability:
         return seen
-    return seen.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("block"))).drop("n")
+    sizes = block_sizes(part).select("block", F.col("n").alias("size"))
+    return seen.join(sizes, "block").select("block", "degree", (F.col("n") / F.col("size")).alias("p"))
 
 
 def joint_degree_distribution(graph: Graph, part: DataFrame) -> DataFrame:
@@ -86,13 +87,13 @@ def quotient(graph: Graph, part: DataFrame) -> Graph:
 def merge(part: DataFrame, merges: DataFrame) -> DataFrame:
     """part after merges(block, into) of blocks."""
     to = merges.select("block", "into")
-    return part.join(F.broadcast(to), "block", "left").select("node", F.coalesce("into", "block").alias("block"))
+    return part.join(to, "block", "left").select("node", F.coalesce("into", "block").alias("block"))
 
 
 def relabelled(part: DataFrame) -> DataFrame:
     """part with blocks numbered from 0 without gaps, in their order."""
-    number = block_sizes(part).select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("new"))
-    return part.join(F.broadcast(number), "block").select("node", F.col("new").alias("block"))
+    number = reindexed(part.select("block"), "block")
+    return part.join(number, "block").select("node", F.col("idx").cast("int").alias("block"))
 
 
 def zoom(part: DataFrame, above: DataFrame) -> DataFrame:

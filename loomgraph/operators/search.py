@@ -23,7 +23,7 @@ METHODS = {
     **{f"mha_{k}k": (lambda s, r, end, k=k: K.metropolis_hastings(s, r, 1000 * k, end=end)) for k in (1, 10, 50, 100, 250, 500)},
     **{f"mhac_{k}k": (lambda s, r, end, k=k: K.metropolis_hastings(s, r, 1000 * k, beta=K.annealing(s, r, 1000 * k, "cauchy"), end=end)) for k in (1, 50, 250)},
     **{f"mhab_{k}k": (lambda s, r, end, k=k: K.metropolis_hastings(s, r, 1000 * k, beta=K.annealing(s, r, 1000 * k, "boltzmann"), end=end)) for k in (1, 50, 250)},
-    "kl_g": lambda s, r, end: K.karrer(s, r, end=end),
+    "kl_g": lambda s, r, end: K.karrer(s, r, negative=True, end=end),
     "kl_g_nn": lambda s, r, end: K.karrer(s, r, negative=False, end=end),
     "kl_em": lambda s, r, end: K.em(s, r, end=end),
     "kl": lambda s, r, end: K.kernighan_lin(s, r, end=end),
@@ -75,20 +75,28 @@ def search_one(n: int, src, dst, weight, directed: bool, method: str, objective:
     return labels, np.ones(n), s.value(), tally
 
 
-def search(edges: DataFrame, grid: DataFrame, directed: bool, seed: int = 0, start: str = "random", seconds: float | None = None) -> DataFrame:
+def search(edges: DataFrame, grid: DataFrame, directed: bool, seed: int = 0, start: str = "random", seconds: float | None = None, given: DataFrame | None = None) -> DataFrame:
     """RUNS rows, a row per node, of every graph and every row of grid(method, objective, blocks, trial).
 
-    edges: (graph_id, src, dst, weight), dst null for isolated nodes.  An error of a search is its status.
+    edges: (graph_id, src, dst, weight), dst null for isolated nodes.  given: partitions (graph_id, node, block) to start from, blocks
+    from 0; nodes without a row are in block 0.  An error of a search is its status.
     """
     ship(edges.sparkSession)
+    edges = edges.select("graph_id", "src", "dst", "weight", F.lit(None).cast("int").alias("block0"))
+    if given is not None:
+        edges = edges.unionByName(given.select("graph_id", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), F.col("block").cast("int").alias("block0")))
     keys = ["graph_id", "method", "objective", "blocks", "trial"]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         graph, method, objective, blocks, trial = key
         ids, src, dst, weight = _dense(pdf)
-        began = time.perf_counter()
+        began, truth = time.perf_counter(), None
+        known = pdf[pdf["block0"].notna()]
+        if len(known):
+            truth = np.zeros(len(ids), dtype=np.int64)
+            truth[np.searchsorted(ids, known["src"].to_numpy(np.int64))] = known["block0"].to_numpy(np.int64)
         try:
-            b, w, value, tally = search_one(len(ids), src, dst, weight, directed, method, objective, int(blocks), seed + 5 * int(trial) * (int(trial) + 1), start, None, seconds)
+            b, w, value, tally = search_one(len(ids), src, dst, weight, directed, method, objective, int(blocks), seed + 5 * int(trial) * (int(trial) + 1), start, truth, seconds)
         except Exception as e:  # the other cells of the grid go on
             b, w, value, tally = np.zeros(len(ids), dtype=int), np.zeros(len(ids)), -np.inf, K.Tally(status=f"error: {e}")
         n = len(ids)
@@ -100,6 +108,22 @@ def search(edges: DataFrame, grid: DataFrame, directed: bool, seed: int = 0, sta
     return edges.join(F.broadcast(grid), F.lit(True)).groupBy(*keys).applyInPandas(run, RUNS)
 
 
+def hierarchies(edges: DataFrame, directed: bool, kind: str = "dcpu", seed: int = 0, steps: int = 100) -> DataFrame:
+    """(graph_id, level, node, block, value): nested partitions of every graph, levels from 0, each with the nodes' blocks; one task a graph."""
+    ship(edges.sparkSession)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, src, dst, weight = _dense(pdf)
+        levels, _ = K.hierarchical(len(ids), src, dst, weight, directed, np.random.default_rng(seed), kind, steps=steps)
+        value, labels, out = K.hierarchy_value(levels, len(ids), src, dst, weight, directed, kind), np.arange(len(ids)), []
+        for at, level in enumerate(levels):
+            labels = np.asarray(level)[labels]
+            out.append(pd.DataFrame({"graph_id": key[0], "level": np.int32(at), "node": ids, "block": labels.astype(np.int32), "value": value}))
+        return pd.concat(out)
+
+    return edges.select("graph_id", "src", "dst", "weight").groupBy("graph_id").applyInPandas(run, "graph_id string, level int, node long, block int, value double")
+
+
 def grid_of(spark, methods: list[str], objectives: list[str], blocks: list[int], trials: int) -> DataFrame:
     """All combinations."""
     return spark.createDataFrame([(m, o, b, t) for m in methods for o in objectives for b in blocks for t in range(trials)], "method string, objective string, blocks int, trial int")

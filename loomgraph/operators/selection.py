@@ -49,14 +49,15 @@ def mdl_first(b: Blocks) -> DataFrame:
 
 def mdl(b: Blocks, corrected: bool = False) -> DataFrame:
     B, E, N, n = columns("B", "E", "N", "n")
+    graph = b.count_edges() if corrected else b.graph
     parts = [b.of_totals(log_binom(B + N - 1, N) + log_binom(_free(b) + E - 1, E)), b.of_blocks(-lgamma(n + 1))]
     if corrected:
         if b.graph.directed:
-            both = b.graph.in_out_degrees().join(b.part, "node")
+            both = graph.in_out_degrees().join(b.part, "node")
             tables = [both.groupBy("block", c).agg(F.count("*").alias("m")) for c in ("din", "dout")]
         else:
-            tables = [P.degree_distribution(b.graph, b.part).withColumnRenamed("n", "m")]
-        sizes = F.broadcast(b.stats.select("block", "n"))
+            tables = [P.degree_distribution(graph, b.part).withColumnRenamed("n", "m")]
+        sizes = b.stats.select("block", "n")
         parts += [t.join(sizes, "block").agg(F.sum(-F.col("m") * F.log(F.col("m") / n)).alias("v")) for t in tables]
     return total(parts)
 

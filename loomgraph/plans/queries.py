@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import factor, metrics, objectives, search, selection
 from loomgraph.operators import partition as P
+from loomgraph.session import frozen
 from loomgraph.sources import adapters
 
 QUERIES: dict = {}
@@ -209,7 +210,7 @@ def _register_selection() -> None:
     def chosen(spark, sf_dir):
         """The best number of blocks among the regions merged step by step, by skn less bic."""
         graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
-        rows = None
+        graph, rows = graph.counted(), None
         for k in range(1, 6):
             own = objectives.Blocks(graph, part.select("node", F.least("block", F.lit(k - 1)).alias("block")))
             one = objectives.skn(own).withColumnRenamed("objective", "o").withColumn("blocks", F.lit(k)).join(F.broadcast(selection.bic(own).withColumnRenamed("objective", "penalty")), F.lit(True))
@@ -235,6 +236,12 @@ i AS (SELECT (SELECT sum(n) FROM t) AS n, (SELECT ln(sum(m)) - sum(m * ln(m)) /
     _add("mutual_information_customers", lambda s, d: metrics.information(metrics.contingency(*labels(s, d))).select(*(F.round(c, 8).alias(c) for c in ("hx", "hy", "i"))), both + "SELECT round(hx, 8) AS hx, round(hy, 8) AS hy, round(hx + hy - hxy, 8) AS i FROM i")
     for kind, of in (("sqrt", "sqrt(hx * hy)"), ("arithmetic", "((hx + hy) / 2)"), ("max", "greatest(hx, hy)")):
         _add(f"nmi_{kind}_customers", lambda s, d, kind=kind: metrics.nmi(*labels(s, d), kind).select(F.round("nmi", 8).alias("nmi")), both + f"SELECT round((hx + hy - hxy) / {of}, 8) AS nmi FROM i")
+    expected = """, m AS (SELECT x, sum(n) AS a FROM t GROUP BY x), o AS (SELECT y, sum(n) AS b FROM t GROUP BY y),
+k AS (SELECT a, b, i.n, unnest(range(greatest(1, a + b - i.n)::BIGINT, least(a, b)::BIGINT + 1))::DOUBLE AS k FROM m, o, i),
+em AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS e FROM k)
+"""
+    for kind, of in (("arithmetic", "(hx + hy) / 2"), ("max", "greatest(hx, hy)")):
+        _add(f"ami_{kind}_customers", lambda s, d, kind=kind: metrics.ami(*labels(s, d), kind).select(F.round("ami", 6).alias("ami")), both + expected + f"SELECT round((hx + hy - hxy - e) / ({of} - e), 6) + 0.0 AS ami FROM i, em")
     runs = "SELECT l_returnflag AS algo, l_quantity AS q, l_discount AS d FROM lineitem"
 
     def table(s, d):
@@ -323,22 +330,22 @@ def _register_factor() -> None:
     def weights(part):
         """A factor from the partition: every node has weight 1 / sqrt of its block's size."""
         sizes = P.block_sizes(part)
-        return part.join(F.broadcast(sizes), "block").select("node", F.col("block").alias("v"), (1 / F.sqrt("n")).alias("w"))
+        return part.join(sizes, "block").select("node", F.col("block").alias("v"), (1 / F.sqrt("n")).alias("w"))
 
     for graph in ("nation_und", "supply_und"):
         def s_matrix(spark, sf_dir, graph=graph):
             own, part = adapters.GRAPHS[graph](spark, sf_dir)
-            return factor.s_matrix(own.adj_matrix(), weights(part)).withColumn("val", F.round("val", 4))
+            return factor.s_matrix(own.counted().adj_matrix(), weights(part)).withColumn("val", F.round("val", 4))
 
         def error(spark, sf_dir, graph=graph):
             own, part = adapters.GRAPHS[graph](spark, sf_dir)
-            x = own.adj_matrix()
+            x = frozen(own.counted().adj_matrix(), "matrix")
             return factor.relative_error(x, factor.s_matrix(x, weights(part))).select(F.round("error", 8).alias("error"))
 
         def assigned(spark, sf_dir, graph=graph):
             own, part = adapters.GRAPHS[graph](spark, sf_dir)
-            x = own.adj_matrix()
-            columns = factor.block_means(x, part)
+            x = frozen(own.counted().adj_matrix(), "matrix")
+            columns = frozen(factor.block_means(x, part), "means")
             return factor.assign(x, columns).select("node", "v", F.round("w", 6).alias("w"))
 
         mat = views(graph) + """,
@@ -373,5 +380,22 @@ def _register_searches() -> None:
 
 
 
-for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches):
+def _register_more_searches() -> None:
+    def hierarchy(spark, sf_dir):
+        graph, _ = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        edges = graph.edges.select(F.lit("nation").alias("graph_id"), "src", "dst", "weight")
+        return search.hierarchies(edges, False, seed=1).select("level", "node", "block", F.round("value", 4).alias("value"))
+
+    _add("search_hierarchical_nation_und", hierarchy, None)
+
+    def from_regions(spark, sf_dir):
+        graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        edges = graph.edges.select(F.lit("nation").alias("graph_id"), "src", "dst", "weight")
+        runs = search.search(edges, search.grid_of(spark, ["kl_g_nn"], ["dckn"], [5], 1), False, seed=1, given=part.withColumn("graph_id", F.lit("nation")))
+        return runs.select("method", "node", "block", F.round("value", 4).alias("value"), "status")
+
+    _add("search_from_regions_nation_und", from_regions, None)
+
+
+for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches):
     _register()
