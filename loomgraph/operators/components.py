@@ -1,25 +1,39 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components of a link table by alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import discard, frozen
 
-def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(node, root): the smallest node that each node of an edge reaches.  Checkpoints go to the session's shared folder every round."""
-    from loomgraph.session import shared_root
-
-    shared_root(edges.sparkSession)
-    now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
-    mark = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    before, after = None, mark(now)
-    while before != after:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        before, after = after, mark(now)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
+def components(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node, root) of every node that a link names; root is the smallest node that links reach.
+
+    Links with a null end are ignored, repeated links and loops do no harm; a node of loops only has no row.
+    Each round is two grouped minima joined back to the links, so that a node with very many links is
+    summed before it is shuffled; rounds grow with the logarithm of the longest path.  The table is written to the
+    shared folder after every round.
+    """
+    x, y = F.col(a), F.col(b)
+    edges = frozen(links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "links")
+    state = _state(edges)
+    while state[0]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = frozen(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        before, last = state, edges
+        edges, state = after, _state(after)
+        discard(last)
+        if state == before:
+            break
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -51,6 +51,14 @@ def frozen(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what frozen() wrote."""
+    spark = df.sparkSession
+    for path in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted size is small; else df, for Spark to shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
