@@ -29,6 +29,8 @@ from loomgraph.llm import common
 
 #: Encoded pieces kept by a worker: two generations of so many.
 KEPT = 500_000
+#: Characters of the longest piece that is kept from one batch to the next, which bounds the store in bytes too.
+LONGEST = 64
 #: Control characters that Python's split() takes for white space and the tokenizer's pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Letters whose normal form and lower case are alike in every Unicode version; other texts go through the library's normaliser.
@@ -94,6 +96,7 @@ class TrieBpe:
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.young: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.old: dict[str, bytes] = {}
         self.decoded = [self.printed.get(i, "").encode() for i in range(max(self.printed) + 1)]
 
@@ -243,6 +246,7 @@ class TrieBpe:
             found[byte_letters_of[letters]] = packed
         for p, ws in mixed.items():
             found[p] = b"".join([found[w] for w in ws])
+        self.long += [w for w in (*needed, *whole, *mixed) if len(w) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -254,7 +258,11 @@ class TrieBpe:
             self.old, self.young = self.young, {}
         self._learn(needed)
         get = self.young.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, s)) for s in split]
+        for p in self.long:
+            self.young.pop(p, None)
+        self.long.clear()
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids in UTF-8: the vocabulary's own strings, special ones too, joined by single spaces."""

@@ -58,7 +58,7 @@ def table(spark: SparkSession, shards: Sequence[str], size: int = 65537) -> Data
 
 
 def place(rows: DataFrame, key: str, shards: Sequence[str], size: int = 65537) -> DataFrame:
-    """rows with slot and shard: one hash and one look-up in the broadcast table for each row, no shuffle."""
+    """rows with slot and shard: one hash and one look-up in the broadcast table for each row, no shuffle.  Columns of rows that have these names are replaced, the key too if it has one of them."""
     lookup = F.broadcast(table(rows.sparkSession, shards, size))
     slot = F.pmod(F.xxhash64(rows[key]), F.lit(size).cast("long")).cast("int")
     return rows.withColumn("slot", slot).drop("shard").join(lookup, "slot", "left")

@@ -149,18 +149,26 @@ def _crowded(radius: int, forest=_forest):
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[tuple[np.ndarray, ...]] = []  # parts of the last key's rows and of whole keys before it
+
+        def flush() -> pa.RecordBatch:
+            rows = tuple(np.concatenate(x) for x in zip(*held))
+            held.clear()
+            return linked(*rows)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-            whole = int(np.searchsorted(held[0], held[0][-1]))
+            if held and held[-1][0][-1] != new[0][0]:
+                yield flush()
+            whole = int(np.searchsorted(new[0], new[0][-1]))
             if whole:
-                yield linked(*(x[:whole] for x in held))
-                held = tuple(x[whole:] for x in held)
-        if held is not None:
-            yield linked(*held)
+                held.append(tuple(x[:whole] for x in new))
+                yield flush()
+            held.append(tuple(x[whole:] for x in new))
+        if held:
+            yield flush()
 
     return run
 

@@ -21,6 +21,8 @@ from loomgraph.llm import common
 
 #: Bytes that a call of the library gets, and the counts that a worker keeps (two generations of so many).
 CALL_BYTES, KEPT = 256 << 10, 400_000
+#: Characters of the longest piece that is kept from one batch to the next, which bounds the store in bytes too.
+LONGEST = 64
 #: White space next to white space: there a text is cut by pattern instead of at every space.
 DOUBLE, BOUNDARY = re.compile(r"\s\s"), re.compile(r" (?=\S)")
 
@@ -43,7 +45,7 @@ class Counter:
         out: list[int] = []
         start = size = 0
         for i, p in enumerate(pieces):
-            size += len(p) + 8
+            size += (len(p) if p.isascii() else len(p.encode())) + 8
             if size >= CALL_BYTES or i + 1 == len(pieces):
                 out += map(len, self.library.encode_batch_fast(pieces[start : i + 1], add_special_tokens=False))
                 start, size = i + 1, 0
@@ -69,7 +71,11 @@ class Counter:
         found.update(zip(new, self._lengths([" " + p for p in new])))
         found[""] = 0
         get = found.__getitem__
-        return [n + sum(map(get, s)) for n, s in zip(self._lengths(firsts), split)]
+        out = [n + sum(map(get, s)) for n, s in zip(self._lengths(firsts), split)]
+        for p in new:
+            if len(p) > LONGEST:
+                del found[p]
+        return out
 
 
 @lru_cache(4)

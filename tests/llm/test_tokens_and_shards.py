@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from loomgraph.llm import bpe, packing, sharding, token_counts
@@ -140,3 +141,11 @@ def test_placement(spark):
     assert len(got) == 5 and all(len(v) == 1 for v in by.values())
     with pytest.raises(ValueError):
         sharding.fill_table(["a"], 12)
+
+
+def test_slots_are_a_public_hash_of_the_key(spark):
+    owners = sharding.fill_table([f"s{i}" for i in range(7)])
+    for r in sharding.place(spark.range(-50, 400).withColumnRenamed("id", "k"), "k", [f"s{i}" for i in range(7)]).collect():
+        digest = xxhash.xxh64_intdigest(int(r.k).to_bytes(8, "little", signed=True), 42)
+        slot = (digest - (1 << 64) if digest >> 63 else digest) % 65537
+        assert r.slot == slot and r.shard in (f"s{owners[slot]}", int(owners[slot]))
