@@ -406,41 +406,40 @@ def _changes(b: Blocks, terms: Terms, movers: DataFrame, context: DataFrame, tar
     inner = moves.join(ends("r", "r2", "err").where("r = r2").drop("r2"), "r", "left").join(ends("t", "t2", "ett").where("t = t2").drop("t2"), "t", "left")
     inner = inner.join(ends("r", "t", "ert"), ["r", "t"], "left").join(ends("t", "r", "etr"), ["r", "t"], "left").join(own, ["mover", "r"], "left").join(there, ["mover", "t"], "left")
     inner = inner.na.fill(0.0, ["nt", "ot_", "it_", "err", "ett", "ert", "etr", "wor", "wir", "wot", "wit"]).crossJoin(F.broadcast(b.totals))
+    inner = frozen(inner, "moves")  # read by every kind of term
     c, nr, nt, o_r, i_r, o_t, i_t = columns("c", "nr", "nt", "or_", "ir_", "ot_", "it_")
     do, di, loops = columns("do", "di", "l")
     err, ett, ert, etr, wor, wir, wot, wit = columns("err", "ett", "ert", "etr", "wor", "wir", "wot", "wit")
     nr1, nt1, or1, ir1, ot1, it1 = nr - c, nt + c, o_r - do, i_r - di, o_t + do, i_t + di
-    change = zero
     pair, mine = terms.pair, terms.own
+    keys, results = ("mover", "r", "t"), []
     if pair is not None and directed:
-        change += pair(err - wor - wir - loops, nr1, nr1, or1, ir1) - pair(err, nr, nr, o_r, i_r)
-        change += pair(ett + wot + wit + loops, nt1, nt1, ot1, it1) - pair(ett, nt, nt, o_t, i_t)
-        change += pair(ert - wot + wir, nr1, nt1, or1, it1) - pair(ert, nr, nt, o_r, i_t)
-        change += pair(etr - wit + wor, nt1, nr1, ot1, ir1) - pair(etr, nt, nr, o_t, i_r)
+        entries = [
+            (1.0, err - wor - wir - loops, nr1, nr1, or1, ir1), (-1.0, err, nr, nr, o_r, i_r), (1.0, ett + wot + wit + loops, nt1, nt1, ot1, it1), (-1.0, ett, nt, nt, o_t, i_t),
+            (1.0, ert - wot + wir, nr1, nt1, or1, it1), (-1.0, ert, nr, nt, o_r, i_t), (1.0, etr - wit + wor, nt1, nr1, ot1, ir1), (-1.0, etr, nt, nr, o_t, i_r),
+        ]
     elif pair is not None:
-        change += mine(err - 2 * wor - loops, nr1, or1) - mine(err, nr, o_r)
-        change += mine(ett + 2 * wot + loops, nt1, ot1) - mine(ett, nt, o_t)
-        change += pair(ert + wor - wot, nr1, nt1, or1, ot1) - pair(ert, nr, nt, o_r, o_t)
+        entries = [(1.0, ert + wor - wot, nr1, nt1, or1, ot1), (-1.0, ert, nr, nt, o_r, o_t)]
+        results.append(_evaluated(inner, keys, [(1.0, err - 2 * wor - loops, nr1, or1), (-1.0, err, nr, o_r), (1.0, ett + 2 * wot + loops, nt1, ot1), (-1.0, ett, nt, o_t)], mine))
     if terms.dense:  # all other blocks as if without edges, by size; r and t are not among them
-        still = lambda x, y: pair(zero, x, y, zero, zero)
         twice = 2.0 if directed else 1.0
-        change -= twice * (still(nr1, nr) - still(nr, nr) + still(nr1, nt) - still(nr, nt) + still(nt1, nr) - still(nt, nr) + still(nt1, nt) - still(nt, nt))
+        entries += [(sign * twice, zero, x, y, zero, zero) for y in (nr, nt) for sign, x in ((-1.0, nr1), (1.0, nr), (-1.0, nt1), (1.0, nt))]
         grid = sized(b.sizes.select(F.col("n").alias("ns"), F.col("m").alias("ms")), ROW)
-        for size, sign, name in (("nr", -1.0, "zr"), ("nt", 1.0, "zt")):
+        for size, sign in (("nr", -1.0), ("nt", 1.0)):
             distinct = inner.select(size, "c", "p").distinct().crossJoin(grid)
-            value = F.col("ms") * twice * (still(F.col(size) + sign * c, F.col("ns")) - still(F.col(size), F.col("ns")))
-            inner = inner.join(distinct.groupBy(size, "c").agg(F.sum(value).alias(name)), [size, "c"], "left")
-            change += F.coalesce(F.col(name), zero)
+            own_sizes = _evaluated(distinct, (size, "c"), [(twice * F.col("ms"), zero, F.col(size) + sign * c, F.col("ns"), zero, zero), (-twice * F.col("ms"), zero, F.col(size), F.col("ns"), zero, zero)], pair)
+            results.append(inner.select(*keys, size, "c").join(own_sizes.groupBy(size, "c").agg(F.sum("v").alias("v")), [size, "c"]).select(*keys, "v"))
+    if pair is not None:
+        results.append(_evaluated(inner, keys, entries, pair))
     if terms.block is not None:
         some = lambda n, o, i: F.when(n > 0, terms.block(F.greatest(n, F.lit(1.0)), o, i)).otherwise(0.0)
-        change += some(nr1, or1, ir1) - some(nr, o_r, i_r) + some(nt1, ot1, it1) - some(nt, o_t, i_t)
+        results.append(_evaluated(inner, keys, [(1.0, nr1, or1, ir1), (-1.0, nr, o_r, i_r), (1.0, nt1, ot1, it1), (-1.0, nt, o_t, i_t)], some))
     if terms.totals is not None:
         N, B, E = columns("N", "B", "E")
         after = B - F.when(nr1 == 0, 1.0).otherwise(0.0) + F.when(nt == 0, 1.0).otherwise(0.0)
-        change += terms.totals(N, after, E) - terms.totals(N, B, E)
-    result = inner.select("mover", "r", "t", change.alias("v"))
+        results.append(_evaluated(inner, keys, [(1.0, N, after, E), (-1.0, N, B, E)], terms.totals))
     if pair is not None:
-        near = moves.select("mover", "r", "t", "c", "do", "di", "nr", "or_", "ir_", "nt", "ot_", "it_").na.fill(0.0, ["nt", "ot_", "it_"])
+        near = inner.select("mover", "r", "t", "c", "do", "di", "nr", "or_", "ir_", "nt", "ot_", "it_")
         joined = b.edges.select(F.col("r").alias("x"), F.col("s").alias("u")).union(b.edges.select("s", "r")).distinct()
         touched = context.select("mover", "u").join(near.select("mover", "r", "t"), "mover").select("mover", "r", "t", "u")
         for side in ("r", "t"):
@@ -454,18 +453,27 @@ def _changes(b: Blocks, terms: Terms, movers: DataFrame, context: DataFrame, tar
         rows = rows.na.fill(0.0, ["wo", "wi", "eru", "etu", *(("eur", "eut") if directed else ())]).crossJoin(F.broadcast(b.totals.select("p")))
         nu, ou, iu, wo, wi, eru, etu = columns("nu", "ou", "iu", "wo", "wi", "eru", "etu")
 
-        def moved(e1: Column, e: Column, x1: tuple, x: tuple) -> Column:
-            found = pair(e1, *x1) - pair(e, *x)
-            return found - pair(zero, x1[0], x1[1], zero, zero) + pair(zero, x[0], x[1], zero, zero) if terms.dense else found
+        def moved(e1: Column, e: Column, x1: tuple, x: tuple) -> list[tuple]:
+            found = [(1.0, e1, *x1), (-1.0, e, *x)]
+            return found + [(-1.0, zero, x1[0], x1[1], zero, zero), (1.0, zero, x[0], x[1], zero, zero)] if terms.dense else found
 
         outer = moved(eru - wo, eru, (nr1, nu, or1, iu), (nr, nu, o_r, iu)) + moved(etu + wo, etu, (nt1, nu, ot1, iu), (nt, nu, o_t, iu))
         if directed:
             eur, eut = columns("eur", "eut")
             outer += moved(eur - wi, eur, (nu, nr1, ou, ir1), (nu, nr, ou, i_r)) + moved(eut + wi, eut, (nu, nt1, ou, it1), (nu, nt, ou, i_t))
-        result = result.unionByName(rows.select("mover", "r", "t", outer.alias("v")))
+        results.append(_evaluated(rows, keys, outer, pair))
     if terms.by_degree:
-        result = result.unionByName(by_degree(moves.select("mover", "r", "t")))
-    return result.groupBy("mover", "r", "t").agg(F.sum("v").alias("delta"))
+        results.append(by_degree(inner.select("mover", "r", "t")))
+    return reduce(DataFrame.unionByName, results).groupBy("mover", "r", "t").agg(F.sum("v").alias("delta"))
+
+
+def _evaluated(rows: DataFrame, keys: tuple[str, ...], entries: list[tuple], f: Callable) -> DataFrame:
+    """(keys, v): weight times f(arguments) for every entry (weight, *arguments) of every row; f is written once, so that generated code stays small."""
+    double = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
+    every = F.array(*(F.struct(*(double(x).alias(f"a{i}") for i, x in enumerate(entry))) for entry in entries))
+    kept = [c for c in (*keys, "p") if c in rows.columns]
+    one = rows.select(*kept, F.explode(every).alias("x"))
+    return one.select(*keys, (F.col("x.a0") * f(*(F.col(f"x.a{i}") for i in range(1, len(entries[0]))))).alias("v"))
 
 
 def node_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: str = "all") -> DataFrame:
