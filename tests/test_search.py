@@ -26,6 +26,13 @@ def test_searches_find_planted_blocks(method):
     assert metrics.nmi_value(best[1], truth) > (0.25 if method in ("ma", "mhac_1k", "mhab_1k", "mha_1k") else 0.5), method
 
 
+@pytest.mark.parametrize("normalised", [False, True])
+def test_spectral_search_by_iteration_finds_what_dense_matrices_do(normalised):
+    n, src, dst, w, truth = planted(90, 3)
+    for dense in (2000, 10):
+        assert metrics.nmi_value(K.spectral(n, src, dst, w, 3, np.random.default_rng(1), normalised, dense), truth) > 0.8
+
+
 def test_kernighan_lin_reaches_the_known_optimum():
     found = []
     graph = [tuple(int(x) - 1 for x in e.split("-")) for e in __import__("loomgraph.sources.readers", fromlist=["KARATE"]).KARATE.split()]
