@@ -24,7 +24,7 @@ import math
 import re
 import unicodedata
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -41,8 +41,6 @@ SAMPLE, LEAST_G2 = 20_000, 12.0
 PREFIXES = (4, 5, 6)
 #: Pieces that a worker keeps, and the longest that it keeps: some 100 MB at most.
 KEPT, LONGEST = 300_000, 64
-#: Words that a task counts before it adds up their letters.
-COUNTED = 200_000
 #: A marked word counts as often as one word in so many.
 MARKED = 1000
 #: The letters that a sign may stand for.
@@ -172,7 +170,20 @@ class Reader:
     """From pieces to words and features, with a bounded store."""
 
     def __init__(self, model: CharModel, known: dict[str, int] | None = None):
-        self.model, self.known, self.store = model, known, {}
+        self.model, self.known, self.store = model, known or {}, {}
+        bits = {c: 1 << i for i, c in enumerate(sorted({c for f in self.known for c in f.removeprefix("=")}))}
+        masks = {self._mask(f.removeprefix("="), bits) for f in self.known}
+        #: Letters of the features; those that another one needs too are left out.
+        self.needs = sorted(m for m in masks if not any(o != m and o & m == o for o in masks))
+        #: Letters of features that a character may stand for.
+        self.gives = {c: self._mask(c + IMITATES.get(c, ""), bits) for c in {*bits, *IMITATES}}
+
+    @staticmethod
+    def _mask(letters: str, bits: dict[str, int]) -> int:
+        out = 0
+        for c in letters:
+            out |= bits.get(c, 0)
+        return out
 
     def words(self, piece: str) -> set[str]:
         """The words that a piece holds as it is, and those of its most probable reading."""
@@ -181,11 +192,20 @@ class Reader:
             return {core}
         return {*PARTS.findall(piece), *decode(piece, self.model).split()}
 
+    def _features(self, piece: str) -> tuple[int, ...]:
+        have, gives = 0, self.gives
+        for c in set(piece):
+            have |= gives.get(c, 0)
+        for need in self.needs:
+            if need & have == need:
+                return tuple(sorted({self.known[f] for w in self.words(piece) for f in features_of(w) if f in self.known}))
+        return ()  # no reading has all letters of any feature
+
     def features(self, piece: str) -> tuple[int, ...]:
         """Numbers of the known features of a piece."""
         kept = self.store.get(piece)
         if kept is None:
-            kept = tuple(sorted({self.known[f] for w in self.words(piece) for f in features_of(w) if f in self.known}))
+            kept = self._features(piece)
             if len(piece) <= LONGEST:
                 if len(self.store) >= KEPT:
                     self.store.clear()
@@ -235,31 +255,55 @@ class Model:
 
 
 def letters_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, n): the trigrams of the words of all texts; tasks count words, then the letters of each distinct one."""
+    """(key, n): the trigrams of the words of all texts, as trigrams() gives them; a task adds up its texts' codes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        table: Counter = Counter()
-
-        def add_up() -> None:
-            for word, n in words.items():
-                for key in trigrams(word):
-                    table[key] += n
-            words.clear()
-
+        total = np.zeros(KINDS**3, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words.update(PARTS.findall(text.lower()))
-                    if len(words) > COUNTED:
-                        add_up()
-        add_up()
-        yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["key", "n"])
+                    total += np.bincount(_codes(text.lower()), minlength=KINDS**3)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([_key(int(c)) for c in found], pa.string()), pa.array(total[found])], ["key", "n"])
 
     rows = docs.select(docs[text_col].cast("string").alias("text"))
     return common.map_rows(rows, run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+#: Symbols of the trigram model: no letter, a to z, other letters, the end of a word.
+KINDS = 29
+
+
+def _kind(char: str) -> int:
+    if PARTS.fullmatch(char) is None:
+        return 0
+    own = letter(char)
+    return 27 if own == OTHER else ord(own) - 96
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    return np.array([0 if 0xD800 <= c < 0xE000 else _kind(chr(c)) for c in range(65536)], dtype=np.int16)
+
+
+def _codes(text: str) -> np.ndarray:
+    """Numbers of the trigrams of a text's words."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    kinds = np.zeros(len(points) + 3, dtype=np.int32)  # no letter before and after the text
+    kinds[2:-1] = _kinds()[np.minimum(points, 65535)]
+    for at in np.flatnonzero(points > 65535):
+        kinds[2 + at] = _kind(chr(points[at]))
+    a, b, c = kinds[:-2], kinds[1:-1], kinds[2:]
+    some = (b > 0) | (c > 0)
+    a, b, c = np.where(b > 0, a, 0)[some], b[some], c[some]
+    return (a * KINDS + b) * KINDS + np.where(c > 0, c, KINDS - 1)
+
+
+def _key(code: int) -> str:
+    sign = lambda k: BEGIN if k == 0 else END if k == KINDS - 1 else OTHER if k == 27 else chr(96 + k)
+    return sign(code // KINDS**2) + sign(code // KINDS % KINDS) + sign(code % KINDS)
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> DataFrame:
     """(text, y) of at most limit labelled rows, drawn by a hash of the id; so few that joining them broadcasts a bounded table; copies count once."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
