@@ -124,14 +124,14 @@ def _trim(pairs: DataFrame, size) -> DataFrame:
 
 
 def _sized(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with n, how many have their keys; keys that hold a large part of the rows are counted before they are joined."""
-    return common.join_hot(rows, common.cut(rows.groupBy(*keys).agg(F.count("*").alias("n")), "sizes"), keys)
+    """rows with n, how many have their keys: counted before they are joined, so that Spark can split a large key."""
+    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
 
 
 def lists(units: DataFrame, threshold: float, size: int, rounds: int, audit, begun: DataFrame | None = None) -> DataFrame:
     """(node, other, s): neighbour lists refined until they settle and audit(lists), where it can tell, is ENOUGH; begun: lists to start from besides the buckets."""
     bare = units.select("node", "dim", "u")
-    bucketed = common.cut(units.select("node", "dim", F.posexplode("codes").alias("t", "code")), "buckets")
+    bucketed = units.select("node", "dim", F.posexplode("codes").alias("t", "code"))
     # a bucket larger than BUCKET is cut at random; its parts overlap with other tables' buckets
     part = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / BUCKET))
     start = _sized(bucketed, ["t", "code", "dim"]).select(F.xxhash64("t", "code", part).alias("g"), "node", F.lit(True).alias("new"), F.lit(-1.5).cast("float").alias("floor"))
@@ -148,7 +148,7 @@ def lists(units: DataFrame, threshold: float, size: int, rounds: int, audit, beg
         own = now.groupBy("node").agg(F.max("new").alias("new")).select(F.col("node").alias("g"), "node", "new")
         members = both.unionByName(own).groupBy("g", "node").agg(F.max("new").alias("new"))
         # a node that very many lists name would make one large group: its members are cut at random into groups
-        spread = _sized(common.cut(members, "members"), ["g"])
+        spread = _sized(members, ["g"])
         spread = spread.withColumn("g", F.xxhash64("g", F.pmod(F.xxhash64("g", "node", F.lit(step)), F.ceil(F.col("n") / (8 * LARGER))))).drop("n")
         groups = spread.join(bare, "node").join(state.select("node", "floor"), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.5).cast("float")))
         found = _compare(groups, size, threshold).groupBy("node", "other").agg(F.max("s").alias("s"))
@@ -240,7 +240,8 @@ def _between(members: DataFrame, threshold: float) -> DataFrame:
 
 def _counted(members: DataFrame, threshold: float) -> DataFrame:
     """(node, n): the copies of other nodes that a node links with, counted in blocks; members: (g, node, v, copies), one g a component and dimension."""
-    sized = _sized(members.select("g", "node", "v", "copies"), ["g"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = common.cut(members.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    sized = common.join_hot(members.select("g", "node", "v", "copies"), sizes, ["g"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = sized.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     left = own.select("g", "node", "v", "copies", F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     right = own.select(F.col("g").alias("g2"), F.col("node").alias("other"), F.col("v").alias("w"), F.col("copies").alias("more"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i2"), F.col("mine").alias("j2"))
