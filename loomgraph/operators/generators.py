@@ -181,9 +181,10 @@ def benchmark(spark: SparkSession, graphs: int, n: int, mixing: float, degree: f
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["g"].iloc[0])
         src, dst, labels = benchmark_arrays(n, mixing, degree, most, smallest, largest, np.random.default_rng([seed, g]))
-        edges = pd.DataFrame({"graph_id": str(g), "src": src, "dst": dst.astype(float), "weight": 1.0, "block": None})
-        nodes = pd.DataFrame({"graph_id": str(g), "src": np.arange(n), "dst": None, "weight": 0.0, "block": labels})
-        return pd.concat([edges, nodes]).astype({"dst": "Int64", "block": "Int32"})
+        none = lambda k, kind: pd.array([pd.NA] * k, dtype=kind)
+        edges = pd.DataFrame({"graph_id": str(g), "src": src, "dst": pd.array(dst, dtype="Int64"), "weight": 1.0, "block": none(len(src), "Int32")})
+        nodes = pd.DataFrame({"graph_id": str(g), "src": np.arange(n), "dst": none(n, "Int64"), "weight": 0.0, "block": pd.array(labels, dtype="Int32")})
+        return pd.concat([edges, nodes])
 
     ids = spark.range(graphs).withColumnRenamed("id", "g")
     return ids.groupBy("g").applyInPandas(run, "graph_id string, src long, dst long, weight double, block int")

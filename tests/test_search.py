@@ -131,3 +131,13 @@ def test_em_as_tables(spark):
     labels = found.orderBy("node").toPandas().block.to_numpy()
     value = lambda b: K.State(34, e.src, e.dst, e.weight, False, b, 2, "dckn").value()
     assert value(labels) >= value(np.arange(34) % 2) and steps <= 10
+
+
+def test_benchmark_graphs_have_the_wanted_shape():
+    from loomgraph.operators.generators import benchmark_arrays
+
+    src, dst, labels = benchmark_arrays(600, 0.3, 16, 40, 15, 60, np.random.default_rng(4))
+    degree, sizes = np.bincount(np.concatenate([src, dst]), minlength=600), np.bincount(labels)
+    assert len(np.unique(src * 600 + dst)) == len(src) and (src < dst).all()
+    assert sizes.sum() == 600 and sizes.min() >= 15 and sizes.max() <= 60 and degree.max() <= 40
+    assert 14 < degree.mean() < 18 and 0.25 < (labels[src] != labels[dst]).mean() < 0.36
