@@ -36,8 +36,8 @@ LOG = logging.getLogger(__name__)
 
 #: Entries of a list at first and after enlarging, tables of hyperplanes and their bucket size, rounds at most.
 LIST, LARGER, TABLES, BUCKET, ROUNDS = 12, 48, 6, 64, 8
-#: How often fresh hyperplanes are drawn while the audit finds too few links.
-AGAIN = 3
+#: How often fresh hyperplanes are drawn while the audit finds too few links, and the nodes up to which the exact search of all is less work.
+AGAIN, SMALL = 3, 65536
 #: Nodes that an audit compares with all at first and at most, the links that it needs, the share of them that must be
 #: found, and the share of changed lists that ends the rounds.
 AUDIT, AUDIT_MOST, AUDIT_LINKS, ENOUGH, FEW_CHANGES = 256, 16384, 256, 0.99, 0.02
@@ -276,7 +276,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     found = lists(units, threshold, LIST, ROUNDS, recall)
     share = recall(found)
     for again in range(1, AGAIN + 1):
-        if share is None or share >= ENOUGH:
+        if share is None or share >= ENOUGH or total <= SMALL:
             break
         # fresh hyperplanes bring together what the first did not
         more = common.cut(_codes(nodes, 11 + again, min(60, bits)), "units")
