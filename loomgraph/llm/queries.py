@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, common, neighbours, packing, quality, sharding, simhash, token_counts, topk, toxicity, warc
+from loomgraph.llm import bpe, common, neighbours, packing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -92,6 +92,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and a digest of the base spans, and all spans."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = secrets.scan(docs, common.fresh_dir(spark, "ledger"))
+    base = F.filter("findings", lambda f: f["place"] < len(secrets.BASE))
+    places = F.transform("findings", lambda f: f["place"])
+    counts = [(F.size("findings") - F.size(F.array_remove(places, i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("findings")).alias("spans"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
@@ -103,10 +113,23 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_secrets": op12_secrets,
 }
 _FINE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _FIVE = " + ".join(f"{16 >> k} * substr(bits, 5 * i + {k + 1}, 1)::INT" for k in range(5))
 
+_CASELESS = "|".join("".join(f"[{c}{c.upper()}]" for c in word) for word in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+_ASSIGN = f"""({_CASELESS})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]%s)"""
+
+
+def _matches(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """SQL of a kind's spans: (doc_id, place, kind, a, e), from the pieces between matches and the lengths of what comes before."""
+    return f"""SELECT doc_id, {place} AS place, '{kind}' AS kind, a, a + size AS e FROM (
+SELECT doc_id, unnest(m) AS size, unnest(v) AS value, unnest(list_transform(range(len(m)), lambda i: list_sum(b[1:i + 1])::BIGINT + coalesce(list_sum(m[1:i])::BIGINT, 0))) AS a FROM (
+SELECT doc_id, list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS m, list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda x: length(x)) AS v,
+list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS b FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE value >= {least}"""
+
+
 ORACLES: dict[str, str] = {
     "op5_warc": f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY sha1(payload)) AS first FROM p),
@@ -122,4 +145,9 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op12_secrets": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), base AS ({_matches(0, "assign", _ASSIGN % "+", 2, 12)} UNION ALL {_matches(1, "access", "AKIA[A-Z0-9]+", 0, 18)} UNION ALL {_matches(2, "hex", "[0-9a-f]+", 0, 16)}),
+nested AS ({_matches(3, "nested", _ASSIGN % "{12,}", 0, 1)}), s AS (SELECT * FROM base UNION ALL SELECT n.* FROM nested n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = n.doc_id AND b.place = 0 AND b.a = n.a AND b.e = n.e)
+UNION ALL {_matches(4, "pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1)}),
+o AS (SELECT doc_id, count(*) FILTER (place = 0) AS n0, count(*) FILTER (place = 1) AS n1, count(*) FILTER (place = 2) AS n2, coalesce(string_agg(concat(kind, ':', a, ':', e), ',' ORDER BY a, place) FILTER (place < 3), '') AS b, string_agg(concat(kind, ':', a, ':', e), ',' ORDER BY a, place) AS x FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans FROM d LEFT JOIN o ON o.doc_id = d.doc_id""",
 }
