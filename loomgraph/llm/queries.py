@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, common, neighbours, packing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, warc
+from loomgraph.llm import bpe, common, neighbours, packing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, tries, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -102,6 +102,17 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("findings")).alias("spans"))
 
 
+def op13_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations: of c, the first h turns of conversation c - c % 5, then its own after h."""
+    lists = tries.turn_lists(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    five = lists.groupBy((F.col("conv_id") - F.col("conv_id") % 5).alias("base")).agg(F.collect_list(F.struct("conv_id", "turns")).alias("own"))
+    first = F.get(F.filter("own", lambda c: c["conv_id"] == F.col("base")), F.lit(0))["turns"]
+    each = five.select(F.coalesce(first, F.array().cast(lists.schema["turns"].dataType)).alias("first"), F.inline("own"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    rebuilt = F.concat(F.slice("first", F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    return tries.trie(each.select("conv_id", rebuilt.alias("turns"))).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
@@ -114,6 +125,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op12_secrets": op12_secrets,
+    "op13_tries": op13_tries,
 }
 _FINE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _FIVE = " + ".join(f"{16 >> k} * substr(bits, 5 * i + {k + 1}, 1)::INT" for k in range(5))
@@ -150,4 +162,15 @@ nested AS ({_matches(3, "nested", _ASSIGN % "{12,}", 0, 1)}), s AS (SELECT * FRO
 UNION ALL {_matches(4, "pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1)}),
 o AS (SELECT doc_id, count(*) FILTER (place = 0) AS n0, count(*) FILTER (place = 1) AS n1, count(*) FILTER (place = 2) AS n2, coalesce(string_agg(concat(kind, ':', a, ':', e), ',' ORDER BY a, place) FILTER (place < 3), '') AS b, string_agg(concat(kind, ':', a, ':', e), ',' ORDER BY a, place) AS x FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans FROM d LEFT JOIN o ON o.doc_id = d.doc_id""",
+    "op13_tries": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS g, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(g := g, b := b) ORDER BY turn NULLS FIRST, role, g) AS own, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda p, i: CASE WHEN p % 2 = 1 THEN xor(p >> 1, 3988292384::BIGINT) ELSE p >> 1 END)), 4294967295::BIGINT) % 9 AS h FROM t GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(CASE WHEN o.h > 0 AND f.own IS NOT NULL THEN f.own[1:o.h] ELSE [] END, o.own[o.h + 1:]) AS seq FROM o LEFT JOIN o f ON f.conv_id = o.conv_id - o.conv_id % 5),
+u AS (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS d FROM r),
+p AS (SELECT conv_id, d, len(seq) AS k, sha256(concat(d, list_transform(seq, lambda x: x.g)[1:d]::VARCHAR)) AS key, CASE WHEN d > 0 THEN sha256(concat(d - 1, list_transform(seq, lambda x: x.g)[1:d - 1]::VARCHAR)) END AS parent, CASE WHEN d > 0 THEN seq[d].b ELSE 0 END AS b FROM u),
+n AS (SELECT key, d, any_value(parent) AS parent, any_value(b) AS b, min(conv_id) AS c, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (k = d), '')) AS e FROM p GROUP BY key, d),
+k AS (SELECT parent AS key, count(*) AS k FROM n WHERE parent IS NOT NULL GROUP BY parent),
+a AS (SELECT p.key, sum(CASE WHEN k.k IS NULL THEN 1 ELSE 0 END) AS l, sum((n.n - 1) * n.b) AS s FROM n LEFT JOIN k ON k.key = n.key JOIN p ON p.conv_id = n.c AND p.d <= n.d GROUP BY p.key)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, m.c AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0)::BIGINT AS n_children, a.l::BIGINT AS n_leaves, a.s::BIGINT AS saved_tokens, n.e AS ends_sha256
+FROM n JOIN a ON a.key = n.key LEFT JOIN k ON k.key = n.key LEFT JOIN n m ON m.key = n.parent""",
 }
