@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, common, neighbours, packing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, tries, warc
+from loomgraph.llm import bpe, common, lexical, neighbours, packing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, tries, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -92,6 +92,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    index = lexical.build(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and a digest of the base spans, and all spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -124,12 +130,14 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical": op11_lexical,
     "op12_secrets": op12_secrets,
     "op13_tries": op13_tries,
 }
 _FINE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _FIVE = " + ".join(f"{16 >> k} * substr(bits, 5 * i + {k + 1}, 1)::INT" for k in range(5))
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _CASELESS = "|".join("".join(f"[{c}{c.upper()}]" for c in word) for word in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 _ASSIGN = f"""({_CASELESS})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]%s)"""
 
@@ -157,6 +165,11 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op11_lexical": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS w FROM documents WHERE doc_id IS NOT NULL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS w FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), s AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM n), p AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY doc_id, w), f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+x AS (SELECT item_id, doc_id, sum(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score FROM q JOIN p USING (w) JOIN f USING (w) JOIN n USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 50""",
     "op12_secrets": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), base AS ({_matches(0, "assign", _ASSIGN % "+", 2, 12)} UNION ALL {_matches(1, "access", "AKIA[A-Z0-9]+", 0, 18)} UNION ALL {_matches(2, "hex", "[0-9a-f]+", 0, 16)}),
 nested AS ({_matches(3, "nested", _ASSIGN % "{12,}", 0, 1)}), s AS (SELECT * FROM base UNION ALL SELECT n.* FROM nested n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = n.doc_id AND b.place = 0 AND b.a = n.a AND b.e = n.e)
 UNION ALL {_matches(4, "pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1)}),
