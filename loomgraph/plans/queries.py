@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import factor, metrics, objectives, search, selection
+from loomgraph.operators import factor, metrics, objectives, order, search, selection, starts
 from loomgraph.operators import partition as P
 from loomgraph.session import frozen
 from loomgraph.sources import adapters
@@ -397,5 +397,82 @@ def _register_more_searches() -> None:
     _add("search_from_regions_nation_und", from_regions, None)
 
 
-for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches):
+#: Matrix x(src, dst, x) of a graph, after views().
+_MATRIX = """,
+x AS (SELECT src, dst, sum(weight) AS x FROM (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e WHERE src <> dst) GROUP BY ALL)"""
+
+
+def _register_order() -> None:
+    """Ranks, running sums and the best prefix of line items by price, ship date and key; the value is what a quantity has above 25.5."""
+    by = (F.desc("price"), "l_shipdate", "l_orderkey", "l_linenumber")
+    columns, sql = ("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE - 25.5 AS v, row_number() OVER o - 1 AS idx, sum(l_quantity::DOUBLE - 25.5) OVER (o ROWS UNBOUNDED PRECEDING) AS running FROM lineitem WINDOW o AS (ORDER BY l_extendedprice DESC, l_shipdate, l_orderkey, l_linenumber)"
+
+    def lines(spark, sf_dir):
+        return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns, "l_shipdate", F.col("l_extendedprice").alias("price"), (F.col("l_quantity").cast("double") - 25.5).alias("v"))
+
+    _add("running_sum_lineitem", lambda s, d: order.running(lines(s, d), "v", *by).select(*columns, "idx", F.round("running", 4).alias("running")), f"SELECT l_orderkey, l_linenumber, idx, round(running, 4) AS running FROM ({sql})")
+    top = f"WITH r AS ({sql}) SELECT l_orderkey, l_linenumber, idx, round(running, 4) AS running FROM r WHERE idx <= (SELECT min(idx) FROM r WHERE running = (SELECT max(running) FROM r)) AND (SELECT max(running) FROM r) > 0"
+    _add("best_prefix_lineitem", lambda s, d: order.best_prefix(lines(s, d), "v", *by).select(*columns, "idx", F.round("running", 4).alias("running")), top)
+    top_so_far = sql.replace("sum(l_quantity::DOUBLE - 25.5)", "max(l_quantity::DOUBLE - 25.5)")
+    _add("running_max_lineitem", lambda s, d: order.running(lines(s, d), "v", *by, kind="max").select(*columns, "idx", F.round("running", 4).alias("running")), f"SELECT l_orderkey, l_linenumber, idx, round(running, 4) AS running FROM ({top_so_far})")
+
+
+def _register_starts() -> None:
+    def matrix(spark, sf_dir, graph="supply_und"):
+        x = frozen(adapters.GRAPHS[graph](spark, sf_dir)[0].adj_matrix(), "matrix")
+        return x, max(2, int(0.1 * x.select("src").distinct().count() / 25))
+
+    def one_step(spark, sf_dir):
+        """A vertex component along a given direction: the mean and the median of the columns at its more extreme end."""
+        x, p = matrix(spark, sf_dir)
+        d = x.select(F.col("src").alias("dst")).distinct().withColumn("d", F.col("dst") * 7919 % 1000 / 1000.0 - 0.5)
+        u = x.join(d, "dst").groupBy(F.col("src").alias("node")).agg(F.round(F.sum(F.col("weight") * F.col("d")), 9).alias("u"))
+        picked = frozen(starts.ends(u, p), "picked")
+        mean, median = starts.column_mean(x, picked, p), starts.column_median(x, picked, p).withColumnRenamed("u", "m")
+        return mean.join(median, "node", "left").select("node", F.round("u", 6).alias("mean"), F.round(F.coalesce("m", F.lit(0.0)), 6).alias("median"))
+
+    pp = "pp AS (SELECT greatest(2, floor(0.1 * count(DISTINCT src) / 25))::BIGINT AS p FROM x)"
+    _add(
+        "svca_supply_und",
+        one_step,
+        views("supply_und")
+        + _MATRIX
+        + f""", {pp}, u AS (SELECT src AS node, round(sum(x * (dst * 7919 % 1000 / 1000.0::DOUBLE - 0.5)), 9) AS u FROM x GROUP BY src),
+o AS (SELECT node, u, row_number() OVER (ORDER BY u DESC, node) AS a, row_number() OVER (ORDER BY u, node DESC) AS z FROM u),
+side AS (SELECT abs(median(u) FILTER (a <= p)) > abs(median(u) FILTER (z <= p)) AS high FROM o, pp), picked AS (SELECT node FROM o, pp, side WHERE CASE WHEN high THEN a <= p ELSE z <= p END),
+c AS (SELECT u.node, coalesce(x, 0) AS x FROM u CROSS JOIN picked LEFT JOIN x ON src = u.node AND dst = picked.node)
+SELECT node, round(avg(x), 6) AS mean, round(median(x), 6) AS median FROM c GROUP BY node HAVING max(x) > 0""",
+    )
+
+    def projections(spark, sf_dir):
+        x, p = matrix(spark, sf_dir)
+        return starts.sspa(x, 2, p).select("node", *[F.round(F.col("q")[k], 6).alias(f"w{k}") for k in (0, 1)])
+
+    def step(k: int, rest: str, taken: str) -> str:
+        """One projection: from the residuals rest, along the column with the largest, less its part in v0 (if any)."""
+        return f"""t{k} AS (SELECT node FROM {rest} ORDER BY rest DESC, node LIMIT 1),
+c{k} AS (SELECT dst AS node, x AS c FROM x WHERE src = (SELECT node FROM t{k})), d{k} AS (SELECT n.node, coalesce(c, 0) {taken} AS d FROM rest0 n LEFT JOIN c{k} ON c{k}.node = n.node),
+u{k} AS (SELECT src AS node, round(sum(x * d), 9) AS u FROM x JOIN d{k} ON dst = d{k}.node GROUP BY src), p{k} AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY u DESC, node) AS a FROM u{k}), pp WHERE a <= p),
+w{k} AS (SELECT n.node, coalesce(w, 0) AS w FROM rest0 n LEFT JOIN (SELECT src AS node, sum(x) / any_value(p) AS w FROM x JOIN p{k} ON dst = p{k}.node, pp GROUP BY src) q ON q.node = n.node)"""
+
+    _add(
+        "sspa_supply_und",
+        projections,
+        views("supply_und")
+        + _MATRIX
+        + f""", {pp}, rest0 AS (SELECT src AS node, round(sum(x * x), 9) AS rest FROM x GROUP BY src), {step(0, "rest0", "")},
+v0 AS (SELECT node, w / (SELECT sqrt(sum(w * w)) FROM w0) AS v FROM w0), rest1 AS (SELECT rest0.node, round(greatest(rest - t * t, 0), 9) AS rest FROM rest0 JOIN (SELECT src, sum(x * v) AS t FROM x JOIN v0 ON dst = node GROUP BY src) ON src = rest0.node),
+{step(1, "rest1", "- (SELECT sum(c * v) FROM c1 JOIN v0 USING (node)) * (SELECT v FROM v0 WHERE v0.node = n.node)")}
+SELECT w0.node, round(w0.w, 6) AS w0, round(w1.w, 6) AS w1 FROM w0 JOIN w1 USING (node)""",
+    )
+
+    for method in ("SVCA", "SSPA"):
+        def whole(spark, sf_dir, method=method):
+            x, _ = matrix(spark, sf_dir)
+            return starts.start(x, 5, method, 1).select("node", "v", F.round("w", 6).alias("w"))
+
+        _add(f"start_{method.lower()}_supply_und", whole, None)
+
+
+for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts):
     _register()
