@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import factor, metrics, objectives, order, search, selection, starts
+from loomgraph.operators import descent, factor, metrics, objectives, order, search, selection, starts
 from loomgraph.operators import partition as P
 from loomgraph.session import frozen
 from loomgraph.sources import adapters
@@ -474,5 +474,61 @@ SELECT w0.node, round(w0.w, 6) AS w0, round(w1.w, 6) AS w1 FROM w0 JOIN w1 USING
         _add(f"start_{method.lower()}_supply_und", whole, None)
 
 
-for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts):
+#: One colour step of the tri-factorisation in SQL, from z by the partition; the movers are the suppliers, who share no entry.
+_STEP = f""", z AS (SELECT node, block AS v, 1 / sqrt(n) AS w FROM part_ JOIN sz USING (block) WHERE node IN (SELECT src FROM x)),
+s AS (SELECT a.v AS k, b.v AS l, sum(a.w * x * b.w) AS val FROM x JOIN z a ON src = a.node JOIN z b ON dst = b.node GROUP BY ALL),
+m AS (SELECT v, sum(w * w) AS a FROM z GROUP BY v), wp AS (SELECT l AS k, sum(a * val * val) AS wp2 FROM s JOIN m ON m.v = s.k GROUP BY l),
+c AS (SELECT node, k, sum(c) AS c FROM (SELECT src AS node, s.l AS k, -4 * x * z.w * s.val AS c FROM x JOIN z ON dst = z.node JOIN s ON s.k = z.v WHERE src < {adapters.PART_BASE} UNION ALL SELECT node, v, 0.0 FROM z WHERE node < {adapters.PART_BASE}) GROUP BY ALL),
+t AS (SELECT c.node, c.k, c.c, z.v, z.w, greatest(coalesce(d.val, 0) ^ 2, 1e-12) AS a, 2 * (coalesce(wp2, 0) - (z.w * coalesce(o.val, 0)) ^ 2) AS b FROM c JOIN z ON z.node = c.node LEFT JOIN s o ON o.k = z.v AND o.l = c.k LEFT JOIN s d ON d.k = c.k AND d.l = c.k LEFT JOIN wp ON wp.k = c.k),
+h AS (SELECT *, b / (2 * a) AS p, c / (4 * a) AS q FROM t), g3 AS (SELECT *, q * q / 4 + p * p * p / 27 AS half, sqrt(greatest(-p / 3, 0)) AS r FROM h),
+y AS (SELECT *, unnest(CASE WHEN half > 0 THEN [cbrt(-q / 2 + sqrt(half)) + cbrt(-q / 2 - sqrt(half))] ELSE list_transform([0, 1, 2], lambda i: 2 * r * cos(acos(greatest(-1, least(1, CASE WHEN r > 0 THEN -q / (2 * r * r * r) ELSE 0 END))) / 3 - 2 * pi() * i / 3)) END) AS xw FROM g3),
+f AS (SELECT *, a * xw ^ 4 + b * xw ^ 2 + c * xw AS f FROM y WHERE xw > 0), best AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(f, 9), k) AS rn FROM f WHERE f < 0),
+mv AS (SELECT best.node, best.k AS nv, xw AS nw, (t.a * t.w ^ 4 + t.b * t.w ^ 2 + t.c * t.w) - f AS gain FROM best JOIN t ON t.node = best.node AND t.k = t.v WHERE rn = 1)
+"""
+
+
+def _register_descent() -> None:
+    def state(spark, sf_dir):
+        graph, part = adapters.GRAPHS["supply_und"](spark, sf_dir)
+        x = frozen(graph.adj_matrix(), "matrix")
+        linked = part.join(x.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+        z = frozen(linked.join(P.block_sizes(part), "block").select("node", F.col("block").alias("v"), (1 / F.sqrt("n")).alias("w")), "z")
+        return x, z, descent.coupling(factor.s_matrix(x, z), z)
+
+    def moves(spark, sf_dir):
+        x, z, s = state(spark, sf_dir)
+        return descent.proposals(x, z, s, z.where(F.col("node") < adapters.PART_BASE).select("node")), s
+
+    def step(spark, sf_dir):
+        return moves(spark, sf_dir)[0].where("gain > 0.0001").select("node", F.col("nv").cast("int").alias("v"), F.round("nw", 6).alias("w"), F.round("gain", 4).alias("gain"))
+
+    _add("frost_step_supply_und", step, views("supply_und") + _MATRIX + _STEP + "SELECT node, nv AS v, round(nw, 6) AS w, round(gain, 4) AS gain FROM mv WHERE gain > 0.0001")
+
+    def joint(spark, sf_dir):
+        found, s = moves(spark, sf_dir)
+        found = frozen(found.where("gain > 0.0001"), "moves")
+        return found.agg(F.count("*").alias("movers"), F.round(F.lit(descent.joint_gain(found, s)), 3).alias("gain"))
+
+    after = """, z2 AS (SELECT z.node, coalesce(nv, z.v) AS v, coalesce(nw, z.w) AS w FROM z LEFT JOIN (SELECT * FROM mv WHERE gain > 0.0001) n ON n.node = z.node),
+m2 AS (SELECT v, sum(w * w) AS a FROM z2 GROUP BY v)
+"""
+    fit = lambda z, m: f"((SELECT sum(p.a * r.a * val * val) FROM s JOIN {m} p ON p.v = k JOIN {m} r ON r.v = l) - 2 * (SELECT sum(x * p.w * r.w * val) FROM x JOIN {z} p ON p.node = src JOIN {z} r ON r.node = dst JOIN s ON k = p.v AND l = r.v))"
+    _add("frost_joint_gain_supply_und", joint, views("supply_und") + _MATRIX + _STEP + after + f"SELECT (SELECT count(*) FROM mv WHERE gain > 0.0001) AS movers, round({fit('z', 'm')} - {fit('z2', 'm2')}, 3) AS gain")
+
+    def conflicts(spark, sf_dir):
+        x = frozen(adapters.GRAPHS["supply_und"](spark, sf_dir)[0].adj_matrix(), "matrix")
+        found = frozen(descent.colours(x, 1), "colours")
+        ends = x.where("src <> dst").join(found.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(found.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+        return found.agg(F.count("*").alias("nodes"), F.countDistinct("node").alias("coloured")).join(F.broadcast(ends.agg(F.count_if(F.col("a") == F.col("b")).alias("conflicts"))), F.lit(True))  # one row each
+
+    _add("colours_supply_und", conflicts, views("supply_und") + _MATRIX + " SELECT count(DISTINCT src) AS nodes, count(DISTINCT src) AS coloured, 0::BIGINT AS conflicts FROM x")
+
+    def whole(spark, sf_dir):
+        x = frozen(adapters.GRAPHS["supply_und"](spark, sf_dir)[0].adj_matrix(), "matrix")
+        return descent.frost(x, starts.start(x, 5, "SSPA"), delta=1e-3).z.select("node", "v", F.round("w", 6).alias("w"))
+
+    _add("frost_supply_und", whole, None)
+
+
+for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent):
     _register()
