@@ -476,11 +476,11 @@ def _evaluated(rows: DataFrame, keys: tuple[str, ...], entries: list[tuple], f:
     return one.select(*keys, (F.col("x.a0") * f(*(F.col(f"x.a{i}") for i in range(1, len(entries[0]))))).alias("v"))
 
 
-def node_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: str = "all") -> DataFrame:
+def node_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: str | DataFrame = "all") -> DataFrame:
     """(node, from_block, to_block, delta) of moving each node to each other block.
 
     candidates: all blocks (nodes times blocks rows); near, those in which the node has a neighbour; new, a block of its own
-    (to_block null).  A block that the node was alone in is gone afterwards.
+    (to_block null); or a table of the moves (node, to_block).  A block that the node was alone in is gone afterwards.
     """
     b = Blocks(graph, part)
     counted, terms = b.count_edges(), TERMS[name](graph.directed)
@@ -489,7 +489,9 @@ def node_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: s
     loops = P.self_loops(counted)
     movers = part.join(degrees, "node").join(loops, "node", "left").select(F.col("node").alias("mover"), F.col("block").alias("r"), F.lit(1.0).alias("c"), "do", "di", ((1.0 if graph.directed else 2.0) * F.coalesce("loops", F.lit(0.0))).alias("l"))
     context = frozen(P.move_context(counted, part).select(F.col("node").alias("mover"), F.col("block").alias("u"), F.col("k_out").alias("wo"), F.col("k_in").alias("wi")))
-    if candidates == "near":
+    if isinstance(candidates, DataFrame):
+        targets = candidates.select(F.col("node").alias("mover"), F.col("to_block").alias("t"))
+    elif candidates == "near":
         targets = context.select("mover", F.col("u").alias("t"))
     elif candidates == "new":
         targets = movers.select("mover", F.lit(None).cast(part.schema["block"].dataType).alias("t"))

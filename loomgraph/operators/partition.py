@@ -90,9 +90,14 @@ def merge(part: DataFrame, merges: DataFrame) -> DataFrame:
     return part.join(to, "block", "left").select("node", F.coalesce("into", "block").alias("block"))
 
 
+def relabelled_blocks(blocks: DataFrame) -> DataFrame:
+    """(block, idx): the blocks numbered from 0 without gaps, in their order."""
+    return reindexed(blocks.select("block"), "block")
+
+
 def relabelled(part: DataFrame) -> DataFrame:
     """part with blocks numbered from 0 without gaps, in their order."""
-    number = reindexed(part.select("block"), "block")
+    number = relabelled_blocks(part)
     return part.join(number, "block").select("node", F.col("idx").cast("int").alias("block"))
 
 

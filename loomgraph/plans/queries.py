@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import descent, factor, metrics, objectives, order, search, selection, starts
+from loomgraph.operators import descent, factor, metrics, objectives, order, sampling, search, selection, starts
 from loomgraph.operators import partition as P
 from loomgraph.session import frozen
 from loomgraph.sources import adapters
@@ -530,5 +530,47 @@ m2 AS (SELECT v, sum(w * w) AS a FROM z2 GROUP BY v)
     _add("frost_supply_und", whole, None)
 
 
-for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent):
+def _register_sampling() -> None:
+    def drawn(spark, sf_dir):
+        graph, _ = adapters.GRAPHS["supply_und"](spark, sf_dir)
+        return sampling.race(graph.edges, ["src"], ["dst"], "weight", 11)
+
+    _add(
+        "weighted_draw_supply_und",
+        drawn,
+        views("supply_und")
+        + "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY -ln((('0x' || substr(md5(concat_ws('/', '11', src, dst)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight, dst) AS rn FROM e) WHERE rn = 1",
+    )
+
+    def chances(spark, sf_dir):
+        graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        graph = graph.counted()
+        s = sampling.state_of(graph, part)
+        moves = part.select("node", F.col("block").alias("r")).join(F.broadcast(s.stats.select(F.col("block").alias("t"))), F.col("r") != F.col("t"))  # the regions
+        return sampling.chances(s, moves).select("node", "r", "t", F.round("forth", 8).alias("forth"), F.round("back", 8).alias("back"))
+
+    # the back chance from the block edges of every moved partition as a whole
+    _add(
+        "proposal_chances_nation_und",
+        chances,
+        views("nation_und")
+        + """, mv AS (SELECT row_number() OVER () AS mv, p.node AS m, p.block AS r, c.block AS t FROM part_ p JOIN sz c ON c.block <> p.block),
+np AS (SELECT mv, p.node, CASE WHEN p.node = m THEN t ELSE p.block END AS block FROM mv CROSS JOIN part_ p),
+be_m AS (SELECT p.mv, p.block AS r, q.block AS s, sum(weight) AS e FROM adj JOIN np p ON src = p.node JOIN np q ON dst = q.node AND q.mv = p.mv GROUP BY ALL),
+k_m AS (SELECT mv, r AS u, sum(e) AS k FROM be_m GROUP BY mv, r), cx AS (SELECT src AS node, block AS u, sum(weight) AS w FROM adj JOIN part_ ON dst = node WHERE src <> dst GROUP BY ALL),
+dg AS (SELECT node, sum(w) AS d FROM cx GROUP BY node)
+SELECT m AS node, mv.r, mv.t, round(sum(w / d * (coalesce(f.e, 0) + 0.1) / (k + 0.1 * b)), 8) AS forth, round(sum(w / d * (coalesce(g2.e, 0) + 0.1) / (k2 + 0.1 * b)), 8) AS back
+FROM mv JOIN cx ON cx.node = m JOIN dg ON dg.node = m JOIN (SELECT r AS u, sum(e) AS k FROM be GROUP BY r) k USING (u) LEFT JOIN be f ON f.r = u AND f.s = mv.t
+JOIN (SELECT mv, u, k AS k2 FROM k_m) q ON q.mv = mv.mv AND q.u = cx.u LEFT JOIN be_m g2 ON g2.mv = mv.mv AND g2.r = cx.u AND g2.s = mv.r, g GROUP BY m, mv.r, mv.t""",
+    )
+
+    def sampled(spark, sf_dir):
+        graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        found = sampling.metropolis_hastings(graph, part, "dckn", 5, 1)
+        return found.best.withColumn("value", F.lit(round(found.value, 4)))
+
+    _add("mh_batches_nation_und", sampled, None)
+
+
+for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent, _register_sampling):
     _register()
