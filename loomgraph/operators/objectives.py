@@ -510,9 +510,9 @@ def node_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: s
     return found.select(F.col("mover").alias("node"), F.col("r").alias("from_block"), F.col("t").alias("to_block"), "delta")
 
 
-def merge_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: str = "all") -> DataFrame:
-    """(block, into, delta) of merging each block into each other one; candidates near: only blocks joined by edges."""
-    b = Blocks(graph, part)
+def merge_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates: str | DataFrame = "all", blocks: Blocks | None = None) -> DataFrame:
+    """(block, into, delta) of merging each block into each other one; candidates near: only blocks joined by edges; or a table (block, into).  blocks: those of graph and part, if known."""
+    b = Blocks(graph, part) if blocks is None else blocks
     terms = TERMS[name](graph.directed)
     if terms.constant or terms.by_degree:
         b.count_edges()
@@ -521,7 +521,12 @@ def merge_deltas(graph: Graph, part: DataFrame, name: str = "dckn", candidates:
     apart = b.edges.where("r <> s")
     both = apart.select(F.col("r").alias("mover"), F.col("s").alias("u"), F.col("e").alias("wo"), F.lit(0.0).alias("wi")).unionByName(apart.select(F.col("s").alias("mover"), F.col("r").alias("u"), F.lit(0.0).alias("wo"), F.col("e").alias("wi")))
     context = both.groupBy("mover", "u").agg(F.sum("wo").alias("wo"), F.sum("wi").alias("wi"))
-    targets = context.select("mover", F.col("u").alias("t")) if candidates == "near" else movers.select("mover").crossJoin(sized(b.stats.select(F.col("block").alias("t")), ROW))
+    if isinstance(candidates, DataFrame):
+        targets = candidates.select(F.col("block").alias("mover"), F.col("into").alias("t"))
+    elif candidates == "near":
+        targets = context.select("mover", F.col("u").alias("t"))
+    else:
+        targets = movers.select("mover").crossJoin(sized(b.stats.select(F.col("block").alias("t")), ROW))
 
     def by_degree(moves: DataFrame) -> DataFrame:
         counts = _degree_counts(b)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import partition as P
 from loomgraph.operators.graph import Graph
+from loomgraph.operators.moves import apart
 from loomgraph.operators.objectives import OBJECTIVES, TERMS, Blocks, node_deltas
 from loomgraph.session import frozen, sized
 
@@ -100,27 +101,6 @@ def chances(s: State, moves: DataFrame, epsilon: float = 0.1) -> DataFrame:
     return moves.join(sums, ["node", "r", "t"], "left").na.fill(1.0 / s.blocks, ["forth", "back"])
 
 
-def apart(s: State, moves: DataFrame, seed: int, dense: bool = False) -> DataFrame:
-    """Those of the moves(node, r, t) that are first in line, by a hash, on every pair of blocks that they touch; so no two touch one pair.
-
-    A move touches the pairs of r and of t with blocks that have edges with them or that the node has neighbours in, and each
-    with itself.  dense: an objective of pairs without edges couples all blocks, and one move is left.
-    """
-    line = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node")
-    if dense:
-        first = moves.agg(F.min(line).alias("first"))
-        return moves.join(F.broadcast(first), line == F.col("first")).drop("first")  # one row
-    own = moves.select("node", "r", "t", F.explode(F.array("r", "t")).alias("a"))
-    linked = own.join(sized(s.edges.select(F.col("r").alias("a"), F.col("s").alias("b")), ROW), "a").select("node", "a", "b")
-    brought = own.join(s.context.select("node", F.col("u").alias("b")), "node").select("node", "a", "b")
-    between = moves.select("node", F.col("r").alias("a"), F.col("t").alias("b"))
-    touched = linked.unionByName(brought).unionByName(between).unionByName(own.select("node", "a", F.col("a").alias("b")))
-    touched = frozen(touched.select("node", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "touched")
-    first = touched.groupBy("a", "b").agg(F.min(line).alias("first"))
-    late = touched.join(first, ["a", "b"]).where(line > F.col("first")).select("node").distinct()
-    return moves.join(late, "node", "left_anti")
-
-
 @dataclass(frozen=True)
 class Sampled:
     """The best partition that was seen and its value, the last one, how many moves were looked at and made."""
@@ -140,7 +120,7 @@ def metropolis_hastings(graph: Graph, part: DataFrame, name: str = "dckn", batch
     kept, looked_at, made = part, 0, 0
     for batch in range(batches):
         s, at = state_of(graph, part), seed + 1000 * batch
-        moves = frozen(apart(s, frozen(proposals(s, at, epsilon), "proposed"), at, TERMS[name](False).dense), "moves")
+        moves = frozen(apart(s.edges, s.context, frozen(proposals(s, at, epsilon), "proposed"), at, TERMS[name](False).dense), "moves")
         n = moves.count()
         looked_at += n
         if not n:

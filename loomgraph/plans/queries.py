@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import descent, factor, metrics, objectives, order, sampling, search, selection, starts
+from loomgraph.operators import descent, factor, metrics, moves, objectives, order, sampling, search, selection, starts
 from loomgraph.operators import partition as P
 from loomgraph.session import frozen
 from loomgraph.sources import adapters
@@ -404,11 +404,11 @@ x AS (SELECT src, dst, sum(weight) AS x FROM (SELECT src, dst, weight FROM e UNI
 
 def _register_order() -> None:
     """Ranks, running sums and the best prefix of line items by price, ship date and key; the value is what a quantity has above 25.5."""
-    by = (F.desc("price"), "l_shipdate", "l_orderkey", "l_linenumber")
+    by = ("price_down", "l_shipdate", "l_orderkey", "l_linenumber")
     columns, sql = ("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE - 25.5 AS v, row_number() OVER o - 1 AS idx, sum(l_quantity::DOUBLE - 25.5) OVER (o ROWS UNBOUNDED PRECEDING) AS running FROM lineitem WINDOW o AS (ORDER BY l_extendedprice DESC, l_shipdate, l_orderkey, l_linenumber)"
 
     def lines(spark, sf_dir):
-        return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns, "l_shipdate", F.col("l_extendedprice").alias("price"), (F.col("l_quantity").cast("double") - 25.5).alias("v"))
+        return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns, "l_shipdate", (-F.col("l_extendedprice")).alias("price_down"), (F.col("l_quantity").cast("double") - 25.5).alias("v"))
 
     _add("running_sum_lineitem", lambda s, d: order.running(lines(s, d), "v", *by).select(*columns, "idx", F.round("running", 4).alias("running")), f"SELECT l_orderkey, l_linenumber, idx, round(running, 4) AS running FROM ({sql})")
     top = f"WITH r AS ({sql}) SELECT l_orderkey, l_linenumber, idx, round(running, 4) AS running FROM r WHERE idx <= (SELECT min(idx) FROM r WHERE running = (SELECT max(running) FROM r)) AND (SELECT max(running) FROM r) > 0"
@@ -495,17 +495,17 @@ def _register_descent() -> None:
         z = frozen(linked.join(P.block_sizes(part), "block").select("node", F.col("block").alias("v"), (1 / F.sqrt("n")).alias("w")), "z")
         return x, z, descent.coupling(factor.s_matrix(x, z), z)
 
-    def moves(spark, sf_dir):
+    def proposed(spark, sf_dir):
         x, z, s = state(spark, sf_dir)
         return descent.proposals(x, z, s, z.where(F.col("node") < adapters.PART_BASE).select("node")), s
 
     def step(spark, sf_dir):
-        return moves(spark, sf_dir)[0].where("gain > 0.0001").select("node", F.col("nv").cast("int").alias("v"), F.round("nw", 6).alias("w"), F.round("gain", 4).alias("gain"))
+        return proposed(spark, sf_dir)[0].where("gain > 0.0001").select("node", F.col("nv").cast("int").alias("v"), F.round("nw", 6).alias("w"), F.round("gain", 4).alias("gain"))
 
     _add("frost_step_supply_und", step, views("supply_und") + _MATRIX + _STEP + "SELECT node, nv AS v, round(nw, 6) AS w, round(gain, 4) AS gain FROM mv WHERE gain > 0.0001")
 
     def joint(spark, sf_dir):
-        found, s = moves(spark, sf_dir)
+        found, s = proposed(spark, sf_dir)
         found = frozen(found.where("gain > 0.0001"), "moves")
         return found.agg(F.count("*").alias("movers"), F.round(F.lit(descent.joint_gain(found, s)), 3).alias("gain"))
 
@@ -572,5 +572,32 @@ JOIN (SELECT mv, u, k AS k2 FROM k_m) q ON q.mv = mv.mv AND q.u = cx.u LEFT JOIN
     _add("mh_batches_nation_und", sampled, None)
 
 
-for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent, _register_sampling):
+def _register_merging() -> None:
+    for name in ("dckn", "skn", "dcpu"):
+        def one_round(spark, sf_dir, name=name):
+            graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+            return moves.merge_round(graph, part, name).select("block", "into", F.round("delta", 4).alias("delta"))
+
+        inner = _moved_sql(name, "nation_und", *_MOVES["delta_merge"]).replace("round(delta, 4) + 0.0 AS delta FROM mv", "delta FROM mv")
+        at = inner.rindex("SELECT fb AS block")
+        pairs = f"""pm AS (SELECT least(block, "into") AS a, greatest(block, "into") AS b, max(delta) AS delta FROM ({inner[at:]}) GROUP BY ALL),
+en AS (SELECT a AS block, * FROM pm UNION ALL SELECT b, * FROM pm), bt AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY round(delta, 9) DESC, a, b) AS rn FROM en)
+SELECT b AS block, a AS "into", round(max(delta), 4) AS delta FROM bt WHERE rn = 1 GROUP BY a, b HAVING count(*) = 2"""
+        _add(f"merge_round_{name}_nation_und", one_round, f"{inner[:at].rstrip()},\n{pairs}")
+
+    def whole(spark, sf_dir):
+        graph, _ = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        return moves.agglomerate(graph, 5, "dckn")
+
+    _add("agglomerate_nation_und", whole, None)
+
+    def to_rest(spark, sf_dir):
+        graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        found = moves.em(graph, part, "dckn", steps=4)
+        return found.part.withColumn("value", F.lit(round(found.value, 4))).withColumn("status", F.lit(found.status))
+
+    _add("em_tables_nation_und", to_rest, None)
+
+
+for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent, _register_sampling, _register_merging):
     _register()

@@ -25,3 +25,12 @@ def test_entry_stands_alone(tmp_path):
     assert listed(copy) == left
     (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     assert listed(copy) == left and left[0] > 150 and not left[2]
+
+
+def test_entry_works_where_a_library_of_the_operators_is_missing(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for name in ("xxhash", "zstandard", "tokenizers", "public_tokenizers"):
+        (copy / f"{name}.py").write_text("raise ImportError('not installed')")
+    some = listed(copy)
+    assert some[0] > 150 and not some[2]

@@ -82,7 +82,7 @@ def test_moves_that_go_on_together_add_up(spark, name):
     part = frozen(spark.createDataFrame([(i, i // 3) for i in range(150)], "node long, block int"), "part")
     graph = Graph(spark.createDataFrame(rows, "src long, dst long, weight double"), False, part.select("node")).counted()
     s = sampling.state_of(graph, part)
-    moves = frozen(sampling.apart(s, frozen(sampling.proposals(s, 1), "proposed"), 1, sampling.TERMS[name](False).dense), "moves")
+    moves = frozen(sampling.apart(s.edges, s.context, frozen(sampling.proposals(s, 1), "proposed"), 1, sampling.TERMS[name](False).dense), "moves")
     chosen = moves.collect()
     assert len(chosen) == 1 if sampling.TERMS[name](False).dense else len(chosen) > 3
     deltas = sampling.node_deltas(graph, part, name, moves.select("node", F.col("t").alias("to_block")))
