@@ -1,20 +1,23 @@
 """Random graphs from block models.
 
-Edges are drawn per pair of nodes by a hash of the pair, so a graph is the same on every run.  Pairs are made by
-blocks of nodes against blocks of nodes within a task; only edges leave it.
+Draws follow from the seed and the place of a stretch of cells, so a graph is the same on every run and in whatever tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import Graph
-from loomgraph.session import ship
+from loomgraph.operators.order import numbered
+from loomgraph.session import frozen, ship
 
-CHUNK = 1024
+#: Hits that one row of work draws.
+STRETCH = 65536
 
 
 def equal_blocks(spark: SparkSession, n: int, blocks: int) -> DataFrame:
@@ -30,35 +33,74 @@ def degree_weights(nodes: DataFrame, low: float, high: float, exponent: float, s
     return nodes.withColumn("weight", power_law(u, low, high, exponent))
 
 
+def _cells(u: np.ndarray, n2: int, same: bool, loops: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) in two groups of the cells of these numbers: row by row, or of one group the pairs i < j (i <= j with loops)."""
+    if not same:
+        return u // n2, u % n2
+    half = 0 if loops else 1  # cell numbers of j begin at j (j - 1) / 2, or at j (j + 1) / 2
+    j = np.floor((np.sqrt(8.0 * u + 1) - 1) / 2).astype(np.int64)
+    j -= j * (j + 1) // 2 > u
+    j += (j + 1) * (j + 2) // 2 <= u
+    return u - j * (j + 1) // 2, j + half
+
+
+def _hits(random, chance: float, low: int, high: int) -> np.ndarray:
+    """Numbers from low to high - 1, each with the chance, by drawing the gaps between them."""
+    if chance >= 1:
+        return np.arange(low, high)
+    found, at = [], low - 1
+    while at < high:
+        mean = (high - at) * chance
+        steps = np.cumsum(random.geometric(chance, int(mean + 4 * mean**0.5) + 8)) + at
+        found.append(steps)
+        at = int(steps[-1])
+    every = np.concatenate(found) if found else np.empty(0, np.int64)
+    return every[every < high]
+
+
 def bernoulli(nodes: DataFrame, p: np.ndarray, seed: int, directed: bool = False, loops: bool = False) -> Graph:
-    """A graph of nodes(node, block[, weight]): an edge of i and j with probability min(1, p[block_i, block_j] w_i w_j)."""
+    """A graph of nodes(node, block[, weight]): an edge of i and j with probability min(1, p[block_i, block_j] w_i w_j).
+
+    Work grows with the edges, not with the pairs.  Nodes of a block with weights between two powers of 2 are a group.  The cells of two
+    groups are cut into stretches of about STRETCH hits; a task draws the gaps from hit to hit at the highest chance of the groups, and a hit stays with
+    its own chance over that one, a quarter at least unless it is cut at 1.
+    """
     spark = nodes.sparkSession
     ship(spark)
     own = nodes if "weight" in nodes.columns else nodes.withColumn("weight", F.lit(1.0))
-    own = own.select("node", "block", "weight", F.floor(F.col("node") / CHUNK).alias("chunk"))
-    chunks = own.select("chunk").distinct()
-    a = chunks.select(F.col("chunk").alias("i"))
-    b = chunks.select(F.col("chunk").alias("j"))
-    cells = a.join(b, F.lit(True) if directed else F.col("i") <= F.col("j"))
-    left = cells.withColumn("chunk", F.col("i")).join(own, "chunk").select("i", "j", "node", "block", "weight")
-    right = cells.withColumn("chunk", F.col("j")).join(own, "chunk").select(*(F.col(c).alias(f"{c}2") for c in ("i", "j", "node", "block", "weight")))
-
-    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        i, j = (int(k) for k in key)
-        if not len(x) or not len(y):
-            return pd.DataFrame({"src": [], "dst": [], "weight": []})
-        y = y.rename(columns=lambda c: c.removesuffix("2"))
-        x, y = x.sort_values("node"), y.sort_values("node")
-        random = np.random.default_rng([seed, i, j])
-        chance = np.minimum(1.0, p[np.ix_(x["block"], y["block"])] * np.outer(x["weight"], y["weight"]))
-        hit = random.random(chance.shape) < chance
-        u, v = x["node"].to_numpy()[:, None], y["node"].to_numpy()[None, :]
-        hit &= (u <= v if loops else u < v) if not directed else (np.ones_like(hit) if loops else u != v)
-        r, c = np.nonzero(hit)
-        return pd.DataFrame({"src": x["node"].to_numpy()[r], "dst": y["node"].to_numpy()[c], "weight": np.ones(len(r))})
-
-    edges = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(run, "src long, dst long, weight double")
-    return Graph(edges, directed, nodes.select("node"))
+    own = own.select("node", "block", F.col("weight").cast("double").alias("weight")).where("weight > 0").withColumn("level", F.floor(F.log2("weight")).cast("int"))
+    order = frozen(numbered(own, "block", "level", "node"), "members")
+    groups = order.groupBy("block", "level").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("weight").alias("top")).orderBy("first").collect()  # a few a block, as p is
+    pairs = []
+    for x, a in enumerate(groups):
+        for b in groups if directed else groups[x:]:
+            chance = min(1.0, float(p[a.block, b.block]) * a.top * b.top)
+            same = a is b and not directed
+            cells = a.n * (a.n + (1 if loops else -1)) // 2 if same else a.n * b.n
+            if chance > 0 and cells:
+                pairs.append((a.first, b.first, b.n, same, chance, float(p[a.block, b.block]), cells, math.ceil(STRETCH / chance)))
+    schema = "a long, b long, nb long, same boolean, chance double, p double, cells long, length long"
+    table = spark.createDataFrame(pairs, schema).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cells") - 1) / F.col("length")))).alias("part"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                random = np.random.default_rng([seed & 0x7FFFFFFF, r.a, r.b, r.part])
+                u = _hits(random, r.chance, r.part * r.length, min(r.cells, (r.part + 1) * r.length))
+                i, j = _cells(u, r.nb, r.same, loops)
+                yield pd.DataFrame({"i": r.a + i, "j": r.b + j, "share": r.p / r.chance})
+
+    hits = table.repartition(tasks, "a", "b", "part").mapInPandas(run, "i long, j long, share double")
+    end = lambda i, node, w: order.select(F.col("idx").alias(i), F.col("node").alias(node), F.col("weight").alias(w))
+    drawn = hits.join(end("i", "src", "wi"), "i").join(end("j", "dst", "wj"), "j")
+    u = (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    drawn = drawn.where(u < F.col("share") * F.col("wi") * F.col("wj"))
+    if directed and not loops:
+        drawn = drawn.where("src <> dst")
+    if not directed:
+        drawn = drawn.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return Graph(drawn.select("src", "dst", F.lit(1.0).alias("weight")), directed, nodes.select("node"))
 
 
 def fixed_counts(nodes: DataFrame, counts: np.ndarray, seed: int, directed: bool = False) -> Graph:
@@ -82,10 +124,10 @@ def fixed_counts(nodes: DataFrame, counts: np.ndarray, seed: int, directed: bool
     return Graph(drawn.select("src", "dst", F.lit(1.0).alias("weight")), directed, nodes.select("node"))
 
 
-def planted(spark: SparkSession, n: int, blocks: int, p_in: float, p_out: float, seed: int) -> tuple[Graph, DataFrame]:
+def planted(spark: SparkSession, n: int, blocks: int, p_in: float, p_out: float, seed: int, directed: bool = False) -> tuple[Graph, DataFrame]:
     """Equal blocks with constant chances within and between."""
     nodes = equal_blocks(spark, n, blocks)
-    return bernoulli(nodes, np.full((blocks, blocks), p_out) + np.eye(blocks) * (p_in - p_out), seed), nodes
+    return bernoulli(nodes, np.full((blocks, blocks), p_out) + np.eye(blocks) * (p_in - p_out), seed, directed), nodes
 
 
 def degree_corrected(spark: SparkSession, n: int, p: np.ndarray, degree: float, exponent: float, seed: int, noise: float = 0.0) -> tuple[Graph, DataFrame]:
@@ -101,9 +143,29 @@ def degree_corrected(spark: SparkSession, n: int, p: np.ndarray, degree: float,
     return graph, nodes.select("node", "block")
 
 
-#: Chances between blocks of the two benchmark series of planted partitions.
-P_OUT_SHORT = [k / 16 for k in range(17)]
-P_OUT_LONG = [k / 32 for k in range(33)]
+def girvan_newman(spark: SparkSession, seed: int = 0, most: int = 8, networks: int = 10, directed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Edges (graph_id, src, dst, weight) and blocks (graph_id, node, block, z_out, p_in, p_out) of the benchmark of four blocks of 32 nodes.
+
+    z_out, a node's expected edges to other blocks, goes from 0 to most (8, or 16 in the longer series) by halves; with all in all 16 edges a
+    node (directed: 4) that gives the chances within and between.  Every z_out has so many networks.
+    """
+    series = [chances(z / 2, directed) for z in range(2 * most + 1)]
+    edges, blocks = None, None
+    for k, (z, p_in, p_out) in enumerate(series):
+        for network in range(networks):
+            graph, part = planted(spark, 128, 4, p_in, p_out, seed + 1000 * k + network, directed)
+            name = F.lit(f"gn_{z:g}_{network}").alias("graph_id")
+            e, b = graph.edges.select(name, "src", "dst", "weight"), part.select(name, "node", "block", F.lit(z).alias("z_out"), F.lit(p_in).alias("p_in"), F.lit(p_out).alias("p_out"))
+            edges, blocks = (e, b) if edges is None else (edges.unionByName(e), blocks.unionByName(b))
+    return edges, blocks
+
+
+def chances(z: float, directed: bool = False) -> tuple[float, float, float]:
+    """(z, p_in, p_out) of the benchmark: 128 nodes, 6 pairs of blocks of 32 x 32 cells, 4 blocks of 32 x 33 / 2 pairs with loops (directed: 32 x 32 cells in all)."""
+    p_out = z * 128 / (2 * 6 * 32 * 32)
+    outer = p_out * 2 * 6 * 32 * 32
+    inner = (128 * 4 - outer) / (32 * 32) if directed else (128 * 16 - outer) / (4 * 32 * 33)
+    return z, min(1.0, max(0.0, inner)), p_out
 
 
 def _power_law_integers(random, size: int, low: float, high: int, exponent: float) -> np.ndarray:
