@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -60,11 +61,12 @@ def _stays(moves: DataFrame, sizes: DataFrame) -> DataFrame:
     return moves.join(emptied, "node", "left_anti")
 
 
-def em(graph: Graph, part: DataFrame, name: str = "dckn", steps: int = 200, candidates: str = "all", seed: int = 0) -> Search:
+def em(graph: Graph, part: DataFrame, name: str = "dckn", steps: int = 200, candidates: str | Callable[[DataFrame], DataFrame] = "all", seed: int = 0) -> Search:
     """Best moves of one state at once while that improves, else those of them that do not meet, until no single move does.
 
     A whole batch counts only if its value rises and its state, by a hash, is new: moves that undo each other would else go to and fro.  Otherwise the moves
     that are apart() are made, whose gains add up, so that the value rises at every step.  Nodes do not leave a block empty.
+    candidates: as in node_deltas(), or a function of the partition that gives the table of moves.
     """
     graph = graph.counted()
     both = graph.edges.select("src", "dst")
@@ -75,7 +77,7 @@ def em(graph: Graph, part: DataFrame, name: str = "dckn", steps: int = 200, cand
     for step in range(steps):
         sizes = P.block_sizes(part)
         alone = sizes.where("n = 1").select(F.col("block").alias("from_block"))
-        moves = frozen(best_moves(node_deltas(graph, part, name, candidates)).join(alone, "from_block", "left_anti"), "moves")
+        moves = frozen(best_moves(node_deltas(graph, part, name, candidates(part) if callable(candidates) else candidates)).join(alone, "from_block", "left_anti"), "moves")
         if moves.isEmpty():
             found.status = "done"
             break

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import descent, factor, metrics, moves, objectives, order, sampling, search, selection, starts
+from loomgraph.operators import descent, factor, hierarchy, metrics, moves, objectives, order, sampling, search, selection, spectral, starts
 from loomgraph.operators import partition as P
 from loomgraph.session import frozen
 from loomgraph.sources import adapters
@@ -599,5 +599,36 @@ SELECT b AS block, a AS "into", round(max(delta), 4) AS delta FROM bt WHERE rn =
     _add("em_tables_nation_und", to_rest, None)
 
 
-for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent, _register_sampling, _register_merging):
+def _register_hierarchy() -> None:
+    """Moves between regions of one parent, of which even and odd regions have one each."""
+    moves_sql, keys = _MOVES["delta"]
+    for name in ("dckn", "spc"):
+        def changes(spark, sf_dir, name=name):
+            graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+            above = part.select(F.col("block").alias("node"), (F.col("block") % 2).alias("block")).distinct()
+            found = objectives.node_deltas(graph, part, name, hierarchy.sibling_targets(part, above))
+            return found.withColumn("delta", F.round("delta", 4) + 0.0)
+
+        _add(f"delta_siblings_{name}_nation_und", changes, _moved_sql(name, "nation_und", moves_sql.replace("c.block <> p.block", "c.block <> p.block AND c.block % 2 = p.block % 2"), keys))
+
+    def nested(spark, sf_dir):
+        graph, part = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        found = hierarchy.search(graph, 5, "dcpu", part, most=3, steps=2)
+        rows = [level.select(F.lit(k).alias("level"), "node", F.col("block").cast("long").alias("block")) for k, level in enumerate(found.levels)]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
+        return out.withColumn("value", F.lit(round(found.value, 4)))
+
+    _add("hierarchy_nation_und", nested, None)
+
+    def by_space(spark, sf_dir, normalised):
+        graph, _ = adapters.GRAPHS["nation_und"](spark, sf_dir)
+        return spectral.spectral(graph.adj_matrix(), 5, 1, normalised)
+
+    for kind in ("spectral", "spectral_norm"):
+        _add(f"{kind}_tables_nation_und", lambda s, d, n=kind.endswith("norm"): by_space(s, d, n), None)
+
+
+for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent, _register_sampling, _register_merging, _register_hierarchy):
     _register()
