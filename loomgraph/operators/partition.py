@@ -52,6 +52,16 @@ def move_context(graph: Graph, part: DataFrame) -> DataFrame:
     return out.unionByName(into).join(to, "other").groupBy("node", "block").agg(F.sum("k_out").alias("k_out"), F.sum("k_in").alias("k_in"))
 
 
+def edge_means(graph: Graph, part: DataFrame) -> DataFrame:
+    """(src, dst, weight, mean): each edge of an undirected graph with what the degree-corrected model of its blocks expects: d_src d_dst e_rs / (k_r k_s)."""
+    edges = block_edges(graph, part)
+    k = block_stats(graph, part, edges).select("block", "k_out")
+    d = graph.degrees()
+    at = lambda a, b: part.join(d, "node").join(k, "block").select(F.col("node").alias(a), F.col("block").alias(b), (F.col("degree") / F.col("k_out")).alias(f"share_{a}"))
+    rows = graph.edges.select("src", "dst", "weight").join(at("src", "r"), "src").join(at("dst", "s"), "dst").join(edges, ["r", "s"])
+    return rows.select("src", "dst", "weight", (F.col("share_src") * F.col("share_dst") * F.col("e")).alias("mean"))
+
+
 def self_loops(graph: Graph) -> DataFrame:
     """(node, loops)."""
     return graph.edges.where("src = dst").groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("loops"))

@@ -38,8 +38,8 @@ def run(edges: DataFrame, grid: DataFrame, directed: bool, store: str, seed: int
     return spark.read.parquet(store)
 
 
-def check_compatible(stored: DataFrame, edges: DataFrame, old_edges: DataFrame) -> None:
-    """Raise if stored results have unknown methods or objectives, or their graphs' edges differ."""
+def check_compatible(stored: DataFrame, edges: DataFrame, old_edges: DataFrame, grid: DataFrame | None = None) -> None:
+    """Raise if stored results have unknown methods or objectives, or their graphs' edges differ, or if they were run for other numbers of blocks or of trials than the grid's."""
     known = {*search.METHODS, *search.WHOLE}
     for r in stored.select("method", "objective").distinct().collect():
         if r.method not in known or (r.objective not in APPLICABLE):
@@ -47,6 +47,21 @@ def check_compatible(stored: DataFrame, edges: DataFrame, old_edges: DataFrame)
     own, old = edges.select("graph_id", "src", "dst", "weight"), old_edges.select("graph_id", "src", "dst", "weight")
     if own.exceptAll(old).take(1) or old.exceptAll(own).take(1):
         raise ValueError("the graphs of the stored results differ")
+    if grid is not None:
+        each = lambda df: df.groupBy("method", "objective").agg(F.sort_array(F.collect_set("blocks")).alias("blocks"), F.countDistinct("trial").alias("trials"))
+        both = each(stored).join(each(grid), ["method", "objective"]).toDF("method", "objective", "blocks", "trials", "new_blocks", "new_trials")
+        for r in both.where("blocks <> new_blocks or trials <> new_trials").limit(1).collect():
+            raise ValueError(f"stored results of {r.method}, {r.objective} have blocks {r.blocks} and {r.trials} trials; the grid has {r.new_blocks} and {r.new_trials}")
+
+
+def with_one_block(runs: DataFrame, edges: DataFrame, directed: bool) -> DataFrame:
+    """runs and, for every graph, method and objective without one, the result of a single block: what a choice of the number of blocks compares with."""
+    cells = runs.groupBy("graph_id", "method", "objective").agg(F.min("blocks").alias("least")).where("least > 1").drop("least")
+    objectives = [r.objective for r in cells.select("objective").distinct().collect()]
+    if not objectives:
+        return runs
+    one = search.search(edges, search.grid_of(edges.sparkSession, ["ma"], objectives, [1], 1), directed).drop("method")
+    return runs.unionByName(one.join(cells, ["graph_id", "objective"]).select(*runs.columns))
 
 
 def scored(runs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -67,8 +82,11 @@ def report(scores: DataFrame) -> DataFrame:
     return metrics.summary(scores, ["method"], ["nmi", "ami", "armi", "seconds"])
 
 
-def sweep(spark, build, settings: list, methods: list[str], blocks: int, graphs: int, seed: int = 0) -> DataFrame:
-    """scored() rows of methods over graphs build(setting, seed) -> (Graph, partition), with the setting."""
+def sweep(spark, build, settings: list, methods: list[str], blocks: int, graphs: int, seed: int = 0, start: str = "random") -> DataFrame:
+    """scored() rows of methods over graphs build(setting, seed) -> (Graph, partition), with the setting.
+
+    start: as in search(), or truth, from the partition that was built.
+    """
     edges, truth, index = None, None, []
     for k, setting in enumerate(settings):
         for g in range(graphs):
@@ -80,5 +98,6 @@ def sweep(spark, build, settings: list, methods: list[str], blocks: int, graphs:
             edges, truth = (e, t) if edges is None else (edges.unionByName(e), truth.unionByName(t))
             index.append((f"{k}-{g}", float(setting) if np.isscalar(setting) else float(k)))
     grid = search.grid_of(spark, methods, ["dckn"], [blocks], 1)
-    rows = scored(search.search(edges, grid, False, seed), truth)
+    given = truth if start == "truth" else None
+    rows = scored(search.search(edges, grid, False, seed, "random" if given is not None else start, given=given), truth)
     return rows.join(F.broadcast(spark.createDataFrame(index, "graph_id string, setting double")), "graph_id")

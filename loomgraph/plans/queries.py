@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions import special
 from loomgraph.operators import descent, factor, hierarchy, metrics, moves, objectives, order, sampling, search, selection, spectral, starts
 from loomgraph.operators import partition as P
 from loomgraph.session import frozen
@@ -630,5 +631,23 @@ def _register_hierarchy() -> None:
         _add(f"{kind}_tables_nation_und", lambda s, d, n=kind.endswith("norm"): by_space(s, d, n), None)
 
 
-for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent, _register_sampling, _register_merging, _register_hierarchy):
+def _register_chances() -> None:
+    def chances(spark, sf_dir):
+        graph, part = adapters.GRAPHS["supply_und"](spark, sf_dir)
+        rows = P.edge_means(graph.counted(), part)
+        p = F.least("mean", F.lit(1.0))
+        return rows.select("src", "dst", F.round("mean", 6).alias("mean"), *[F.round(special.poisson_pmf(F.lit(k), F.col("mean")), 6).alias(f"poisson_{k}") for k in (0, 1, 2)], F.round(special.bernoulli_pmf(F.lit(1), p), 6).alias("bernoulli_1"))
+
+    pmf = ", ".join(f"round(exp({k} * ln(mean) - mean - lgamma({k} + 1.0)), 6) AS poisson_{k}" for k in (0, 1, 2))
+    _add(
+        "edge_chances_supply_und",
+        chances,
+        views("supply_und")
+        + f""", dg AS (SELECT src AS node, sum(weight) AS d FROM adj GROUP BY src), sh AS (SELECT node, block, d / ko AS share FROM dg JOIN part_ USING (node) JOIN bs USING (block)),
+m AS (SELECT e.src, e.dst, a.share * b.share * be.e AS mean FROM e JOIN sh a ON a.node = e.src JOIN sh b ON b.node = e.dst JOIN be ON be.r = a.block AND be.s = b.block)
+SELECT src, dst, round(mean, 6) AS mean, {pmf}, round(least(mean, 1), 6) AS bernoulli_1 FROM m""",
+    )
+
+
+for _register in (_register_objectives, _register_views, _register_selection, _register_metrics, _register_moves, _register_factor, _register_searches, _register_more_searches, _register_order, _register_starts, _register_descent, _register_sampling, _register_merging, _register_hierarchy, _register_chances):
     _register()
