@@ -12,6 +12,7 @@ HEADLINE = [
     "modularity_supply_und", "mdl_corrected_supply_und", "nmi_sqrt_customers", "delta_dckn_nation_und", "s_matrix_supply_und", "orth_assign_supply_und", "search_kl_em_nation_und", "search_frost_nation_und",
     "ami_arithmetic_customers", "delta_dcpu_nation_und",
     "op1_sharding", "op2_bpe", "op3_token_counts", "op4_packing", "op5_warc", "op6_neighbours", "op7_topk", "op8_quality", "op9_simhash", "op10_toxicity",
+    "op11_lexical", "op12_secrets", "op13_tries", "running_sum_lineitem", "svca_supply_und", "frost_step_supply_und", "weighted_draw_supply_und", "merge_round_dckn_nation_und", "edge_chances_supply_und",
 ]
 
 
