@@ -21,9 +21,7 @@ class Sparse:
             raise ValueError("the matrix has a zero row: leave isolated nodes out first")
 
     def times(self, m: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, m.shape[1]) if m.ndim > 1 else self.n)
-        np.add.at(out, self.i, self.x[:, None] * m[self.j] if m.ndim > 1 else self.x * m[self.j])
-        return out
+        return np.add.reduceat(self.x[:, None] * m[self.j] if m.ndim > 1 else self.x * m[self.j], self.starts[:-1], axis=0)  # no row is empty
 
     def norm(self) -> float:
         return float(np.sqrt((self.x**2).sum()))
