@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import descent, factor, metrics
-from tests.test_starts import symmetric, table
+from test_starts import symmetric, table
 
 
 def error2(a, z, s):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from loomgraph.operators import metrics, spectral
-from tests.test_starts import symmetric, table
+from test_starts import symmetric, table
 
 
 def labels_of(part, n):
