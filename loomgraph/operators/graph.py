@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _both_ways() -> tuple[Column, Column]:
+    """An edge as it is, and turned round."""
+    return F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
 @dataclass(frozen=True)
 class Graph:
     """A graph.  edges: one row per edge (undirected: in either direction), parallel edges add up; nodes: column node, or null for the ends of edges."""
@@ -24,14 +29,13 @@ class Graph:
 
     def adj_count(self) -> DataFrame:
         """(src, dst, weight) as counted for blocks: undirected edges in both directions, a self-loop twice."""
-        own = self.edges.select("src", "dst", "weight")
-        return own if self.directed else own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        return self.edges.select("src", "dst", "weight") if self.directed else self.edges.select(F.inline(F.array(*_both_ways())))  # the edges are read once
 
     def adj_matrix(self) -> DataFrame:
         """(src, dst, weight) as a symmetric matrix: a self-loop once."""
-        own = self.edges.select("src", "dst", "weight")
-        back = own.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-        return own.unionByName(back).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+        there, back = _both_ways()
+        own = self.edges.select(F.inline(F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back))))
+        return own.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
     def multiplicities(self) -> DataFrame:
         """(i, j, a): edges between two nodes, undirected pairs once."""
@@ -56,7 +60,9 @@ class Graph:
 
     def in_out_degrees(self) -> DataFrame:
         """(node, din, dout)."""
-        ends = self.adj_count().select(F.col("src").alias("node"), F.lit(0.0).alias("i"), F.col("weight").alias("o")).unionByName(self.adj_count().select(F.col("dst").alias("node"), F.col("weight").alias("i"), F.lit(0.0).alias("o")))
+        out = F.struct(F.col("src").alias("node"), F.lit(0.0).alias("i"), F.col("weight").cast("double").alias("o"))
+        into = F.struct(F.col("dst").alias("node"), F.col("weight").cast("double").alias("i"), F.lit(0.0).alias("o"))
+        ends = self.adj_count().select(F.inline(F.array(out, into)))
         seen = ends.groupBy("node").agg(F.sum("i").alias("din"), F.sum("o").alias("dout"))
         return self.nodes.join(seen, "node", "left").select("node", F.coalesce("din", F.lit(0.0)).alias("din"), F.coalesce("dout", F.lit(0.0)).alias("dout"))
 
