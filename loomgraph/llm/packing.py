@@ -1,8 +1,8 @@
 """Packing documents into sequences: first-fit decreasing with a tournament tree, in randomised groups.
 
 A document's ids (with the id that ends it) are cut into pieces of the sequence length; full pieces are
-sequences of their own.  The rest is dealt at random into groups of about GROUP pieces, and each
-group is packed by itself: pieces in decreasing length go to the first open sequence with room for
+sequences of their own.  Pieces are dealt at random into groups of about GROUP, as many as the written table of
+pieces asks for however long its documents are, and each group is packed by itself: pieces in decreasing length go to the first open sequence with room for
 them, found by walking down a tournament tree whose nodes hold the largest room below them.  Padding is what
 stays free in a group's sequences, mostly in its last one: a few thousandths.
 
@@ -72,7 +72,6 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids also the ids."""
     key = docs.schema[id_col].dataType.simpleString()
-    n_groups = max(1, -(-docs.count() // group))
     end = np.array([end_id], dtype="<u4").tobytes()
     fields = PIECE.format(key=key).replace("doc_id", "id", 1) + (", ids array<int>" if with_ids else "")
 
@@ -85,17 +84,17 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
             for start in range(0, total, length):
                 part = p[4 * start : 4 * (start + length)]
                 n = len(part) // 4
-                for column, value in zip(out, (i, start, n, zlib.crc32(part), total, next(draw) % n_groups, np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None)):
+                for column, value in zip(out, (i, start, n, zlib.crc32(part), total, next(draw), np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None)):
                     column.append(value)
         arrays = [pa.array(out[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in out[1:6])]
-        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "bucket"]
+        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "draw"]
         if with_ids:
             arrays.append(pa.array(out[6], pa.list_(pa.int32())))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(arrays, names)
 
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    pieces = bpe.encode_and(source, tokenizer_path, cut, PIECE.format(key=key).replace("doc_id", "id", 1) + ", bucket long" + (", ids array<int>" if with_ids else ""), "id")
+    pieces = bpe.encode_and(source, tokenizer_path, cut, PIECE.format(key=key).replace("doc_id", "id", 1) + ", draw long" + (", ids array<int>" if with_ids else ""), "id")
 
     def pack_group(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -103,8 +102,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
         where, offset = first_fit_decreasing(n, length)
         return rows.drop_columns(["bucket"]).append_column("sequence_id", pa.array((bucket << 32) + where, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    # the groups are drawn once: a task that runs again after this reads the same table
-    packed = common.cut(pieces, "pieces").groupBy("bucket").applyInArrow(pack_group, f"{fields}, sequence_id long, offset long")
+    # the draws are made once: a task that runs again after this reads the same table
+    drawn = common.cut(pieces, "pieces")
+    dealt = drawn.withColumn("bucket", F.pmod("draw", F.lit(max(1, -(-drawn.count() // group))))).drop("draw")
+    packed = dealt.groupBy("bucket").applyInArrow(pack_group, f"{fields}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)
 
 

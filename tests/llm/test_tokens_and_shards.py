@@ -92,6 +92,14 @@ def test_packing(spark):
         assert at <= 4096
 
 
+def test_groups_follow_the_pieces_not_the_documents(spark):
+    docs = frame(spark, ["long words and 12 numbers. " * 5000, None, "short"])
+    rows = packing.pack(docs, WORD, 16, group=64).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) > 1500 and len(sizes) == -(-len(rows) // 64)
+    assert max(sizes.values()) < 128
+
+
 def test_first_fit_is_first_fit():
     random = np.random.default_rng(1)
     lengths = random.integers(1, 100, 500)
