@@ -9,16 +9,22 @@ sums on (language, order, context) give the probability of every seen n-gram and
 Scoring is a sharded count join as well.  Documents are dealt to shards of about SHARD characters by a hash;
 a shard asks for each of its distinct n-grams once.  Distinct n-grams of all shards are joined to the model, order
 by order, and the answers go back to the shards that asked, where every document's bits are summed.  Nothing of the
-model passes through the driver or is broadcast whole unless Spark finds that it is small.
+model passes through the driver.  The two lowest orders, whose joins have few and frequent keys, are broadcast where
+their counted size allows it; the others are shuffled on keys of three and more symbols.
+
+A language's model is interpolated with that of all languages together: with r trusted rows of its own, its
+probabilities weigh r / (r + FEW), the pooled ones the rest; so does its threshold with h held-out rows.  No
+number of rows switches from one to the other.
 
 A share of the trusted rows, drawn by a hash of the id, is left out of the counts.  A text's measure is the bits
-per symbol less SLACK deviations of their mean, so that short texts, which say little, are not judged by chance; the
+per symbol less SLACK / sqrt(symbols), so that short texts, which say little, are not judged by chance; the
 threshold is the given quantile of the held-out rows' measures, by language.
 
 Rules: null and empty texts have one symbol (the end) and are kept; null languages form a language of their
-own; a language with fewer than FEW trusted rows uses the model and threshold of all languages together; without
+own; a language without trusted rows uses the model and threshold of all languages together; without
 trusted rows everything is kept; a row labelled more than once is trusted if all its labels are 1; repeated
-ids are judged row by row, rows without an id like any others; other columns are ignored; an empty table gives no rows.
+ids are judged row by row, rows without an id like any others, dealt by their place and not by their key; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,16 +41,18 @@ from loomgraph.llm import common
 
 #: Units of an n-gram, bits of a unit, and the number of symbols that are possible.
 ORDER, UNIT, SYMBOLS = 4, 16, 1 << 16
-#: Trusted rows that a language needs for a model and a threshold of its own.
+#: Trusted rows of a language at which its own counts and the pooled ones weigh the same.
 FEW = 25
 #: The quantile of held-out trusted rows, and one in how many is held out.
-QUANTILE, FOLDS = 0.995, 5
+QUANTILE, FOLDS = 0.99, 5
 #: Slack of a text of n symbols, as SLACK / sqrt(n) bits: about two and a half deviations of a symbol's bits, which vary by 2.5.
 SLACK = 6.0
 #: Slack of a text without characters: more bits than a symbol can have.
 NO_TEXT = 64.0
 #: The name of the model of all languages together.
 ALL = "*"
+#: Orders of the model that are broadcast where they are small: their keys are one or two symbols, so few.
+LOW = 2
 #: Characters of a shard, about, and symbols that a task holds before it counts them.
 SHARD, PENDING = 32 << 20, 4 << 20
 
@@ -136,10 +144,13 @@ def smoothed(highest: DataFrame) -> tuple[dict[int, DataFrame], DataFrame]:
 
 
 class Model:
-    """The tables of all languages' models, in the shared folder: probabilities by order, context weights, and the languages that have a model."""
+    """The tables of all languages' models, in the shared folder: probabilities by order, context weights, and (lang, docs) of the languages that have a model."""
 
-    def __init__(self, tables: dict[int, DataFrame], weights: DataFrame, langs: DataFrame):
-        self.tables, self.weights, self.langs = tables, weights, langs
+    def __init__(self, tables: dict[int, DataFrame], weights: DataFrame, langs: DataFrame | None):
+        self.langs = langs
+        self.tables = {n: common.maybe_broadcast(t, 48) if n <= LOW else t for n, t in tables.items()}
+        by_order = {n: weights.where(F.col("n") == n).select("lang", "context", "weight") for n in tables}
+        self.weights = {n: common.maybe_broadcast(w, 48) if n <= LOW else w for n, w in by_order.items()}
 
     def probabilities(self, asked: DataFrame) -> DataFrame:
         """(lang, gram, p) of distinct rows (lang, gram): seen n-grams by their own, others by the order below, weighted."""
@@ -147,12 +158,19 @@ class Model:
         for n in range(ORDER, 0, -1):
             rows = rows.withColumn("key", below(F.col("gram"), n)).withColumn("context", context(F.col("key")))
             seen = self.tables[n].select("lang", F.col("gram").alias("key"), F.col("p").alias("own"))
-            weight = self.weights.where(F.col("n") == n).select("lang", "context", "weight")
-            rows = rows.join(seen, ["lang", "key"], "left").join(weight, ["lang", "context"], "left")
+            rows = rows.join(seen, ["lang", "key"], "left").join(self.weights[n], ["lang", "context"], "left")
             done = F.coalesce("p", F.col("left") * F.col("own"))
             rows = rows.select("lang", "gram", F.when(done.isNull(), F.col("left") * F.coalesce("weight", F.lit(1.0))).otherwise(F.col("left")).alias("left"), done.alias("p"))
         return rows.select("lang", "gram", F.coalesce("p", F.col("left") / SYMBOLS).alias("p"))
 
+    def interpolated(self, asked: DataFrame) -> DataFrame:
+        """(lang, gram, p) of distinct rows (lang, gram): a language's own model and the pooled one, weighted by its trusted rows."""
+        own = self.probabilities(asked.where(F.col("lang") != ALL)).select("lang", "gram", F.col("p").alias("own"))
+        pooled = self.probabilities(asked.select(F.lit(ALL).alias("lang"), "gram").distinct()).select("gram", F.col("p").alias("pooled"))
+        share = common.maybe_broadcast(self.langs.select("lang", (F.col("docs") / (F.col("docs") + FEW)).alias("share")), 32)
+        rows = asked.join(own, ["lang", "gram"], "left").join(pooled, "gram").join(share, "lang", "left")
+        return rows.select("lang", "gram", F.coalesce(F.col("share") * F.col("own") + (1 - F.col("share")) * F.col("pooled"), "pooled").alias("p"))
+
 
 def trusted(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """(__id, held) of the trusted ids; held: left out of the counts."""
@@ -170,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(docs[id_col].alias("__own"), language(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     grams = common.cut(counts(rows.join(common.maybe_broadcast(ids, 16), F.col("__own") == F.col("__id")).select("lang", "text")), "counts")
     ends = grams.where(below(F.col("gram"), 1) == 0).groupBy("lang").agg(F.sum("c").alias("docs"))
-    langs = common.cut(ends.where((F.col("docs") >= FEW) & (F.col("lang") != ALL)).select("lang"), "languages")
+    langs = common.cut(ends.where(F.col("lang") != ALL), "languages")
     pooled = grams.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(ALL).alias("lang"), "gram", "c")
-    tables, weights = smoothed(grams.join(common.maybe_broadcast(langs, 16), "lang", "left_semi").unionByName(pooled))
+    tables, weights = smoothed(grams.where(F.col("lang") != ALL).unionByName(pooled))
     return Model(tables, weights, langs) if weights.take(1) else None
 
 
@@ -245,16 +263,16 @@ def entropies(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_co
     """(id, t, lang, bits, slack) of every whole text; lang: the language whose model it was, t: a hash of the text and the language given."""
     spark = docs.sparkSession
     text, lang = F.col(text_col).cast("string"), language(lang_col)
-    rows = docs.select(docs[id_col].alias("id"), row_hash(docs, text_col, lang_col).alias("t"), lang.alias("own"), text.alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), row_hash(docs, text_col, lang_col).alias("t"), lang.alias("own"), text.alias("text"), F.when(docs[id_col].isNull(), F.monotonically_increasing_id()).alias("place"))
     named_langs = common.maybe_broadcast(model.langs.select(F.col("lang").alias("own"), F.col("lang").alias("model")), 32)
     shards = max(1, -(-(docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD))
-    named = rows.join(named_langs, "own", "left").select(F.pmod(F.xxhash64("id", "t"), F.lit(shards)).cast("int").alias("shard"), "id", "t", F.coalesce("model", F.lit(ALL)).alias("lang"), "text")
+    named = rows.join(named_langs, "own", "left").select(F.pmod(F.xxhash64("id", "t", "place"), F.lit(shards)).cast("int").alias("shard"), "id", "t", F.coalesce("model", F.lit(ALL)).alias("lang"), "text")
     key = docs.schema[id_col].dataType.simpleString()
     squeezed = common.map_rows(named, _squeezed, f"shard int, id {key}, t long, lang string, z binary")
     # both readers of the shards find one exchange of the texts
     dealt = squeezed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
     asked = common.map_rows(dealt, _asked, "shard int, lang string, gram long")
-    known = model.probabilities(asked.select("lang", "gram").distinct()).select("lang", "gram", (-F.log2("p")).cast("float").alias("b"))
+    known = model.interpolated(asked.select("lang", "gram").distinct()).select("lang", "gram", (-F.log2("p")).cast("float").alias("b"))
     answers = asked.join(known, ["lang", "gram"]).select("shard", "lang", "gram", "b")
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
@@ -274,11 +292,15 @@ def row_hash(docs: DataFrame, text_col: str, lang_col: str) -> Column:
 
 
 def thresholds(scored: DataFrame, held: DataFrame, quantile: float) -> DataFrame:
-    """(lang, threshold): the quantile of held-out rows' bits less slack, to a thousandth; pooled as well as by language."""
+    """(lang, threshold): the quantile of held-out rows' bits less slack, to a thousandth, pooled and by language; a language's is interpolated with the pooled one by its held-out rows."""
     own = scored.join(common.maybe_broadcast(held, 16), scored.id == held["__id"]).select("lang", F.ceil((F.col("bits") - F.col("slack")) * 1000).cast("long").alias("b"))
     each = own.groupBy("lang", "b").agg(F.count("*").alias("n"))
     pooled = each.groupBy("b").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "b", "n")
-    return each.where(F.col("lang") != ALL).unionByName(pooled).groupBy("lang").agg((F.percentile("b", quantile, F.col("n")) / 1000).alias("threshold"))
+    cuts = each.where(F.col("lang") != ALL).unionByName(pooled).groupBy("lang").agg((F.percentile("b", quantile, F.col("n")) / 1000).alias("own"), F.sum("n").alias("rows"))
+    cuts = common.cut(cuts, "thresholds")
+    every = cuts.where(F.col("lang") == ALL).first()
+    share = F.when(F.col("lang") == ALL, F.lit(1.0)).otherwise(F.col("rows") / (F.col("rows") + FEW))
+    return cuts.select("lang", (share * F.col("own") + (1 - share) * F.lit(every.own if every else None).cast("double")).alias("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
@@ -288,7 +310,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
         return docs.select(docs[id_col].alias("id"), row_hash(docs, text_col, lang_col).alias("t"), F.lit(ALL).alias("model"), F.lit(1.0).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     scored = common.cut(entropies(docs, model, id_col, text_col, lang_col), "entropies")
     held = trusted(docs, labels, id_col, label_col).where("held").select("__id")
-    limits = common.cut(thresholds(scored, held, quantile), "thresholds")
+    limits = thresholds(scored, held, quantile)
     pooled = limits.where(F.col("lang") == ALL).first()
     rows = scored.join(common.maybe_broadcast(limits.where(F.col("lang") != ALL), 32), "lang", "left")
     limit = F.coalesce(F.col("threshold"), F.lit(pooled.threshold if pooled else None).cast("double")) + F.col("slack")

@@ -11,7 +11,7 @@ def symbols(text):
 
 
 def brute_model(texts):
-    """Log2 probability of an n-gram under interpolated modified Kneser-Ney, written out from the formulas."""
+    """Probability of an n-gram under interpolated modified Kneser-Ney, written out from the formulas."""
     S, N = quality.SYMBOLS, quality.ORDER
     counts = {N: Counter()}
     for t in texts:
@@ -42,12 +42,13 @@ def brute_model(texts):
         total = sums[gram[:-1], n]
         return max(c - discounts[n][min(c, 3)], 0) / total + left[gram[:-1], n] / total * lower
 
-    def bits(t):
-        s = [0] * (N - 1) + symbols(t) + [0]
-        grams = [tuple(s[i : i + N]) for i in range(len(s) - N + 1)]
-        return -sum(math.log2(p(g)) for g in grams) / len(grams)
+    return p
+
 
-    return bits
+def brute_bits(t, p):
+    s = [0] * (quality.ORDER - 1) + symbols(t) + [0]
+    grams = Counter(tuple(s[i : i + quality.ORDER]) for i in range(len(s) - quality.ORDER + 1))
+    return -sum(n * math.log2(p(g)) for g, n in grams.items()) / sum(grams.values())
 
 
 def test_model_is_brute_force_s(spark):
@@ -62,15 +63,26 @@ def test_model_is_brute_force_s(spark):
     assert 10 < len(held) < 60
     got = {r.id: r for r in quality.classify(docs, labels).collect()}
     assert len(got) == len(texts)
+    learnt = {lang: [t for i, t in enumerate(texts) if i % 2 == lang and i < 280 and i not in held] for lang in (0, 1)}
+    pooled = brute_model(learnt[0] + learnt[1])
+
+    def measures(lang=None):
+        return [math.ceil((math.log2(got[i].perplexity) - quality.SLACK / math.sqrt(1 + len(texts[i]))) * 1000) for i in held if lang is None or i % 2 == lang]
+
     for lang, name in ((1, "en"), (0, "und")):
-        bits = brute_model([t for i, t in enumerate(texts) if i % 2 == lang and i < 280 and i not in held])
+        alone, share = brute_model(learnt[lang]), len(learnt[lang]) / (len(learnt[lang]) + quality.FEW)
+
+        def mixed(gram, alone=alone, share=share):
+            return share * alone(gram) + (1 - share) * pooled(gram)
+
         for i, t in enumerate(texts):
             if i % 2 == lang:
                 assert got[i].model == name
-                assert math.isclose(math.log2(got[i].perplexity), bits(t or ""), rel_tol=1e-4, abs_tol=1e-4), (i, t)
+                assert math.isclose(math.log2(got[i].perplexity), brute_bits(t or "", mixed), rel_tol=1e-4, abs_tol=1e-4), (i, t)
                 assert got[i].kept == (got[i].perplexity <= got[i].threshold)
-        own = [math.ceil((math.log2(got[i].perplexity) - quality.SLACK / math.sqrt(1 + len(texts[i]))) * 1000) for i in held if i % 2 == lang]
-        want = np.percentile(own, 100 * quality.QUANTILE) / 1000
+        own = measures(lang)
+        share = len(own) / (len(own) + quality.FEW)
+        want = (share * np.percentile(own, 100 * quality.QUANTILE) + (1 - share) * np.percentile(measures(), 100 * quality.QUANTILE)) / 1000
         i = 3 if lang else 2
         assert math.isclose(math.log2(got[i].threshold), want + quality.SLACK / math.sqrt(1 + len(texts[i])), abs_tol=2e-3)
     kept = {i for i in got if got[i].kept}
@@ -79,6 +91,22 @@ def test_model_is_brute_force_s(spark):
     assert rest == kept
 
 
+def test_a_language_with_few_rows_leans_on_all(spark):
+    """One trusted row of its own counts for 1 / (1 + FEW); a language without any is judged by the pooled model."""
+    rows = [(i, f"the river and stone {i}", "en") for i in range(60)] + [(100, "le fleuve", "fr"), (101, "the river", "fr"), (102, "the river", "xx"), *((None, "", "fr") for _ in range(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(100, 1)], "doc_id long, quality int")
+    held = {r["__id"] for r in quality.trusted(docs, labels, "doc_id", "quality").where("held").collect()}
+    assert 100 not in held
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows) and sum(r.id is None and r.kept for r in got) == 50
+    of = {r.id: r for r in got if r.id is not None}
+    french, pooled = brute_model(["le fleuve"]), brute_model([t for i, t, _ in rows if i is not None and i <= 100 and i not in held])
+    want = brute_bits("the river", lambda g: (french(g) + quality.FEW * pooled(g)) / (1 + quality.FEW))
+    assert math.isclose(math.log2(of[101].perplexity), want, rel_tol=1e-4) and of[101].model == "fr"
+    assert math.isclose(math.log2(of[102].perplexity), brute_bits("the river", pooled), rel_tol=1e-4) and of[102].model == quality.ALL
+
+
 def test_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([("en", t) for t in ("abab", "abba", "日本", "a" * 40)], "lang string, text string")
     tables, weights = quality.smoothed(quality.counts(texts))
