@@ -31,8 +31,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles alike to 0.8 or more): the one with the smallest id."""
-    return simhash.survivors(simhash.similar(docs), docs)
+    """One document of each group of near-duplicates (fingerprints as near as op9_simhash links them, or five-word shingles alike to 0.8 or more): the one with the smallest id."""
+    return simhash.survivors(simhash.duplicates(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ Texts with equal fingerprints are one node, so groups of copies cost no pairs.
 fingerprints share is read off its minimum and maximum; where more meet, the members are compared in
 blocks within the task and only the links of a spanning forest leave it.
 
+classes() are those of the links; duplicates() adds the links of texts whose shingles are alike, however far apart their
+fingerprints are.
+
 Rules: null counts as empty; a text without words has fingerprint zero and links like any other; fewer
 words than a shingle: the whole sequence is the one shingle; only A-Z are lower-cased; repeated ids keep a row
 each; other columns are ignored; an empty table gives no rows.
@@ -197,9 +200,14 @@ def links(fps: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, fp, component, root): the component is the smallest id that links reach, root a number that no other class has.  Null ids count as the largest."""
-    own = common.cut(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    return _classes(common.cut(fingerprints(docs, words, id_col, text_col), "fingerprints"))
+
+
+def _classes(own: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """classes() of rows (id, t, fp); more: further links (a, b) between their fingerprints."""
     copies = common.cut(own.groupBy("fp").agg(F.min("id").alias("first")), "copies")
-    roots = common.cut(components(links(copies.select("fp"))), "roots")
+    near = links(copies.select("fp"))
+    roots = common.cut(components(near if more is None else near.unionByName(more)), "roots")
     named = roots.join(copies, roots.node == copies.fp).select("root", "fp", "first")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     joined = named.join(least, "root").select("fp", "component", "root")
@@ -266,48 +274,78 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], np.array([r[1] for r in rows], dtype=np.int64)[order]
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, component, root) of every text, by SHINGLE-word shingles alike to 0.8 or more: component is the smallest id of the class, root a number that no other class has; t as in text_hash().
+def _signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of every text (id, t, text), then (id, t, h, fp, keys, bits), then of every node (node, fp, first, t, keys, bits).
 
-    Texts of the same words are one node, named by a 64-bit hash of them.  Texts that are so alike share a shingle of
-    their prefixes, so the shuffle brings every such pair together; pairs with more than LOOSE of 256 majority bits apart
-    are left out, and what links then is a group whose texts are compared by their shingles: exact_links() decides.
-    Null counts as empty; texts without words are one class; rows of one id are told apart by t; null ids are never the smallest.
+    Texts of the same words are one node, named by h, a 64-bit hash of them; fp, keys and bits follow from the words.  fp:
+    the fingerprint of as many words; keys: the prefix of the shingles; bits: their majority bits.
     """
     rows = docs.select(docs[id_col].alias("id"), text_hash(docs, text_col).alias("t"), docs[text_col].cast("string").cast("binary").alias("text"))
     order = _common_shingles(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, keys, bits = [], [], []
+            own, fps, keys, bits = [], [], [], []
             for text in batch.column(2).to_pylist():
                 h, shingles = shingled(text or b"")
                 own.append(h)
+                fps.append(fingerprint(text or b"", words))
                 keys.append(prefix(shingles, *order).view(np.int64))
                 bits.append(np.packbits(_spread(shingles, 4), bitorder="little").view("<i8").tolist() if len(shingles) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, bits))], ["id", "t", "h", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (own, fps)), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, bits))], ["id", "t", "h", "fp", "keys", "bits"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    own = common.cut(common.map_rows(rows, run, f"id {key}, t long, h long, keys array<long>, bits array<long>"), "signatures")
-    # one row a node: keys and bits follow from the words, and one text of the node is named
-    nodes = own.groupBy(F.col("h").alias("node")).agg(F.min("id").alias("first"), F.min_by(F.struct("t", "keys", "bits"), F.struct(F.col("id").isNull(), "id", "t")).alias("x"))
-    nodes = common.cut(nodes.select("node", "first", "x.t", "x.keys", "x.bits"), "texts")
+    own = common.cut(common.map_rows(rows, run, f"id {key}, t long, h long, fp long, keys array<long>, bits array<long>"), "signatures")
+    # one text of the node is named
+    nodes = own.groupBy(F.col("h").alias("node")).agg(F.min("id").alias("first"), F.min_by(F.struct("t", "fp", "keys", "bits"), F.struct(F.col("id").isNull(), "id", "t")).alias("x"))
+    return rows, own, common.cut(nodes.select("node", "x.fp", "first", "x.t", "x.keys", "x.bits"), "texts")
+
+
+def _loose_groups(nodes: DataFrame) -> DataFrame:
+    """(node, fp, id, t, g): groups of nodes that no two nodes alike to 0.8 or more are apart in; nodes as in _signatures().
+
+    Texts that are so alike share a shingle of their prefixes, so the shuffle brings every such pair together; pairs with
+    more than LOOSE of 256 majority bits apart are left out.
+    """
     worded = nodes.where(F.size("bits") > 0)
     two, many = _meetings(worded, F.col("keys"))
     bits = worded.select("node", "bits")
     pairs = two.distinct().join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, 4)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     crowded = many.join(bits, "node").select("key", "node", "bits").repartition(n, "key").sortWithinPartitions("key")
     loose = pairs.where(apart <= LOOSE).select("a", "b").unionByName(common.map_rows(crowded, _crowded(LOOSE, _loose_forest), "a long, b long").distinct())
-    groups = common.cut(components(loose).join(nodes.select("node", "first", "t"), "node").select("node", F.col("first").alias("id"), "t", F.col("root").alias("g")), "groups")
-    roots = common.cut(components(exact_links(groups, rows)), "roots")
+    return common.cut(components(loose).join(nodes.select("node", "fp", "first", "t"), "node").select("node", "fp", F.col("first").alias("id"), "t", F.col("root").alias("g")), "groups")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, component, root) of every text, by SHINGLE-word shingles alike to 0.8 or more: component is the smallest id of the class, root a number that no other class has; t as in text_hash().
+
+    Texts whose prefixes meet and whose majority bits are near are a group, and the texts of a group are compared by
+    their shingles: exact_links() decides.
+    Null counts as empty; texts without words are one class; rows of one id are told apart by t; null ids are never the smallest.
+    """
+    rows, own, nodes = _signatures(docs, 3, id_col, text_col)
+    roots = common.cut(components(exact_links(_loose_groups(nodes), rows)), "roots")
     named = common.cut(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     classes_ = named.join(least, "root").select(F.col("node").alias("h"), "component", "root")
     return common.join_hot(own.select("id", "t", "h"), classes_, ["h"]).select("id", "t", "component", "root")
 
 
+def duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, fp, component, root) as classes(), whose links are all in it, and those of similar() too.
+
+    Two texts are of one class if links of either kind lead from one to the other.  Texts of one fingerprint are one
+    node already, so a link of similar() is one between the fingerprints of its texts.
+    """
+    rows, own, nodes = _signatures(docs, words, id_col, text_col)
+    groups = _loose_groups(nodes)
+    fps = groups.select("node", "fp")
+    alike = exact_links(groups, rows).join(fps.toDF("a", "x"), "a").join(fps.toDF("b", "y"), "b").where("x <> y")
+    return _classes(own.select("id", "t", "fp"), alike.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+
+
 def exact_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that join, within each group, all nodes whose shingle sets have a Jaccard similarity of 0.8 or more.
 

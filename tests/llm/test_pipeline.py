@@ -64,3 +64,13 @@ def test_clean_documents_stay(spark, stages):
     _, docs, good = stages[0]
     clean = [i for i in ids(docs) if i in labels and labels[i].quality == 1]
     assert len(set(clean) & set(ids(good))) >= 0.97 * len(clean)
+
+
+def test_single_leaves_no_near_fingerprints(spark):
+    refrain = "one two three four five six seven " * 50
+    texts = [refrain + tail for tail in ("red green blue grey pink", "spring summer autumn winter", "north south east west")] + ["other words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(simhash.shingled(texts[0].encode())[1]) < 20
+    fps = [simhash.fingerprint((t or "").encode(), 3) for t in texts]
+    assert all((fps[0] ^ f).bit_count() <= simhash.RADIUS for f in fps[1:3])
+    assert ids(corpus_pipeline.single(spark, docs, DATA)) == [0, 3, 4]

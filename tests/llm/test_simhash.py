@@ -194,3 +194,49 @@ def test_alike_texts_are_brute_force_s(spark, monkeypatch):
         monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
         got = {r.id: r.component for r in simhash.similar(docs).collect()}
         assert [got[i] for i in range(len(texts))] == want
+
+
+def test_duplicates_join_the_links_of_fingerprints_and_of_shingles(spark):
+    random = np.random.default_rng(14)
+    vocabulary = [f"w{i:04d}" for i in range(3000)]
+    texts = [None, "", " \n", "one", "One", "two words"]
+    for times in (3, 5, 8, 200):  # a refrain outweighs the rest: near fingerprints, few equal shingles
+        for _ in range(6):
+            refrain = random.choice(vocabulary, 7).tolist() * times
+            for _ in range(2):
+                texts.append(" ".join(refrain + random.choice(vocabulary, 4 * int(random.integers(1, 4))).tolist()))
+    for n in (60, 120, 300):  # a chain of small edits: alike shingles, far fingerprints
+        for _ in range(6):
+            words = random.choice(vocabulary, n).tolist()
+            for _ in range(3):
+                texts.append(" ".join(words))
+                words = words[: -n // 20] + random.choice(vocabulary, n // 20).tolist()
+    refrain, tail = random.choice(vocabulary, 7).tolist() * 40, random.choice(vocabulary, 60).tolist()
+    texts += [" ".join(refrain), " ".join(refrain + tail[:55]), " ".join(refrain + tail)]  # one link of each kind, or of both
+    fps = [brute_fingerprint(t) for t in texts]
+    root, kinds = list(range(len(texts))), {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            near, alike = (fps[i] ^ fps[j]).bit_count() <= 3, jaccard(texts[i] or "", texts[j] or "") >= 0.8
+            kinds.setdefault((near, alike), []).append((fps[i] ^ fps[j]).bit_count())
+            if near or alike:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert min(len(kinds[k]) for k in ((True, False), (False, True), (True, True))) > 4 and max(kinds[True, False]) > 0
+    want = [find(i) for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, fp int, g int").repartition(4)
+    got = {r.id: r for r in simhash.duplicates(docs).collect()}
+    assert [got[i].fp & (1 << 64) - 1 for i in range(len(texts))] == fps
+    assert [got[i].component for i in range(len(texts))] == want
+    assert len({r.root for r in got.values()}) == len(set(want))
+    assert simhash.duplicates(docs.limit(0)).count() == 0
+    # rows that repeat an id or have none stay or go each for itself
+    odd = spark.createDataFrame([(1, texts[-1]), (2, texts[-2]), (2, "alone"), (None, texts[-1]), (None, "alone too"), (3, "alone"), (4, None), (None, "")], "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.survivors(simhash.duplicates(odd), odd).collect()]
+    assert sorted(kept, key=str) == sorted([(1, texts[-1]), (2, "alone"), (None, "alone too"), (4, None)], key=str)
