@@ -17,6 +17,8 @@ from loomgraph.llm import common, packing, quality, simhash, toxicity
 
 #: Texts with this score or more are rejected as toxic.
 TOXIC = 0.5
+#: Encoded pieces that a worker keeps: fewer than by itself, for the stages before have filled the heap of its executor.
+KEPT = 150_000
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document that is left, in sequences of 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kept=KEPT)
 
 STAGES = [("quality", good), ("toxicity", harmless), ("simhash", single), ("packing", packed)]
 #: SQL can't express the stages; tests hold them against brute force.

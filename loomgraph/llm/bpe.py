@@ -60,11 +60,11 @@ def _sizes(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
 class TrieBpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, letters = spec["model"], byte_letters()
-        self.path, self.end = path, model.get("end_of_word_suffix") or ""
+        self.path, self.kept, self.end = path, kept, model.get("end_of_word_suffix") or ""
         back = {c: b for b, c in letters.items()}
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -250,15 +250,14 @@ class TrieBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._segments(t) for t in texts]
         needed: set[str] = set()
-        for s in split:
-            needed.update(s)
-        if len(self.young) + len(needed) > KEPT:
+        for t in texts:  # split twice: the pieces of all texts together take many times the texts' memory
+            needed.update(self._segments(t))
+        if len(self.young) + len(needed) > self.kept:
             self.old, self.young = self.young, {}
         self._learn(needed)
         get = self.young.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, self._segments(t))) for t in texts]
         for p in self.long:
             self.young.pop(p, None)
         self.long.clear()
@@ -277,17 +276,17 @@ def _library(path: str):
 
 
 @lru_cache(4)
-def coder(path: str) -> TrieBpe:
+def coder(path: str, kept: int = KEPT) -> TrieBpe:
     """The worker's coder of a vocabulary file."""
-    return TrieBpe(path)
+    return TrieBpe(path, kept)
 
 
 common.HELD["bpe"] = coder.cache_clear
 
 
-def encoded(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(path: str, batches: Iterable[pa.RecordBatch], kept: int = KEPT) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """For batches of (key, text): each with the packed ids of its texts."""
-    own = coder(path)
+    own = coder(path, kept)
     for batch in common.slices(batches, 1, 4 << 20):
         yield batch, own.encode([t or "" for t in batch.column(1).to_pylist()])
 
@@ -320,11 +319,11 @@ def decode(encodings: DataFrame, tokenizer_path: str, id_col: str = "doc_id", id
     return common.map_rows(encodings.select(encodings[id_col].alias("id"), encodings[ids_col].alias("ids")), run, f"id {encodings.schema[id_col].dataType.simpleString()}, text string", "bpe").withColumnRenamed("id", id_col)
 
 
-def encode_and(docs: DataFrame, tokenizer_path: str, derive: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text and hand (coder, batch, packed ids) to derive in the same task, for results smaller than the ids."""
+def encode_and(docs: DataFrame, tokenizer_path: str, derive: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+    """Encode every text and hand (coder, batch, packed ids) to derive in the same task, for results smaller than the ids; kept: pieces that a worker keeps, which costs memory and saves time."""
 
     def run(batches):
-        for batch, packed in encoded(tokenizer_path, batches):
-            yield from derive(coder(tokenizer_path), batch, packed)
+        for batch, packed in encoded(tokenizer_path, batches, kept):
+            yield from derive(coder(tokenizer_path, kept), batch, packed)
 
     return common.map_rows(docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("text")), run, schema, "bpe")

@@ -16,6 +16,8 @@ from loomgraph.session import shared_root, ship
 
 #: Rows and bytes of an Arrow batch; a batch holds at most the rows, and ends soon after the bytes.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+#: Bytes of a batch that a function gives back, about.
+BACK_BYTES = 4 << 20
 #: A side is broadcast only when its counted rows times their width stay under this.
 BROADCAST_BYTES = 32 << 20
 
@@ -67,22 +69,34 @@ def release(but: str | None) -> None:
         clear()
     if others:
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_rows(df: DataFrame, function, schema, keeps: str | None = None) -> DataFrame:
-    """mapInArrow with bounded batches; function takes and gives iterators of record batches.  keeps: its name in HELD."""
+    """mapInArrow with batches bounded on the way in and back; function takes and gives iterators of record batches.  keeps: its name in HELD."""
     bound_batches(df.sparkSession)
     ship(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(keeps)
-        yield from function(batches)
+        yield from bounded(function(batches))
 
     return df.mapInArrow(run, schema)
 
 
+def bounded(batches: Iterable[pa.RecordBatch], limit: int = BACK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about limit bytes at most if rows are of like size, one row at least: the executor's JVM holds a batch that comes back outside its heap."""
+    for batch in batches:
+        rows = batch.num_rows if batch.nbytes <= limit else max(1, batch.num_rows * limit // batch.nbytes)
+        if rows >= batch.num_rows:
+            yield batch
+            continue
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column has about limit bytes at most, one row at least."""
     import pyarrow.compute as pc

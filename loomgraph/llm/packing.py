@@ -69,8 +69,8 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return where, offset
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids also the ids."""
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = bpe.KEPT) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids also the ids; kept as in bpe.encode_and()."""
     key = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
     fields = PIECE.format(key=key).replace("doc_id", "id", 1) + (", ids array<int>" if with_ids else "")
@@ -94,9 +94,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
         yield pa.RecordBatch.from_arrays(arrays, names)
 
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    pieces = bpe.encode_and(source, tokenizer_path, cut, PIECE.format(key=key).replace("doc_id", "id", 1) + ", draw long" + (", ids array<int>" if with_ids else ""), "id")
+    pieces = bpe.encode_and(source, tokenizer_path, cut, PIECE.format(key=key).replace("doc_id", "id", 1) + ", draw long" + (", ids array<int>" if with_ids else ""), "id", kept=kept)
 
     def pack_group(rows: pa.Table) -> pa.Table:
+        common.release(None)  # the coder is done with
         rows = rows.sort_by([("id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         n, bucket = rows["length"].to_numpy(), rows["bucket"][0].as_py()
         where, offset = first_fit_decreasing(n, length)
