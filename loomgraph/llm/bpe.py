@@ -251,13 +251,16 @@ class TrieBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         needed: set[str] = set()
-        for t in texts:  # split twice: the pieces of all texts together take many times the texts' memory
-            needed.update(self._segments(t))
+        split = []
+        for s in map(self._segments, texts):
+            needed.update(s)
+            if self.kept >= KEPT:  # else split twice: the pieces of all texts together take many times the texts' memory
+                split.append(s)
         if len(self.young) + len(needed) > self.kept:
             self.old, self.young = self.young, {}
         self._learn(needed)
         get = self.young.__getitem__
-        out = [b"".join(map(get, self._segments(t))) for t in texts]
+        out = [b"".join(map(get, s)) for s in split or map(self._segments, texts)]
         for p in self.long:
             self.young.pop(p, None)
         self.long.clear()
@@ -320,7 +323,7 @@ def decode(encodings: DataFrame, tokenizer_path: str, id_col: str = "doc_id", id
 
 
 def encode_and(docs: DataFrame, tokenizer_path: str, derive: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
-    """Encode every text and hand (coder, batch, packed ids) to derive in the same task, for results smaller than the ids; kept: pieces that a worker keeps, which costs memory and saves time."""
+    """Encode every text and hand (coder, batch, packed ids) to derive in the same task, for results smaller than the ids; kept: pieces that a worker keeps, which costs memory and saves time; with fewer than KEPT those of a batch are not held together either."""
 
     def run(batches):
         for batch, packed in encoded(tokenizer_path, batches, kept):

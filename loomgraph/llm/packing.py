@@ -97,7 +97,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
     pieces = bpe.encode_and(source, tokenizer_path, cut, PIECE.format(key=key).replace("doc_id", "id", 1) + ", draw long" + (", ids array<int>" if with_ids else ""), "id", kept=kept)
 
     def pack_group(rows: pa.Table) -> pa.Table:
-        common.release(None)  # the coder is done with
+        if bpe.coder.cache_info().currsize:
+            common.release(None)  # the coder is done with
         rows = rows.sort_by([("id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         n, bucket = rows["length"].to_numpy(), rows["bucket"][0].as_py()
         where, offset = first_fit_decreasing(n, length)

@@ -20,7 +20,7 @@ def peak_mb(work):
 
 
 def test_pieces_of_a_batch_are_not_held_together():
-    own = bpe.TrieBpe(public_tokenizers.path("word_bpe_49k.json"))
+    own = bpe.TrieBpe(public_tokenizers.path("word_bpe_49k.json"), 150_000)
     text = " ".join(f"word{k % 500}" for k in range(20_000))
     alone = own.encode([text])[0]
     got, mb = peak_mb(lambda: own.encode([text] * 20))
