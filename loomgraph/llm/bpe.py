@@ -57,17 +57,53 @@ def _sizes(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
     return {end: (*sorted(sizes, reverse=True), *SHORT) for end, sizes in found.items()}
 
 
-class TrieBpe:
+class Pieces:
+    """The normal form of a text and its pieces, by the rules of a vocabulary file."""
+
+    def __init__(self, path: str, spec: dict):
+        self.path = path
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def _normal(self, text: str) -> str:
+        """The normal form of a text without special tokens, but for the kind of its white space."""
+        if not text.isascii():
+            if PLAIN.fullmatch(text) and "İ" not in text:
+                text = unicodedata.normalize("NFC", text)
+            else:
+                text = _library(self.path).normalizer.normalize_str(text)
+        return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces between white space of a text without special tokens."""
+        text = self._normal(text)
+        if ODD_SPACE.search(text):
+            return [p for p in regex.split(r"[^\S\x1c-\x1f]+", text) if p]
+        return text.split()
+
+    def _segments(self, text: str) -> list[str]:
+        """Pieces of a raw text; a special token's string is a piece of its own."""
+        if self.marks is None or "<|" not in text:
+            return self._pieces(text)
+        out: list[str] = []
+        for part in self.marks.split(text):
+            out += [part] if part in self.special else self._pieces(part)
+        return out
+
+
+class TrieBpe(Pieces):
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str, kept: int = KEPT):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        super().__init__(path, spec)
         model, letters = spec["model"], byte_letters()
-        self.path, self.kept, self.end = path, kept, model.get("end_of_word_suffix") or ""
+        self.kept, self.end = kept, model.get("end_of_word_suffix") or ""
         back = {c: b for b, c in letters.items()}
         vocab: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.printed = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.inner: dict[str, int] = {}
@@ -92,9 +128,6 @@ class TrieBpe:
             for raw in [b for b, i in table.items() if len(b) > 1 and self._merge(b, table is self.final) != [i]]:
                 del table[raw]
         self.inner_sizes, self.final_sizes = _sizes(self.inner), _sizes(self.final)
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.young: dict[str, bytes] = {}
         self.long: list[str] = []
         self.old: dict[str, bytes] = {}
@@ -200,27 +233,6 @@ class TrieBpe:
             before = word
         return out
 
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces between white space of a normalised text without special tokens."""
-        if not text.isascii():
-            if PLAIN.fullmatch(text) and "İ" not in text:
-                text = unicodedata.normalize("NFC", text)
-            else:
-                text = _library(self.path).normalizer.normalize_str(text)
-        text = text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
-        if ODD_SPACE.search(text):
-            return [p for p in regex.split(r"[^\S\x1c-\x1f]+", text) if p]
-        return text.split()
-
-    def _segments(self, text: str) -> list[str]:
-        """Pieces of a raw text; a special token's string is a piece of its own."""
-        if self.marks is None or "<|" not in text:
-            return self._pieces(text)
-        out: list[str] = []
-        for part in self.marks.split(text):
-            out += [part] if part in self.special else self._pieces(part)
-        return out
-
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces not yet in the store."""
         found, old, words, special = self.young, self.old, self.words, self.special

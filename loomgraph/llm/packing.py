@@ -1,6 +1,6 @@
 """Packing documents into sequences: first-fit decreasing with a tournament tree, in randomised groups.
 
-A document's ids (with the id that ends it) are cut into pieces of the sequence length; full pieces are
+A document's ids (by merges; with the id that ends it) are cut into pieces of the sequence length; full pieces are
 sequences of their own.  Pieces are dealt at random into groups of about GROUP, as many as the written table of
 pieces asks for however long its documents are, and each group is packed by itself: pieces in decreasing length go to the first open sequence with room for
 them, found by walking down a tournament tree whose nodes hold the largest room below them.  Padding is what
@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, common
+from loomgraph.llm import common, merges
 
 #: Pieces in a group, about.
 GROUP = 2048
+#: Bytes of the texts that are encoded at once, about.
+SLICE_BYTES = 4 << 20
 PIECE = "doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -69,13 +71,13 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return where, offset
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = bpe.KEPT) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids also the ids; kept as in bpe.encode_and()."""
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids also the ids."""
     key = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
     fields = PIECE.format(key=key).replace("doc_id", "id", 1) + (", ids array<int>" if with_ids else "")
 
-    def cut(coder, batch, packed):
+    def cut(batch: pa.RecordBatch, packed: list[bytes]) -> pa.RecordBatch:
         draw = _place_stream()
         out: list[list] = [[] for _ in range(7)]
         for i, p in zip(batch.column(0).to_pylist(), packed):
@@ -91,13 +93,18 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
         if with_ids:
             arrays.append(pa.array(out[6], pa.list_(pa.int32())))
             names.append("ids")
-        yield pa.RecordBatch.from_arrays(arrays, names)
+        return pa.RecordBatch.from_arrays(arrays, names)
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    pieces = bpe.encode_and(source, tokenizer_path, cut, PIECE.format(key=key).replace("doc_id", "id", 1) + ", draw long" + (", ids array<int>" if with_ids else ""), "id", kept=kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = merges.coder(tokenizer_path)
+        for batch in common.slices(batches, 1, SLICE_BYTES):
+            yield cut(batch, coder.encode([t or "" for t in batch.column(1).to_pylist()]))
+
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    pieces = common.map_rows(source, run, PIECE.format(key=key).replace("doc_id", "id", 1) + ", draw long" + (", ids array<int>" if with_ids else ""), "merges")
 
     def pack_group(rows: pa.Table) -> pa.Table:
-        if bpe.coder.cache_info().currsize:
+        if merges.coder.cache_info().currsize:
             common.release(None)  # the coder is done with
         rows = rows.sort_by([("id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         n, bucket = rows["length"].to_numpy(), rows["bucket"][0].as_py()
